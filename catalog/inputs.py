@@ -80,7 +80,7 @@ SELECT o_orderkey AS seq, concat('Role ', o_orderpriority) AS title,
   CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE '$100' END AS salary,
   CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'board' END AS source,
   CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'Contract' END AS type,
-  concat('https://jobs.example/', CAST(o_orderkey % 3000 AS VARCHAR(10))) AS link,
+  concat('https://jobs.example/', CAST(o_orderkey % 3000 + 700 AS VARCHAR(10))) AS link,
   CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'soon'
     ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) END AS updated,
   CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Initech' END AS company,

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from vitaloom.functions.text import bind
+
 
 def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
@@ -14,17 +16,16 @@ def norm(a):
 
 def unit(a):
     """The vector scaled to length one; do this once per row, before any join."""
-    length = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.nullif(length, F.lit(0.0)))
+    return bind(norm(a), lambda n: F.transform(a, lambda x: F.coalesce(x.cast("double") / F.nullif(n, F.lit(0.0)), F.lit(0.0))))
 
 
 def cosine(a, b):
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
-def similarities(vector, others):
-    """Cosine of a vector with each vector of an array of vectors."""
-    return F.transform(others, lambda o: cosine(vector, o))
+def similarities(vector, unit_vectors):
+    """Cosine of a vector with each vector of an array of unit vectors."""
+    return bind(unit(vector), lambda u: F.transform(unit_vectors, lambda o: dot(u, o)))
 
 
 def topk_mean_similarity(sims, k):
@@ -33,6 +34,6 @@ def topk_mean_similarity(sims, k):
 
 
 def semantic_to_ideal(vector, ideals, k=5, weight=22.0, most=20.0):
-    """Points for being close to the ideal vectors."""
+    """Points for being close to the ideal vectors, an array of unit vectors."""
     points = topk_mean_similarity(similarities(vector, ideals), k) * F.lit(weight)
     return points if most is None else F.least(F.lit(most), points)

@@ -54,6 +54,8 @@ def user_recommendations(recommendations: DataFrame, jobs: DataFrame, user_id: i
 
 
 def match_batch_summary(matches: DataFrame, good: float = fixed.GOOD_MATCH) -> DataFrame:
+    """Mean, good matches and count per resume. Scores are added as whole tenths, so task order cannot change the mean."""
+    tenths = F.sum(F.round(F.col("match_score") * 10).cast("bigint"))
     return matches.groupBy("resume_id").agg(
-        F.avg("match_score").alias("avg_score"),
+        (tenths / (F.count("match_score") * 10)).alias("avg_score"),
         F.count_if(F.col("match_score") >= good).alias("good_matches"), F.count("*").alias("total"))
