@@ -109,7 +109,7 @@ def _(spark, d):
                                          "seniority_penalty", "match_level")
 
 
-@query("match_batch_summary", f"""{PAIR_SQL} SELECT resume_id, round(avg(round(raw, 1)), 4) AS avg_score,
+@query("match_batch_summary", f"""{PAIR_SQL} SELECT resume_id, round(sum(CAST(round(round(raw, 1) * 10) AS BIGINT)) / (count(*) * 10), 4) AS avg_score,
   count(*) FILTER (round(raw, 1) >= 50) AS good_matches, count(*) AS total FROM pair GROUP BY resume_id""")
 def _(spark, d):
     return match_batch_summary(scored_pairs(spark, d)).withColumn("avg_score", F.round("avg_score", 4))
@@ -394,10 +394,17 @@ def _(spark, d):
 VERBS_NUMBERS = "CASE " + " ".join(f"WHEN len(verbs) >= {v} AND len(numbers) >= {n} THEN {p}" for v, n, p in R["verbs_and_numbers"]) + " ELSE 0.0 END"
 
 
-@query("ats_score_rules", features() + f"""SELECT doc_id, round(least(100.0, CASE WHEN has_contact THEN 8.0 WHEN {EITHER} THEN 4.0 ELSE 0.0 END
+RULES_SCORE = f"""least(100.0, CASE WHEN has_contact THEN 8.0 WHEN {EITHER} THEN 4.0 ELSE 0.0 END
   + {ladder('len(sections)', R['sections'], 'len(sections) / 6 * 12')} + least(len(verbs) / 12 * 15, 15.0) + least(len(numbers) / 10 * 18, 18.0)
-  + {bands('word_count', R['words'], '6.0')} + {ladder('len(sections)', R['section_bonus'])} + {VERBS_NUMBERS}
-  + {ladder('len(skills)', R['skills'])}), 4) AS score FROM features""")
+  + {bands('word_count', R['words'], '6.0')} + {ladder('len(sections)', R['section_bonus'])} + {VERBS_NUMBERS} + {ladder('len(skills)', R['skills'])})"""
+
+
+def rules_scored_sql(source):
+    """Scores without an encoder; ``final`` keeps the unrounded score, which the messages use."""
+    return features(source) + f", {LEVELED}, final AS (SELECT *, {RULES_SCORE} AS score FROM leveled) "
+
+
+@query("ats_score_rules", features() + f"SELECT doc_id, round({RULES_SCORE}, 4) AS score FROM features")
 def _(spark, d):
     f = featured(spark, d)
     return f.select("doc_id", F.round(scores.ats_score_rules(f), 4).alias("score"))
@@ -472,12 +479,16 @@ SECTIONS_SQL = ("list_transform(list_filter(['experience', 'education', 'skills'
                 f"lambda s: {_fill(A['section'], 'concat(upper(s[1]), s[2:])')})")
 REPEATED_SQL = (f"list_filter(list_transform(verbs, lambda v, i: CASE WHEN verb_counts[i] > 2 THEN "
                 f"{_fill(A['repeated'], 'concat(upper(v[1]), v[2:])', 'verb_counts[i]')} END), lambda x: x IS NOT NULL)")
-ADVISED_SQL = SCORED_SQL + f""", told AS (SELECT *, list_filter(list_concat([{START_SQL}], {SECTIONS_SQL}, {REPEATED_SQL}, [{END_SQL}]),
+def advised_sql(scored):
+    return scored + f""", told AS (SELECT *, list_filter(list_concat([{START_SQL}], {SECTIONS_SQL}, {REPEATED_SQL}, [{END_SQL}]),
   lambda x: x IS NOT NULL) AS said FROM final),
 advised AS (SELECT *, {INSIGHTS_SQL} AS insights, CASE WHEN len(list_filter(said, lambda a: contains(lower(a), 'bullet'))) > 0 THEN said
   ELSE list_append(said, {lit(A['bullets'])}) END AS advice FROM told) """
 
 
+ADVISED_SQL = advised_sql(SCORED_SQL)
+
+
 @query("insights", ADVISED_SQL + "SELECT doc_id, array_to_string(insights, '|') AS value FROM advised")
 def _(spark, d):
     return scored_corpus(spark, d).select("doc_id", joined(c("insights")).alias("value"))
@@ -501,7 +512,8 @@ def _(spark, d):
         "doc_id", *[joined(c(f"h.{n}")).alias(n) for n in ("key_insights", "qualities", "improvements")])
 
 
-ANALYSIS_SQL = ADVISED_SQL + f"""SELECT doc_id, trim(text) <> '' AS success, score, {STATUS_SQL} AS status, level, array_to_string(insights, '|') AS insights,
+def analysis_sql(scored):
+    return advised_sql(scored) + f"""SELECT doc_id, trim(text) <> '' AS success, round(score, 1) AS score, {STATUS_SQL} AS status, level, array_to_string(insights, '|') AS insights,
   array_to_string(advice, '|') AS recommendations, CAST(word_count AS BIGINT) AS words, CAST(len(sections) AS BIGINT) AS sections,
   CAST(len(skills) AS BIGINT) AS skills, CAST(len(verbs) AS BIGINT) AS verbs, CAST(len(numbers) AS BIGINT) AS numbers, has_contact,
   CAST({B} AS BIGINT) AS bullets, CAST({Q} AS BIGINT) AS quantified, name, email, phone, location, linkedin, github,
@@ -520,7 +532,7 @@ def flat_analysis(df):
         F.size(i + "work_experience").cast("bigint").alias("jobs"), F.size(i + "projects").cast("bigint").alias("projects"))
 
 
-@query("analyze_resumes", ANALYSIS_SQL)
+@query("analyze_resumes", analysis_sql(SCORED_SQL))
 def _(spark, d):
     return flat_analysis(analyze_resumes(corpus_vectors(spark, d), semantic=semantic()))
 

@@ -20,6 +20,7 @@ from vitaloom.functions.matching import is_snippet, job_text, match_level, match
 from vitaloom.functions.text import has_text
 from vitaloom.functions.vectors import dot, unit
 from vitaloom.operators.recommendations import top_n_per_resume
+from vitaloom.session import cut_lineage
 
 CANDIDATE_LEVELS = ["student", "intern", "entry", "mid", "senior", "principal"]
 JOB_LEVELS = ["intern", "entry", "mid", "senior", "principal"]
@@ -27,19 +28,19 @@ JOB_LEVELS = ["intern", "entry", "mid", "senior", "principal"]
 _MARGIN = 0.2
 
 
-def job_side(jobs: DataFrame, job_id: str = "id") -> DataFrame:
+def job_side(jobs: DataFrame, job_id: str = "id", more=()) -> DataFrame:
     """Narrow job columns for pairing: id, unit vector, level, snippet flag. Long text stays behind."""
     text = job_text(F.col("title"), F.col("description"))
     return jobs.select(F.col(job_id).alias("job_id"), unit(F.col("vector")).alias("job_vector"),
                        detect_job_seniority(F.col("title"), F.col("description")).alias("job_level"),
-                       is_snippet(text).alias("snippet"))
+                       is_snippet(text).alias("snippet"), *more)
 
 
-def resume_side(resumes: DataFrame, resume_id: str = "id", text: str = "text") -> DataFrame:
+def resume_side(resumes: DataFrame, resume_id: str = "id", text: str = "text", more=()) -> DataFrame:
     """Narrow resume columns for pairing; resumes without text match nothing."""
     return resumes.where(has_text(F.col(text))).select(
         F.col(resume_id).alias("resume_id"), unit(F.col("vector")).alias("resume_vector"),
-        F.col("ats_score").cast("double").alias("ats_score"), F.col("candidate_level"))
+        F.col("ats_score").cast("double").alias("ats_score"), F.col("candidate_level"), *more)
 
 
 def scored(pairs: DataFrame, similarity) -> DataFrame:
@@ -185,15 +186,20 @@ def _best_in_block(k: int, min_score: float, slab: int = 512):
 
 def top_matches(resumes: DataFrame, jobs: DataFrame, k: int = fixed.TOP_MATCHES, min_score: float | None = None,
                 seq: str | None = None, block_rows: int = 4096, chunk_rows: int = 32768,
-                cell_rows: int = 2048, max_cells: int = 256) -> DataFrame:
+                cell_rows: int = 2048, max_cells: int = 256, materialize: bool = True) -> DataFrame:
     """Exact best ``k`` jobs per resume by rounded score; equal scores keep ``seq`` order.
 
     A block holds about ``block_rows`` jobs and a chunk about ``chunk_rows``
     resumes, split by hash, so neither a crowded cell nor a popular region makes
     a large task. Only blocks' best ``k`` rows reach the final ranking.
+
+    Both narrow sides are read several times, so they are written to the shared
+    folder first; pass ``materialize=False`` when they already are plain tables.
     """
     low = float(min_score or 0.0)
     jobs = jobs.withColumn("seq", F.col(seq or "job_id").cast("bigint"))
+    if materialize:
+        jobs, resumes = cut_lineage(jobs, "jobs"), cut_lineage(resumes, "resumes")
     n_jobs, n_resumes = jobs.count(), resumes.count()
     pivots = _pivots(jobs, max(1, min(max_cells, n_jobs // cell_rows)))
     if not len(pivots):

@@ -9,14 +9,13 @@ from vitaloom.functions.matching import job_text, match_reasons, validate_resume
 from vitaloom.functions.vocabulary import match_terms
 from vitaloom.operators.jobs import combine_jobs, filter_posted_within, search_jobs
 from vitaloom.operators.pairs import job_side, resume_side, top_matches
+from vitaloom.session import cut_lineage
 
 
-def valid_resumes(features: DataFrame) -> DataFrame:
-    """Keep what passes the format checks; done before any pairing."""
-    c = F.col
-    check = validate_resume(c("skills"), c("sections"), c("email"), c("phone"), c("work_experience"), c("education"),
-                            c("word_count"))
-    return features.where(check["is_valid"])
+def is_valid(c=F.col):
+    """Whether a resume passes the format checks."""
+    return validate_resume(c("skills"), c("sections"), c("email"), c("phone"), c("work_experience"), c("education"),
+                           c("word_count"))["is_valid"]
 
 
 def candidate_jobs(jobs: DataFrame, keywords=None, location=None, feed: DataFrame | None = None,
@@ -43,18 +42,25 @@ def recommend_jobs(features: DataFrame, candidates: DataFrame, vectors: DataFram
     ``features`` has the feature columns, ``score`` and ``vector`` per resume;
     ``candidates`` come from :func:`candidate_jobs`; ``vectors(job_id, vector)``
     holds the job vectors. Long texts are reduced to their match terms on each
-    side and meet the ranked rows only.
+    side and meet the ranked rows only. Both sides are written once, in narrow form.
     """
     kept = filter_posted_within(candidates, days_posted, as_of, "updated")
     jobs = (kept.withColumns({"job_id": F.col("id").cast("bigint"), "description": F.col("snippet")})
             .join(vectors, "job_id"))
-    text_of_job = job_text(F.col("title"), F.col("description"))
-    side = job_side(jobs, "job_id").join(jobs.select("job_id", "seq"), "job_id")
-    people = valid_resumes(features).withColumns({"ats_score": F.col("score"), "candidate_level": F.col("experience_level")})
-    best = top_matches(resume_side(people, "id", text), side, k, min_score, seq="seq")
-    job_terms = jobs.select("job_id", "link", "title", match_terms(F.lower(text_of_job)).alias("_job_terms"))
-    resume_terms = people.select(F.col("id").alias("resume_id"), match_terms(F.lower(text)).alias("_resume_terms"))
-    told = best.join(job_terms, "job_id").join(resume_terms, "resume_id")
+    terms = match_terms(F.lower(job_text(F.col("title"), F.col("description"))))
+    jobs = cut_lineage(job_side(jobs, "job_id", ["seq", "link", "title", terms.alias("_job_terms")]), "candidates")
+
+    # The features are written before the validity filter: a filter on computed
+    # columns would be pushed below them and repeat the text work per condition.
+    people = features.withColumns({"ats_score": F.col("score"), "candidate_level": F.col("experience_level")})
+    terms = match_terms(F.lower(text)).alias("_resume_terms")
+    people = cut_lineage(resume_side(people, "id", text, [terms, is_valid().alias("_valid")]), "people")
+    people = people.where("_valid").drop("_valid")
+
+    best = top_matches(people.drop("_resume_terms"), jobs.drop("link", "title", "_job_terms"), k, min_score, seq="seq",
+                       materialize=False)
+    told = (best.join(jobs.select("job_id", "link", "title", "_job_terms"), "job_id")
+            .join(people.select("resume_id", "_resume_terms"), "resume_id"))
     c = F.col
     reasons = match_reasons(c("similarity"), c("ats_score"), c("raw_score"), c("seniority_penalty"),
                             c("candidate_level"), c("job_level"), c("_resume_terms"), c("_job_terms"))
