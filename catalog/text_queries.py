@@ -114,8 +114,8 @@ VALUES = {
     "analyze_layout": (lambda t, low: quality.analyze_layout(t)["layout"], "layout"),
     "date_consistency": (_dates, "concat(CAST(CAST(date_score AS DOUBLE) AS VARCHAR), ':', "
                                  "CAST(CAST(date_penalty AS DOUBLE) AS VARCHAR))"),
-    "grammar_score": (lambda t, low: quality.grammar_score(t), "CAST(grammar AS DOUBLE)"),
-    "tone_score": (lambda t, low: quality.tone_score(t), "CAST(tone AS DOUBLE)"),
+    "grammar_score": (lambda t, low: quality.grammar_score(t, low), "CAST(grammar AS DOUBLE)"),
+    "tone_score": (lambda t, low: quality.tone_score(t, low), "CAST(tone AS DOUBLE)"),
     "summary_score": (lambda t, low: quality.summary_score(t, low), "CAST(summary AS DOUBLE)"),
     "certifications_score": (lambda t, low: quality.certifications_score(low), "CAST(certificates AS DOUBLE)"),
     "detect_tailoring": (lambda t, low: quality.detect_tailoring(low), "tailored"),

@@ -116,6 +116,8 @@ INSTITUTIONS = [
     r"(NIT\s+[A-Z][a-z]+)",
     r"([A-Z][A-Za-z\s]+(?:University|College|Institute|School)[^.\n]*)",
 ]
+# Words without which the institution pattern of the same place cannot match.
+INSTITUTION_HINTS = [["iiit"], ["iit"], ["nit"], ["university", "college", "institute", "school"]]
 DEGREES = [
     r"\b(B\.?Tech|Bachelor|B\.?E\.?|B\.?S\.?)\b",
     r"\b(M\.?Tech|Master|M\.?E\.?|M\.?S\.?)\b",

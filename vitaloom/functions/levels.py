@@ -59,12 +59,7 @@ def _range_mean(text):
     return F.floor((low + high) / 2)
 
 
-def detect_job_seniority(title, description):
-    """intern, entry, mid, senior or principal; the first rung that applies."""
-    title = F.lower(F.coalesce(title, F.lit("")))
-    body = F.lower(F.coalesce(description, F.lit("")))
-    both = F.concat(title, F.lit(" "), body)
-
+def _job_rungs(title, body, both):
     intern = has_any(both, fixed.JOB_INTERN) & (~F.contains(both, F.lit("graduate student"))
                                                 | F.contains(both, F.lit("intern")))
     principal = has_any(title, fixed.JOB_PRINCIPAL_TITLES + fixed.JOB_MANAGER_TITLES)
@@ -72,18 +67,26 @@ def detect_job_seniority(title, description):
     entry = (has_any(both, fixed.JOB_ENTRY) | first_numeral
              | (has_any(title, fixed.JOB_ENTRY_TITLES) & ~has_any(title, fixed.JOB_ENTRY_TITLE_EXCEPT))
              | has_any(body, fixed.JOB_TEACHING))
-    range_mean = _range_mean(both)
     open_years = whole_number(first_match(both, fixed.JOB_YEARS_OPEN, 1))
-    seasoned = F.coalesce(F.coalesce(range_mean, open_years) >= 7, F.lit(False))
-    years = F.coalesce(whole_number(first_match(both, fixed.JOB_YEARS_PLUS, 1)), range_mean,
+    seasoned = F.coalesce(F.coalesce(_range_mean(both), open_years) >= 7, F.lit(False))
+    years = F.coalesce(whole_number(first_match(both, fixed.JOB_YEARS_PLUS, 1)), _range_mean(both),
                        whole_number(first_match(both, fixed.JOB_YEARS, 1)))
-    by_years = F.when(years >= 10, "principal").when(years >= 5, "senior").when(years >= 2, "mid").otherwise("entry")
-    role = has_any(title, fixed.JOB_ROLE_TITLES)
-
-    level = (F.when(intern, "intern").when(principal, "principal").when(entry, "entry")
-             .when(has_any(both, fixed.JOB_SENIOR), F.when(seasoned, "principal").otherwise("senior"))
-             .when(has_any(both, fixed.JOB_MID), "mid").when(years.isNotNull(), by_years))
+    by_years = bind(years, lambda n: F.when(n >= 10, "principal").when(n >= 5, "senior").when(n >= 2, "mid")
+                    .when(n.isNotNull(), "entry"))
+    by_duty = None
     for name, hints in fixed.JOB_DUTIES.items():
-        level = level.when(has_any(body, hints), name)
-    untrained = role & ~has_any(body, fixed.JOB_ROLE_MID_HINTS) & has_any(body, fixed.JOB_ROLE_ENTRY_HINTS)
-    return level.when(untrained, "entry").otherwise("mid")
+        hit = has_any(body, hints)
+        by_duty = F.when(hit, name) if by_duty is None else by_duty.when(hit, name)
+    untrained = (has_any(title, fixed.JOB_ROLE_TITLES) & ~has_any(body, fixed.JOB_ROLE_MID_HINTS)
+                 & has_any(body, fixed.JOB_ROLE_ENTRY_HINTS))
+    without_words = F.coalesce(by_years, by_duty, F.when(untrained, "entry"), F.lit("mid"))
+    return (F.when(intern, "intern").when(principal, "principal").when(entry, "entry")
+            .when(has_any(both, fixed.JOB_SENIOR), F.when(seasoned, "principal").otherwise("senior"))
+            .when(has_any(both, fixed.JOB_MID), "mid").otherwise(without_words))
+
+
+def detect_job_seniority(title, description):
+    """intern, entry, mid, senior or principal; the first rung that applies."""
+    title, body = (F.lower(F.coalesce(c, F.lit(""))) for c in (title, description))
+    texts = F.struct(title.alias("title"), body.alias("body"), F.concat(title, F.lit(" "), body).alias("both"))
+    return bind(texts, lambda t: _job_rungs(t["title"], t["body"], t["both"]))

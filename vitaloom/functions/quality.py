@@ -1,7 +1,5 @@
 """Layout, dates, grammar, tone and other checks of one document."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from vitaloom import fixed_values as fixed
@@ -33,40 +31,42 @@ def date_format(value):
 
 def date_consistency(experience, education):
     """Struct of points for uniform dates and the penalty for missing ones."""
-    jobs = F.transform(experience, lambda e: e["duration"])
-    degrees = F.transform(education, lambda e: e["graduation_year"])
-    formats = F.array_distinct(F.array_compact(F.concat(
-        F.transform(jobs, date_format),
-        F.transform(degrees, lambda y: F.when(y.rlike(r"(?U)\d{4}"), "year_only")))))
-    total = F.size(experience) + F.size(education)
-    missing = F.size(F.filter(F.concat(jobs, degrees), lambda d: F.coalesce(strip(d), F.lit("")) == ""))
-    kinds = F.size(formats)
-    points = (F.when(total == 0, 2.0).when(kinds == 0, 1.0).when(kinds == 1, 4.0).when(kinds == 2, 3.0)
-              .otherwise(2.0))
-    penalty = F.when(missing > F.floor(total / 2), fixed.PENALTY_DATES).otherwise(0.0)
-    return F.struct(points.alias("score"), penalty.alias("penalty"))
-
-
-def grammar_score(text):
-    low = F.lower(text)
+    def judge(jobs, degrees):
+        formats = F.array_distinct(F.array_compact(F.concat(
+            F.transform(jobs, date_format),
+            F.transform(degrees, lambda y: F.when(y.rlike(r"(?U)\d{4}"), "year_only")))))
+        total = F.size(jobs) + F.size(degrees)
+        missing = F.size(F.filter(F.concat(jobs, degrees), lambda d: F.coalesce(strip(d), F.lit("")) == ""))
+        points = bind(F.size(formats), lambda kinds: F.when(total == 0, 2.0).when(kinds == 0, 1.0).when(kinds == 1, 4.0)
+                      .when(kinds == 2, 3.0).otherwise(2.0))
+        penalty = F.when(missing > F.floor(total / 2), fixed.PENALTY_DATES).otherwise(0.0)
+        return F.struct(points.alias("score"), penalty.alias("penalty"))
+
+    durations = F.transform(experience, lambda e: e["duration"])
+    years = F.transform(education, lambda e: e["graduation_year"])
+    return bind(durations, lambda d: bind(years, lambda y: judge(d, y)))
+
+
+def grammar_score(text, text_lc):
     gaps = occurrences(text, "  ")
 
     def starts_small(line):
-        return ((F.length(line) > 20) & line.rlike(r"(?U)^\p{Lower}")
-                & ~line.startswith("i.e") & ~line.startswith("e.g"))
+        small = (F.length(line) > 20) & line.rlike(r"(?U)^\s*\p{Lower}")
+        return small & bind(strip(line), lambda s: (F.length(s) > 20) & ~s.startswith("i.e") & ~s.startswith("e.g"))
 
-    small = F.size(F.filter(F.transform(F.split(text, "\n"), strip), starts_small))
+    small = F.size(F.filter(F.split(text, "\n"), starts_small))
     errors = (F.when(gaps > 10, 2).when(gaps > 5, 1).otherwise(0)
-              + count_present(low, fixed.TYPOS) * 2 + small * F.lit(0.5))
+              + count_present(text_lc, fixed.TYPOS) * 2 + small * F.lit(0.5))
     return bind(errors, lambda e: F.when(e == 0, 5.0).when(e <= 1, 4.0).when(e <= 2, 3.0).when(e <= 4, 2.0)
                 .when(e <= 6, 1.0).otherwise(0.0))
 
 
-def tone_score(text):
-    low = F.lower(text)
+def tone_score(text, text_lc, words=None):
+    """Points for short sentences and little passive voice; ``words`` is the word count, when at hand."""
     lengths = F.filter(F.transform(F.split(text, "[.!?]+"), word_count), lambda n: n > 3)
-    passive = reduce(lambda a, b: a + b, [occurrences(low, w) for w in fixed.PASSIVE_WORDS])
-    ratio = passive / F.greatest(word_count(text), F.lit(1))
+    # each word ends in a blank, so hits of different words cannot overlap
+    passive = F.regexp_count(text_lc, F.lit("|".join(fixed.PASSIVE_WORDS)))
+    ratio = passive / F.greatest(word_count(text) if words is None else words, F.lit(1))
 
     def points(ns):
         mean = F.aggregate(ns, F.lit(0), lambda a, n: a + n) / F.nullif(F.size(ns), F.lit(0))

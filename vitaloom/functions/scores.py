@@ -7,7 +7,7 @@ DataFrame itself, so ladders can be tested without text.
 from pyspark.sql import functions as F
 
 from vitaloom import fixed_values as fixed
-from vitaloom.functions.text import bands, by_level, ladder
+from vitaloom.functions.text import bands, bind, by_level, ladder
 
 LEVELS = fixed.SCORED_LEVELS
 
@@ -98,12 +98,16 @@ def category_rollup(parts):
 
 def ats_score_hybrid(features, level, semantic):
     """Breakdown struct: every part, the category scores, base and total, to one decimal."""
+    def report(parts):
+        totals, base, final = category_rollup(parts)
+        return F.struct(
+            *[F.round(parts[name], 1).alias(name) for name in names],
+            F.struct(*[F.round(col, 1).alias(name) for name, col in totals.items()]).alias("category_scores"),
+            F.round(base, 1).alias("base_score"), F.round(final, 1).alias("total_score"))
+
     parts = hybrid_parts(features, level, semantic)
-    totals, base, final = category_rollup(parts)
-    return F.struct(
-        *[F.round(col, 1).alias(name) for name, col in parts.items()],
-        F.struct(*[F.round(col, 1).alias(name) for name, col in totals.items()]).alias("category_scores"),
-        F.round(base, 1).alias("base_score"), F.round(final, 1).alias("total_score"))
+    names = list(parts)
+    return bind(F.struct(*[col.cast("double").alias(name) for name, col in parts.items()]), report)
 
 
 def ats_score_legacy(features, level, mean_similarity):

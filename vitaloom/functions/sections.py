@@ -20,14 +20,21 @@ def _text(value=None):
     return F.lit(value).cast("string")
 
 
+def _until(text, text_lc, start, find, ends):
+    """Text from ``start`` to the nearest end, looking from a minimum length on; null without a start."""
+    def cut(p):
+        rest = F.substring(text_lc, p + F.lit(fixed.SECTION_MIN_LENGTH), F.length(text_lc))
+        nearest = bind(rest, lambda r: F.least(*[find(r, w) for w in ends]))
+        length = F.coalesce(nearest + F.lit(fixed.SECTION_MIN_LENGTH - 1), F.length(text))
+        return F.when(p.isNotNull(), F.substring(text, p, length))
+
+    return bind(start, cut)
+
+
 def extract_section(text, text_lc, starts, ends):
     """Text from the first start word in list order to the nearest end word, or null."""
-    start = first_word_position(text_lc, starts)
-    after = start + F.lit(fixed.SECTION_MIN_LENGTH)
-    hits = [F.nullif(F.locate(w, F.substring(text_lc, after, F.length(text_lc))), F.lit(0)) for w in ends]
-    nearest = F.least(*hits) if len(hits) > 1 else hits[0]
-    length = F.coalesce(nearest + F.lit(fixed.SECTION_MIN_LENGTH - 1), F.length(text))
-    return F.substring(text, start, length)
+    return _until(text, text_lc, first_word_position(text_lc, starts),
+                  lambda rest, w: F.nullif(F.locate(w, rest), F.lit(0)), ends)
 
 
 def education_section(text, text_lc):
@@ -38,32 +45,45 @@ def experience_section(text, text_lc):
     return extract_section(text, text_lc, fixed.EXPERIENCE_START, fixed.EXPERIENCE_END)
 
 
+def _heading(word):
+    return F.lit(r"(?mdU)(?:^|\n)\s{0,5}" + word + r"\b")
+
+
 def project_section(text, text_lc):
-    """Like :func:`extract_section`, but headings must stand near the start of a line."""
-    heads = []
-    for word in fixed.PROJECT_START:
-        pattern = F.lit(r"(?mdU)(?:^|\n)\s{0,5}" + word + r"\b")
-        heads.append(F.regexp_instr(text_lc, pattern) + F.length(F.regexp_substr(text_lc, pattern)) - len(word))
-    start = F.coalesce(*heads)
-    rest = F.substring(text_lc, start + F.lit(fixed.SECTION_MIN_LENGTH), F.length(text_lc))
-    hits = [F.nullif(F.regexp_instr(rest, F.lit(r"(?mdU)(?:^|\n)\s{0,5}" + w + r"\b")), F.lit(0))
-            for w in fixed.PROJECT_END]
-    length = F.coalesce(F.least(*hits) + F.lit(fixed.SECTION_MIN_LENGTH - 1), F.length(text))
-    return F.substring(text, start, length)
+    """Like :func:`extract_section`, but headings must stand near the start of a line.
+
+    The patterns run only where the plain word occurs.
+    """
+    def start_of(word):
+        found = F.regexp_instr(text_lc, _heading(word)) + F.length(F.regexp_substr(text_lc, _heading(word))) - len(word)
+        return F.when(F.contains(text_lc, F.lit(word)), found)
+
+    def end_of(rest, word):
+        return F.when(F.contains(rest, F.lit(word)), F.nullif(F.regexp_instr(rest, _heading(word)), F.lit(0)))
+
+    return _until(text, text_lc, F.coalesce(*[start_of(w) for w in fixed.PROJECT_START]), end_of, fixed.PROJECT_END)
 
 
 def extract_education(section):
     """At most one entry; none when neither a degree nor an institution is named."""
-    institution = F.coalesce(*[first_match(section, "(?i)" + p, 1) for p in fixed.INSTITUTIONS])
-    degree = F.coalesce(*[first_match(section, "(?i)" + p, 1) for p in fixed.DEGREES])
-    low = F.lower(section)
-    field = F.coalesce(*[F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in fixed.FIELDS_OF_STUDY.items()])
-    year = bind(all_matches(section, r"20\d{2}"), lambda ys: F.get(ys, F.size(ys) - 1))
-    entry = F.struct(F.coalesce(degree, F.lit(fixed.DEFAULT_DEGREE)).alias("degree"),
-                     F.coalesce(field, F.lit(fixed.DEFAULT_FIELD)).alias("field"),
-                     institution.alias("institution"), year.alias("graduation_year"))
-    some = F.coalesce(institution, degree).isNotNull()
-    return F.when(some, F.array(entry)).otherwise(F.array()).cast(EDUCATION_TYPE)
+    def entry(institution, degree, field, year):
+        row = F.struct(F.coalesce(degree, F.lit(fixed.DEFAULT_DEGREE)).alias("degree"),
+                       F.coalesce(field, F.lit(fixed.DEFAULT_FIELD)).alias("field"),
+                       institution.alias("institution"), year.alias("graduation_year"))
+        some = F.coalesce(institution, degree).isNotNull()
+        return F.when(some, F.array(row)).otherwise(F.array()).cast(EDUCATION_TYPE)
+
+    def read(s):
+        low = F.lower(s)
+        institution = F.coalesce(*[F.when(has_any(low, fixed.INSTITUTION_HINTS[i]), first_match(s, "(?i)" + p, 1))
+                                   for i, p in enumerate(fixed.INSTITUTIONS)])
+        degree = F.coalesce(*[first_match(s, "(?i)" + p, 1) for p in fixed.DEGREES])
+        field = F.coalesce(*[F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in fixed.FIELDS_OF_STUDY.items()])
+        year = bind(all_matches(s, r"20\d{2}"), lambda ys: F.get(ys, F.size(ys) - 1))
+        found = F.struct(institution.alias("i"), degree.alias("d"), field.alias("f"), year.alias("y"))
+        return bind(found, lambda x: entry(x["i"], x["d"], x["f"], x["y"]))
+
+    return F.coalesce(bind(section, lambda s: F.when(s.isNotNull(), read(s))), F.array().cast(EDUCATION_TYPE))
 
 
 def _is_set(col):

@@ -73,16 +73,18 @@ def tokens(text_lc):
     return F.split(text_lc, r"(?U)\W+")
 
 
-def whole_words(text_lc, vocabulary):
+def whole_words(text_lc, vocabulary, words=None):
     """The vocabulary entries that occur between word edges, in vocabulary order.
 
+    ``words`` are the :func:`tokens` of the text, when they are at hand.
+
     Plain words are looked up in the token set (one pass over the text whatever
     the vocabulary size); entries with blanks or punctuation are searched, and
     the pattern runs only where the plain string occurs.
     """
     vocabulary = list(dict.fromkeys(vocabulary))
     phrases = [t for t in vocabulary if not re.fullmatch(r"\w+", t)]
-    found = tokens(text_lc)
+    found = tokens(text_lc) if words is None else words
     if phrases:
         hits = [F.when(F.contains(text_lc, F.lit(t)) & text_lc.rlike(r"(?U)\b" + re.escape(t) + r"\b"), F.lit(t))
                 for t in phrases]

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from vitaloom import fixed_values as fixed
-from vitaloom.functions.text import all_matches, has_any, string_array, substrings_present, whole_words
+from vitaloom.functions.text import all_matches, bind, has_any, string_array, substrings_present, tokens, whole_words
 
 
 def find_sections(text_lc, section_words=None):
@@ -19,25 +19,27 @@ def missing_sections(sections):
     return F.array_except(string_array(fixed.EXPECTED_SECTIONS), sections)
 
 
-def find_action_verbs(text_lc, verbs=None):
-    return whole_words(text_lc, verbs or fixed.ACTION_VERBS)
+def find_action_verbs(text_lc, verbs=None, words=None):
+    return whole_words(text_lc, verbs or fixed.ACTION_VERBS, words)
 
 
-def action_verb_frequency(text_lc, verbs=None):
-    """Map of verb to count, only verbs that occur. One pattern finds every hit."""
+def action_verb_frequency(text_lc, verbs=None, words=None):
+    """Map of verb to count, only verbs that occur."""
     verbs = verbs or fixed.ACTION_VERBS
-    hits = all_matches(text_lc, r"\b(" + "|".join(verbs) + r")\b", 1)
-    counted = F.transform(F.array_intersect(string_array(verbs), hits),
-                          lambda v: F.struct(v, F.size(F.filter(hits, lambda h: h == v))))
-    return F.map_from_entries(counted)
+
+    def count(ws):
+        return F.transform(find_action_verbs(text_lc, verbs, ws),
+                           lambda v: F.struct(v, F.size(F.filter(ws, lambda w: w == v))))
+
+    return F.map_from_entries(bind(tokens(text_lc) if words is None else words, count))
 
 
 def repetitive_verbs(frequency, limit=2):
     return F.map_filter(frequency, lambda verb, n: n > limit)
 
 
-def find_skills(text_lc, skills=None):
-    return whole_words(text_lc, skills or fixed.TECHNICAL_SKILLS + fixed.SOFT_SKILLS)
+def find_skills(text_lc, skills=None, words=None):
+    return whole_words(text_lc, skills or fixed.TECHNICAL_SKILLS + fixed.SOFT_SKILLS, words)
 
 
 def find_numbers(text):
@@ -57,13 +59,17 @@ def skill_category(skills, name, categories=None):
 def skill_category_counts(skills, categories=None):
     """Struct with the number of skills in each search category."""
     categories = categories or fixed.SEARCH_CATEGORIES
-    return F.struct(*[F.size(skill_category(skills, name, categories)).alias(name) for name in categories])
+    return bind(skills, lambda known: F.struct(*[F.size(skill_category(known, name, categories)).alias(name)
+                                                 for name in categories]))
 
 
 def uncategorized_skills(skills, categories=None):
     categories = categories or fixed.SEARCH_CATEGORIES
-    return F.array_except(skills, F.filter(skills, lambda s: reduce(
-        lambda a, b: a | b, [_in_category(s, n, w) for n, w in categories.items()])))
+
+    def known(s):
+        return reduce(lambda a, b: a | b, [_in_category(s, n, w) for n, w in categories.items()])
+
+    return F.array_distinct(F.filter(skills, lambda s: ~known(s)))
 
 
 def cap_soft_skills(skills, limit=fixed.SOFT_LIMIT):
@@ -72,10 +78,12 @@ def cap_soft_skills(skills, limit=fixed.SOFT_LIMIT):
 
 def search_keywords(skills):
     """Skills in search order, each once, joined by blanks."""
-    known = F.array_distinct(F.filter(skills, lambda s: F.trim(s) != ""))
-    ordered = [skill_category(known, n) for n in fixed.SEARCH_CATEGORIES if n != fixed.SOFT_CATEGORY]
-    chosen = F.array_distinct(F.concat(*ordered, cap_soft_skills(known), uncategorized_skills(known)))
-    return F.when(F.size(chosen) == 0, F.lit(fixed.DEFAULT_SEARCH)).otherwise(F.array_join(chosen, " "))
+    def chosen(known):
+        ordered = [skill_category(known, n) for n in fixed.SEARCH_CATEGORIES if n != fixed.SOFT_CATEGORY]
+        return F.array_distinct(F.concat(*ordered, cap_soft_skills(known), uncategorized_skills(known)))
+
+    picked = bind(F.array_distinct(F.filter(skills, lambda s: F.trim(s) != "")), chosen)
+    return F.coalesce(F.nullif(F.array_join(picked, " "), F.lit("")), F.lit(fixed.DEFAULT_SEARCH))
 
 
 def match_terms(text_lc, terms=None):

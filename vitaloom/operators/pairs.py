@@ -73,13 +73,21 @@ def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
 
 
+def _curve(similarity: np.ndarray, steps, tail: float) -> np.ndarray:
+    points = similarity * tail
+    for at, base, slope in reversed(steps):
+        np.copyto(points, base + (similarity - at) * slope, where=similarity >= at)
+    return points
+
+
 def _points(similarity: np.ndarray, snippet: np.ndarray) -> np.ndarray:
     """Similarity to semantic points, with the curves of the fixed values."""
-    def curve(steps, tail):
-        return np.select([similarity >= at for at, _, _ in steps],
-                         [base + (similarity - at) * slope for at, base, slope in steps], similarity * tail)
-
-    return np.where(snippet, curve(fixed.SNIPPET_CURVE, fixed.SNIPPET_TAIL), curve(fixed.FULL_CURVE, fixed.FULL_TAIL))
+    if snippet.all():
+        return _curve(similarity, fixed.SNIPPET_CURVE, fixed.SNIPPET_TAIL)
+    if not snippet.any():
+        return _curve(similarity, fixed.FULL_CURVE, fixed.FULL_TAIL)
+    return np.where(snippet, _curve(similarity, fixed.SNIPPET_CURVE, fixed.SNIPPET_TAIL),
+                    _curve(similarity, fixed.FULL_CURVE, fixed.FULL_TAIL))
 
 
 def _penalties() -> np.ndarray:
@@ -154,7 +162,7 @@ def _visits(resumes: DataFrame, pivots, cells: pd.DataFrame, blocks: dict[int, i
                                   "packed binary, cell int, part int")
 
 
-def _best_in_block(k: int, min_score: float, slab: int = 512):
+def _best_in_block(k: int, min_score: float, slab: int = 64):
     """Best ``k`` jobs of one bounded block for each resume of one bounded chunk."""
     def best(resumes: pd.DataFrame, jobs: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"resume_id": pd.Series(dtype="int64"), "job_id": pd.Series(dtype="int64"),
@@ -209,7 +217,11 @@ def top_matches(resumes: DataFrame, jobs: DataFrame, k: int = fixed.TOP_MATCHES,
     cells = placed.groupBy("cell", "job_level", "snippet").agg(
         F.count("*").alias("n"), F.max("angle").alias("radius")).toPandas()
     blocks = {int(c): math.ceil(n / block_rows) for c, n in cells.groupby("cell")["n"].sum().items()}
-    chunks = max(1, math.ceil(n_resumes / chunk_rows))
+    # enough groups for the cores there are, and never more than `chunk_rows` resumes in one
+    cores = jobs.sparkSession.sparkContext.defaultParallelism
+    n_blocks = max(1, sum(blocks.values()))
+    chunks = max(1, math.ceil(n_resumes / chunk_rows), min(math.ceil(3 * cores / n_blocks), math.ceil(n_resumes / 512)))
+    tasks = min(n_blocks * chunks, 20_000)
 
     parts = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]) if blocks else F.lit(None).cast("map<int,int>")
     placed = placed.select("*", F.pmod(F.xxhash64("job_id"), F.try_element_at(parts, F.col("cell"))).cast("int").alias("part"),
@@ -218,6 +230,8 @@ def top_matches(resumes: DataFrame, jobs: DataFrame, k: int = fixed.TOP_MATCHES,
               else resumes.where("false").selectExpr(
                   "resume_id", "ats_score", "candidate_level", "0 AS chunk", "binary('') AS packed", "0 AS cell", "0 AS part"))
     keys = ["cell", "part", "chunk"]
+    # one partition per group or so; the default number would be merged, because the rows are small and the work is not
+    visits, placed = visits.repartition(tasks, *keys), placed.repartition(tasks, *keys)
     found = visits.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(
         _best_in_block(k, low), "resume_id bigint, job_id bigint, similarity double")
     narrow = found.join(resumes.drop("resume_vector"), "resume_id").join(jobs.drop("job_vector"), "job_id")
