@@ -6,8 +6,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-# A side is broadcast only when its row count is known to be at most this.
-BROADCAST_ROWS = 100_000
+# Folders of local test sessions that name none, by application.
+_local_roots: dict[str, str] = {}
 
 
 def build_session(app: str = "vitaloom", master: str | None = None, **conf) -> SparkSession:
@@ -28,8 +28,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="vitaloom-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        app = spark.sparkContext.applicationId
+        root = _local_roots.get(app) or tempfile.mkdtemp(prefix="vitaloom-")
+        _local_roots[app] = root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
