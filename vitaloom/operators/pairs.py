@@ -19,7 +19,7 @@ from vitaloom.functions.levels import detect_job_seniority
 from vitaloom.functions.matching import is_snippet, job_text, match_level, match_score
 from vitaloom.functions.text import has_text
 from vitaloom.functions.vectors import dot, unit
-from vitaloom.operators.recommendations import top_n_per_resume
+from vitaloom.operators.recommendations import top_n
 from vitaloom.session import cut_lineage
 
 CANDIDATE_LEVELS = ["student", "intern", "entry", "mid", "senior", "principal"]
@@ -109,7 +109,7 @@ def _codes(values, known) -> np.ndarray:
 def _pivots(jobs: DataFrame, n: int) -> np.ndarray:
     """``n`` job vectors by hash order: a fixed, small number of rows on the driver."""
     rows = jobs.orderBy(F.xxhash64("job_id"), "job_id").limit(n).select("job_vector").collect()
-    return _pack([r["job_vector"] for r in rows])
+    return _pack([r["job_vector"] for r in rows]) if rows else np.zeros((1, 1))
 
 
 def _place_jobs(jobs: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -166,12 +166,13 @@ def _best_in_block(k: int, min_score: float, slab: int = 64):
     """Best ``k`` jobs of one bounded block for each resume of one bounded chunk."""
     def best(resumes: pd.DataFrame, jobs: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"resume_id": pd.Series(dtype="int64"), "job_id": pd.Series(dtype="int64"),
+                              "seq": pd.Series(dtype="int64"), "tenths": pd.Series(dtype="int64"),
                               "similarity": pd.Series(dtype="float64")})
         if not len(resumes) or not len(jobs):
             return empty
         jobs = jobs.sort_values("seq")
         vectors, snippet = _matrix(jobs["packed"]), jobs["snippet"].to_numpy()
-        level, ids = _codes(jobs["job_level"], JOB_LEVELS), jobs["job_id"].to_numpy()
+        level, ids, seqs = _codes(jobs["job_level"], JOB_LEVELS), jobs["job_id"].to_numpy(), jobs["seq"].to_numpy()
         n, take = len(jobs), min(k, len(jobs))
         out = []
         for at in range(0, len(resumes), slab):
@@ -184,9 +185,10 @@ def _best_in_block(k: int, min_score: float, slab: int = 64):
             top = np.argpartition(-key, take - 1, axis=1)[:, :take]
             rows = np.repeat(np.arange(len(part)), take)
             cols = top.ravel()
-            good = tenths[rows, cols] >= math.floor(min_score * 10)
-            out.append(pd.DataFrame({"resume_id": part["resume_id"].to_numpy()[rows[good]], "job_id": ids[cols[good]],
-                                     "similarity": sims[rows[good], cols[good]]}))
+            good = tenths[rows, cols] >= math.ceil(min_score * 10 - 1e-9)
+            rows, cols = rows[good], cols[good]
+            out.append(pd.DataFrame({"resume_id": part["resume_id"].to_numpy()[rows], "job_id": ids[cols],
+                                     "seq": seqs[cols], "tenths": tenths[rows, cols], "similarity": sims[rows, cols]}))
         return pd.concat(out) if out else empty
 
     return best
@@ -210,8 +212,6 @@ def top_matches(resumes: DataFrame, jobs: DataFrame, k: int = fixed.TOP_MATCHES,
         jobs, resumes = cut_lineage(jobs, "jobs"), cut_lineage(resumes, "resumes")
     n_jobs, n_resumes = jobs.count(), resumes.count()
     pivots = _pivots(jobs, max(1, min(max_cells, n_jobs // cell_rows)))
-    if not len(pivots):
-        pivots = np.zeros((1, 1))
     placed = _place_jobs(jobs, pivots)
     # at most max_cells x levels x 2 rows
     cells = placed.groupBy("cell", "job_level", "snippet").agg(
@@ -233,9 +233,8 @@ def top_matches(resumes: DataFrame, jobs: DataFrame, k: int = fixed.TOP_MATCHES,
     # one partition per group or so; the default number would be merged, because the rows are small and the work is not
     visits, placed = visits.repartition(tasks, *keys), placed.repartition(tasks, *keys)
     found = visits.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(
-        _best_in_block(k, low), "resume_id bigint, job_id bigint, similarity double")
-    narrow = found.join(resumes.drop("resume_vector"), "resume_id").join(jobs.drop("job_vector"), "job_id")
-    matches = scored(narrow, F.col("similarity"))
-    if min_score:
-        matches = matches.where(F.col("match_score") >= low)
-    return top_n_per_resume(matches, k, "seq")
+        _best_in_block(k, low), "resume_id bigint, job_id bigint, seq bigint, tenths bigint, similarity double")
+    # rank before joining, so that the joins see only the best k rows of each resume
+    best = top_n(found, ["resume_id"], [F.desc("tenths"), F.asc("seq")], k).drop("seq", "tenths")
+    matches = best.join(resumes.drop("resume_vector"), "resume_id").join(jobs.drop("job_vector"), "job_id")
+    return scored(matches, F.col("similarity"))
