@@ -78,7 +78,7 @@ pair AS (SELECT *, least(100.0, greatest(0.0, semantic + quality - penalty)) AS
       ELSE {_curve('similarity', fixed.FULL_CURVE, fixed.FULL_TAIL)} END AS semantic,
     ats_score / 100.0 * CASE WHEN snippet THEN 10.0 ELSE 15.0 END AS quality, CAST({PENALTY_SQL} AS DOUBLE) AS penalty
   FROM (SELECT p.resume_id, j.id AS job_id, r.text, j.title, j.description, ats_score, candidate_level, job_level, snippet,
-      list_cosine_similarity(resume_vector, job_vector) AS similarity
+      round(list_cosine_similarity(resume_vector, job_vector), 12) AS similarity
     FROM {pairs} p JOIN person r ON r.resume_id = p.resume_id JOIN job j ON j.id = p.job_id)))"""
 
 

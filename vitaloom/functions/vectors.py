@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from vitaloom.functions.text import bind
 
+SIMILARITY_SCALE = 1e12
+
 
 def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
@@ -23,6 +25,11 @@ def cosine(a, b):
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
+def similarity(unit_a, unit_b):
+    """Cosine of two unit vectors to 12 decimals, so that the order of the additions does not show."""
+    return F.rint(dot(unit_a, unit_b) * F.lit(SIMILARITY_SCALE)) / F.lit(SIMILARITY_SCALE)
+
+
 def similarities(vector, unit_vectors):
     """Cosine of a vector with each vector of an array of unit vectors."""
     return bind(unit(vector), lambda u: F.transform(unit_vectors, lambda o: dot(u, o)))

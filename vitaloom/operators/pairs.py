@@ -18,7 +18,7 @@ from vitaloom import fixed_values as fixed
 from vitaloom.functions.levels import detect_job_seniority
 from vitaloom.functions.matching import is_snippet, job_text, match_level, match_score
 from vitaloom.functions.text import has_text
-from vitaloom.functions.vectors import dot, unit
+from vitaloom.functions.vectors import SIMILARITY_SCALE, similarity, unit
 from vitaloom.operators.recommendations import top_n
 from vitaloom.session import cut_lineage
 
@@ -43,11 +43,11 @@ def resume_side(resumes: DataFrame, resume_id: str = "id", text: str = "text", m
         F.col("ats_score").cast("double").alias("ats_score"), F.col("candidate_level"), *more)
 
 
-def scored(pairs: DataFrame, similarity) -> DataFrame:
-    """Add the score columns to joined pairs."""
+def scored(pairs: DataFrame, sim) -> DataFrame:
+    """Add the score columns to joined pairs; ``sim`` is their similarity."""
     s = F.col("similarity")
     parts = match_score(s, F.col("snippet"), F.col("ats_score"), F.col("candidate_level"), F.col("job_level"))
-    return (pairs.withColumn("similarity", similarity).withColumn("_m", parts)
+    return (pairs.withColumn("similarity", sim).withColumn("_m", parts)
             .withColumns({"match_score": F.round("_m.score", 1), "semantic_similarity": F.round(s * 100, 1),
                           "ats_contribution": F.round("_m.quality", 1), "seniority_penalty": F.col("_m.penalty"),
                           "match_level": match_level(F.col("_m.score")), "raw_score": F.col("_m.score")})
@@ -57,7 +57,7 @@ def scored(pairs: DataFrame, similarity) -> DataFrame:
 def match_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
     """Scores of the given ``(resume_id, job_id)`` pairs, from :func:`resume_side` and :func:`job_side` rows."""
     joined = pairs.join(resumes, "resume_id").join(jobs, "job_id")
-    return scored(joined, dot(F.col("resume_vector"), F.col("job_vector"))).drop("resume_vector", "job_vector")
+    return scored(joined, similarity(F.col("resume_vector"), F.col("job_vector"))).drop("resume_vector", "job_vector")
 
 
 def _matrix(column) -> np.ndarray:
@@ -177,7 +177,7 @@ def _best_in_block(k: int, min_score: float, slab: int = 64):
         out = []
         for at in range(0, len(resumes), slab):
             part = resumes.iloc[at:at + slab]
-            sims = _matrix(part["packed"]) @ vectors.T
+            sims = np.rint(_matrix(part["packed"]) @ vectors.T * SIMILARITY_SCALE) / SIMILARITY_SCALE
             totals = _totals(sims, snippet, part["ats_score"].to_numpy(float),
                              _codes(part["candidate_level"], CANDIDATE_LEVELS), level)
             tenths = np.floor(totals * 10 + 0.5).astype(np.int64)
