@@ -73,7 +73,7 @@ def score_pairs_sql(pairs):
     """CTEs ``person``, ``job`` and ``pair``, the last with every score column of the pairs."""
     return f"""person AS (SELECT id AS resume_id, text, ats_score, candidate_level, CAST(vector AS DOUBLE[]) AS resume_vector FROM ({D(PEOPLE)})),
 job AS ({JOB_SIDE}),
-pair AS (SELECT *, least(100.0, greatest(0.0, semantic + quality - penalty)) AS raw FROM (SELECT *,
+pair AS (SELECT *, round(least(100.0, greatest(0.0, semantic + quality - penalty)), 9) AS raw FROM (SELECT *,
     CASE WHEN snippet THEN {_curve('similarity', fixed.SNIPPET_CURVE, fixed.SNIPPET_TAIL)}
       ELSE {_curve('similarity', fixed.FULL_CURVE, fixed.FULL_TAIL)} END AS semantic,
     ats_score / 100.0 * CASE WHEN snippet THEN 10.0 ELSE 15.0 END AS quality, CAST({PENALTY_SQL} AS DOUBLE) AS penalty

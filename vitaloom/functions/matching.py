@@ -8,6 +8,8 @@ from vitaloom.functions.advice import filled, first_of
 from vitaloom.functions.text import ladder, string_array, word_count
 from vitaloom.functions.vocabulary import cap_matched_skills, contained_skills, matched_terms, topk_terms
 
+SCORE_SCALE = 1e9
+
 
 def job_text(title, description):
     return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))
@@ -50,10 +52,12 @@ def match_level(score):
 
 
 def match_score(similarity, snippet, ats_score, candidate_level, job_level):
-    """Struct with the unrounded score and its parts."""
+    """Struct with the score and its parts. The score has 9 decimals: what is half a tenth must not depend on
+    the last bit of a sum, neither for the rounded score nor for the levels."""
     semantic, quality = semantic_score(similarity, snippet), ats_contribution(ats_score, snippet)
     penalty = seniority_penalty(candidate_level, job_level)
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), semantic + quality - penalty))
+    score = F.rint(score * F.lit(SCORE_SCALE)) / F.lit(SCORE_SCALE)
     return F.struct(score.alias("score"), semantic.alias("semantic"), quality.alias("quality"), penalty.alias("penalty"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vitaloom import fixed_values as fixed
 from vitaloom.functions.levels import detect_job_seniority
-from vitaloom.functions.matching import is_snippet, job_text, match_level, match_score
+from vitaloom.functions.matching import SCORE_SCALE, is_snippet, job_text, match_level, match_score
 from vitaloom.functions.text import has_text
 from vitaloom.functions.vectors import SIMILARITY_SCALE, similarity, unit
 from vitaloom.operators.recommendations import top_n
@@ -97,8 +97,9 @@ def _penalties() -> np.ndarray:
 
 def _totals(similarity, snippet, ats, candidate, job) -> np.ndarray:
     most = np.where(snippet, fixed.SNIPPET_QUALITY_POINTS, fixed.FULL_QUALITY_POINTS)
-    return np.clip(_points(similarity, snippet) + ats[:, None] / 100.0 * most
-                   - _penalties()[candidate[:, None], job[None, :]], 0.0, 100.0)
+    totals = np.clip(_points(similarity, snippet) + ats[:, None] / 100.0 * most
+                     - _penalties()[candidate[:, None], job[None, :]], 0.0, 100.0)
+    return np.rint(totals * SCORE_SCALE) / SCORE_SCALE
 
 
 def _codes(values, known) -> np.ndarray:
