@@ -10,6 +10,7 @@ all pages share is one row per task there. The join of pages to originals has on
 a hot digest can be split.
 """
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -62,7 +63,7 @@ def resolve(pages: DataFrame, key: str, url: str, payload: Column, min_bytes: in
 
 def write_archives(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", html: str = "html",
                    date: str = "2024-01-01T00:00:00Z", min_bytes: int = MIN_BYTES) -> None:
-    """Write one WARC record for each row of ``pages`` into files below ``path``.
+    """Write one WARC record for each row of ``pages`` into gzip files below ``path``.
 
     The payload is the text in UTF-8 (or a binary column as it is); null is an empty payload. Response blocks are HTTP
     messages that hold the payload; revisit blocks hold the HTTP header alone. Other columns are not stored. Exactly
@@ -91,11 +92,13 @@ def write_archives(pages: DataFrame, path: str, *, key: str = "page_id", url: st
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length("block").cast("string")), F.lit(CRLF))
     records = met.withColumn("block", block).select(F.concat(head.cast("binary"), F.col("block")).cast("string").alias("value"))
-    records.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple]:
     """Records of one archive, found by their stated lengths; digests are computed from the stored payloads."""
+    if content[:2] == b"\x1f\x8b":
+        content = gzip.decompress(content)
     at, view = 0, memoryview(content)
     while at < len(content):
         end = content.index(b"\r\n\r\n", at)
