@@ -132,9 +132,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     responses = (records.where("record_type = 'response'").groupBy("record_id")
                  .agg(F.first("source_key").alias("refers_to"), F.first("payload_bytes").alias("original_bytes"))
                  .withColumnRenamed("record_id", "refers_to_record"))
-    return (records.join(responses, "refers_to_record", "left")
-            .select("record_id", "source_key", "record_type", "target_uri", "payload_digest",
-                    F.coalesce("payload_bytes", "original_bytes").alias("payload_bytes"), "refers_to"))
+    # Responses name nobody: in the join they would all meet under the null key.
+    revisits = (records.where("record_type = 'revisit'").drop("payload_bytes").join(responses, "refers_to_record", "left")
+                .withColumnRenamed("original_bytes", "payload_bytes"))
+    stored = records.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("string"))
+    columns = ["record_id", "source_key", "record_type", "target_uri", "payload_digest", "payload_bytes", "refers_to"]
+    return stored.select(columns).unionByName(revisits.select(columns))
 
 
 def archive_round_trip(pages: DataFrame, **options) -> DataFrame:
