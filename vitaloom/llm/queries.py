@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaloom.llm import labelled, quality, sharding, toxicity, warc
+from vitaloom.llm import decontaminate, labelled, quality, sharding, toxicity, transducer, warc
 from vitaloom.llm.common import fold, read
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -61,6 +61,10 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
   regexp_replace(replace(replace(coalesce(url, ''), chr(10), '%0A'), chr(13), '%0D'), '[\\x00-\\x20\\x7F]', '%20', 'g') AS target_uri
 FROM r"""
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = read(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 5) == 0
     model = quality.fit(docs, read(spark, sf_dir, "labels").where(~held))
@@ -75,5 +79,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", labelled.decide(F.col("score")).alias("predicted"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_warc": op3_warc, "op5_quality": op5_quality, "op10_toxicity": op10_toxicity}
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = transducer.MODEL) -> DataFrame:
+    return transducer.round_trip(read(spark, sf_dir, "documents"), transducer.load(model))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination,
+           "op5_quality": op5_quality, "op10_toxicity": op10_toxicity,
+           "op9_sentencepiece": op9_sentencepiece}
 SQL = {"op1_sharding": OP1_SQL, "op3_warc": OP3_SQL}
