@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaloom.llm import decontaminate, labelled, quality, sharding, toxicity, transducer, warc
+from vitaloom.llm import decontaminate, labelled, merkle, quality, sharding, toxicity, transducer, warc
 from vitaloom.llm.common import fold, read
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -79,11 +79,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", labelled.decide(F.col("score")).alias("predicted"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.with_edits(read(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = transducer.MODEL) -> DataFrame:
     return transducer.round_trip(read(spark, sf_dir, "documents"), transducer.load(model))
 
 
 QUERIES = {"op1_sharding": op1_sharding, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination,
-           "op5_quality": op5_quality, "op10_toxicity": op10_toxicity,
+           "op5_quality": op5_quality, "op6_fingerprints": op6_fingerprints, "op10_toxicity": op10_toxicity,
            "op9_sentencepiece": op9_sentencepiece}
 SQL = {"op1_sharding": OP1_SQL, "op3_warc": OP3_SQL}
