@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaloom.llm import decontaminate, labelled, merkle, quality, sharding, toxicity, transducer, warc
+from vitaloom.llm import decontaminate, labelled, merkle, quality, radix_dedup, sharding, toxicity, transducer, warc
 from vitaloom.llm.common import fold, read
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -83,11 +83,32 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.with_edits(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = radix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH h AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT rid, unnest(range(0, greatest(len(x) // 2 - 399, 0))) AS i, x FROM h),
+m AS (SELECT rid, i, md5(substr(x, 2 * i + 1, 800)) AS m FROM w),
+r AS (SELECT m FROM m GROUP BY m HAVING count(*) > 1),
+s AS (SELECT rid, i, i > coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i) + 400, -1) AS opens FROM m SEMI JOIN r USING (m)),
+g AS (SELECT rid, i, sum(opens::INT) OVER (PARTITION BY rid ORDER BY i) AS n FROM s),
+u AS (SELECT rid, n, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY rid, n),
+k AS (SELECT rid, n, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM u),
+e AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS fin,
+    string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS front FROM k JOIN h USING (rid) GROUP BY rid)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(front, '') || substr(x, 2 * coalesce(fin, 0) + 1))) AS kept_sha256
+FROM h LEFT JOIN e USING (rid)"""
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = transducer.MODEL) -> DataFrame:
     return transducer.round_trip(read(spark, sf_dir, "documents"), transducer.load(model))
 
 
 QUERIES = {"op1_sharding": op1_sharding, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination,
-           "op5_quality": op5_quality, "op6_fingerprints": op6_fingerprints, "op10_toxicity": op10_toxicity,
+           "op5_quality": op5_quality, "op6_fingerprints": op6_fingerprints, "op8_suffix_dedup": op8_suffix_dedup, "op10_toxicity": op10_toxicity,
            "op9_sentencepiece": op9_sentencepiece}
-SQL = {"op1_sharding": OP1_SQL, "op3_warc": OP3_SQL}
+SQL = {"op1_sharding": OP1_SQL, "op3_warc": OP3_SQL, "op8_suffix_dedup": OP8_SQL}
