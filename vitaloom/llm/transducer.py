@@ -12,8 +12,8 @@ sum wins).
   would stay apart at this boundary; illegal neighbours weigh infinity, legal ones nothing. States become (position,
   last piece), and exactly one path is finite.
 
-No piece holds a meta symbol after another character, so every path passes through the positions in front of such meta
-symbols, and the lattice of a long text falls apart into the lattices of its words. Paths of words seen lately are
+No piece holds a meta symbol after another character (nor, in most models, letters beside other characters), so every
+path passes through those positions, and the lattice of a long text falls apart into the lattices of its words. Paths of words seen lately are
 remembered, within a bound.
 """
 
@@ -35,10 +35,13 @@ META = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+REMEMBERED_NEIGHBOURS = 300_000
 # Words longer than this are encoded each time, so that what is remembered stays small.
 REMEMBERED_CHARS = 64
-WORD = re.compile(f"{META}*[^{META}]*")
+WORD = re.compile(f"{META}*[^{META}]+|{META}+")
+# The same, also apart where letters meet other characters.
+LETTERS = re.compile(rf"{META}*[^\W\d_¹²³]+|{META}*(?:[\W\d_¹²³](?<!{META}))+|{META}+")
 
 
 def proto(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -111,8 +114,14 @@ class Transducer:
             node = self.trie
             for c in piece:
                 node = node.setdefault(c, {})
-            node[""] = i
+            node[""] = piece
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
+        # No path crosses a boundary that no piece crosses.
+        inside = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
+        crosses = any(len(LETTERS.findall(x)) > 1 for x in inside if x[0] != META)
+        self.words = WORD if crosses else LETTERS
+        self.written = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.encode()
+                        for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.paths: dict[str, tuple[int, ...]] = {}
         self.neighbours: dict[tuple[str, str], bool] = {}
 
@@ -161,7 +170,7 @@ class Transducer:
                 until, tie, x = time_x, False, splits[x][1]
             else:
                 until, tie, y = time_y, True, splits[y][0]
-        if len(self.neighbours) >= REMEMBERED:
+        if len(self.neighbours) >= REMEMBERED_NEIGHBOURS:
             self.neighbours.clear()
         self.neighbours[a, b] = result
         return result
@@ -174,10 +183,10 @@ class Transducer:
         single = False
         while end < len(text) and (node := node.get(text[end])) is not None:
             end += 1
-            i = node.get("")
-            if i is not None:
+            piece = node.get("")
+            if piece is not None:
                 single |= end == at + 1
-                yield end, text[at:end], -self.scores[i]
+                yield end, piece, -self.scores[self.ids[piece]]
         if not single:
             yield at + 1, text[at], -self.floor
 
@@ -204,8 +213,8 @@ class Transducer:
                 node = node.get(text[end - 1])
                 if node is None:
                     break
-                if last[end] is None and "" in node and (not at or self.legal(before, text[at:end])):
-                    last[end] = text[at:end]
+                if last[end] is None and (piece := node.get("")) is not None and (not at or self.legal(before, piece)):
+                    last[end] = piece
             if last[at + 1] is None and text[at] not in self.ids:
                 last[at + 1] = text[at]
         path, at = [], len(text)
@@ -230,7 +239,7 @@ class Transducer:
         """Ids of a whole text; a null text has none, as the empty one."""
         out: list[int] = []
         paths = self.paths
-        for word in WORD.findall(self.normalise(text or "")):
+        for word in self.words.findall(self.normalise(text or "")):
             ids = paths.get(word)
             if ids is None:
                 ids = self.path(word)
@@ -243,15 +252,7 @@ class Transducer:
 
     def decode(self, ids: list[int]) -> str:
         """The inverse transducer: pieces and bytes to text, the dummy prefix taken off. Control ids write nothing."""
-        out = bytearray()
-        for i in ids:
-            if self.kinds[i] == BYTE:
-                out.append(int(self.pieces[i][3:5], 16))
-            elif self.kinds[i] == UNKNOWN:
-                out += " ⁇ ".encode()
-            elif self.kinds[i] != CONTROL:
-                out += self.pieces[i].encode()
-        text = out.decode("utf-8", "replace").replace(META, " ")
+        text = b"".join([self.written[i] for i in ids]).decode("utf-8", "replace").replace(META, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
@@ -308,7 +309,7 @@ def round_trip(docs: DataFrame, model: bytes, *, key: str = "doc_id", text: str
                     same.append(machine.decode(found[-1]) == (t or ""))
                 sizes = np.array([len(f) for f in found], np.int32)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                flat = np.fromiter((i for f in found for i in f), np.int32, int(ends[-1]))
+                flat = np.concatenate([np.array(f, np.int32) for f in found])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sizes), pa.array(same)],
                                                  names=[key, "ids", "n_tokens", "restored"])
 
