@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaloom.llm import decontaminate, labelled, merkle, quality, radix_dedup, sharding, toxicity, transducer, warc
+from vitaloom.llm import decontaminate, labelled, merkle, quality, radix_dedup, recompression, sharding, toxicity, transducer, warc
 from vitaloom.llm.common import fold, read
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -83,6 +83,23 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.with_edits(read(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = recompression.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT rid, doc_id, ws, unnest(range(1, greatest(len(ws) - 18, 1))) AS i FROM d),
+m AS (SELECT rid, doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS m FROM i),
+f AS (SELECT rid, i, row_number() OVER w > 1 AS again FROM m WINDOW w AS (PARTITION BY m ORDER BY doc_id, i)),
+p AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS word FROM d),
+g AS (SELECT DISTINCT rid, unnest(range(i, i + 20)) AS j FROM f WHERE again),
+k AS (SELECT rid, count(*) AS kept, string_agg(word, ' ' ORDER BY j) AS t FROM p ANTI JOIN g USING (rid, j) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)"""
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = radix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -109,6 +126,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = transducer.
 
 
 QUERIES = {"op1_sharding": op1_sharding, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination,
-           "op5_quality": op5_quality, "op6_fingerprints": op6_fingerprints, "op8_suffix_dedup": op8_suffix_dedup, "op10_toxicity": op10_toxicity,
+           "op5_quality": op5_quality, "op6_fingerprints": op6_fingerprints, "op7_substring_dedup": op7_substring_dedup,
+           "op8_suffix_dedup": op8_suffix_dedup, "op10_toxicity": op10_toxicity,
            "op9_sentencepiece": op9_sentencepiece}
-SQL = {"op1_sharding": OP1_SQL, "op3_warc": OP3_SQL, "op8_suffix_dedup": OP8_SQL}
+SQL = {"op1_sharding": OP1_SQL, "op3_warc": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
