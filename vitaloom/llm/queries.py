@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaloom.llm import decontaminate, labelled, merkle, quality, radix_dedup, recompression, sharding, toxicity, transducer, warc
+from vitaloom.llm import decontaminate, jaccard_join, labelled, merkle, quality, radix_dedup, recompression, sharding, toxicity, transducer, warc
 from vitaloom.llm.common import fold, read
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -42,6 +42,23 @@ SELECT doc_id, d.slot, b.shard, a.shard AS shard_after FROM (
 JOIN before b ON b.slot = d.slot JOIN later a ON a.slot = d.slot"""
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"), rule=jaccard_join.Rule(words=3, num=90, den=100))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) END AS sh FROM w),
+t AS (SELECT rid, len(sh) AS n, unnest(sh) AS token FROM s),
+i AS (SELECT a.rid AS x, b.rid AS y, a.n + b.n AS n, count(*) AS shared FROM t a JOIN t b USING (token) WHERE a.rid <> b.rid GROUP BY ALL),
+links AS (SELECT x, y FROM i WHERE 100 * shared >= 90 * (n - shared)),
+reach AS (SELECT rid AS x, rid AS y FROM s UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM s JOIN reach ON reach.x = s.rid JOIN s o ON o.rid = reach.y GROUP BY s.rid, s.doc_id, s.sh"""
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_round_trip(read(spark, sf_dir, "pages"))
     return records.select(F.col("source_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
@@ -125,8 +142,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = transducer.
     return transducer.round_trip(read(spark, sf_dir, "documents"), transducer.load(model))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination,
+QUERIES = {"op1_sharding": op1_sharding, "op2_jaccard_join": op2_jaccard_join, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination,
            "op5_quality": op5_quality, "op6_fingerprints": op6_fingerprints, "op7_substring_dedup": op7_substring_dedup,
            "op8_suffix_dedup": op8_suffix_dedup, "op10_toxicity": op10_toxicity,
            "op9_sentencepiece": op9_sentencepiece}
-SQL = {"op1_sharding": OP1_SQL, "op3_warc": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
+SQL = {"op1_sharding": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_warc": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
