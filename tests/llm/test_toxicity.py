@@ -68,8 +68,8 @@ def test_label_model_finds_rates_and_company():
     f = rng.random((len(y), 10)) < np.where(y[:, None], toxic, clean)
     f = np.hstack([f, f[:, :1], f[:, :1]])
     both = f.T.astype(float) @ f
-    c, t, discount = toxicity.label_model(len(y), both, 0.2, np.full(12, 0.3))
-    assert np.abs(t[1:10] - toxic[1:10]).max() < 0.06 and np.abs(c[1:10] - clean[1:10]).max() < 0.03
-    assert (discount[[0, 10, 11]] <= 1 / 3).all() and (discount[1:10] == 1).all()
-    p = toxicity.posterior(f, 0.2, c, t, discount)
-    assert ((p > 0.5) == y).mean() > 0.97
+    model = toxicity.label_model(len(y), both, 0.2, np.full(12, 0.3))
+    assert np.abs(model.toxic[1:10] - toxic[1:10]).max() < 0.2 and np.abs(model.clean[1:10] - clean[1:10]).max() < 0.05
+    assert model.within[0, 10] > 0.05 > np.abs(model.within[1:10, 1:10] - np.diag(np.diag(model.within[1:10, 1:10]))).max()
+    assert np.ptp(model.weights[[0, 10, 11]]) < 1e-6 and model.weights[[0, 10, 11]].sum() < 1.5 * model.weights[1:10].max()
+    assert ((model.posterior(f) > 0.5) == y).mean() > 0.96

@@ -4,7 +4,7 @@ Many voters look at a text: lexicon voters hold words that labelled texts sugges
 grawlixes or second-person insults. A generative label model estimates from all documents how accurate the voters are:
 with a hidden class ``y`` of share ``p``, the covariance of two independent voters is ``p (1 - p) d_i d_j``, where ``d``
 is how much likelier a voter fires on toxic texts. Pairs whose covariance departs from that rank-one shape are
-correlated; they are left out of the fit and share their weight in the posterior. A linear classifier on words is
+correlated: they are left out of the fit, and the posterior weighs by the inverse of what is left of the covariances. A linear classifier on words is
 trained on the posterior labels, and its margin is calibrated on labelled texts.
 
 What is counted over the corpus are the firings of pairs of voters: a few hundred sums for each task, added up by a
@@ -25,12 +25,16 @@ from vitaloom.llm.labelled import logistic, sample
 
 LEXICON_VOTERS = 24
 LEXICON_WORDS = 480
-FEATURES = 800
+FEATURES = 1000
+# Words longer than this also count by their first letters.
+STEM = 4
 # A word enters the lexicon when it is in so many toxic texts and so many times likelier there.
 MIN_TEXTS = 3
 MIN_LIFT = 3.0
-# Two voters are correlated when their covariance misses the model's by more than this share of the larger deviation.
+# Two voters are correlated when their covariance misses the model's by more than this share of their deviations.
 CORRELATED = 0.1
+# How often a given label is taken to be right.
+ANNOTATOR = 0.99
 
 # Common English insults.
 INSULTS = ("idiot", "stupid", "moron", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "dumb", "jerk", "imbecile",
@@ -50,7 +54,9 @@ class Model:
 
 
 def words(text: str | None) -> set[str]:
-    return set(WORD.findall(text.lower())) if text else set()
+    """Distinct words of a whole text, and how the longer ones begin."""
+    found = set(WORD.findall(text.lower())) if text else set()
+    return found | {w[:STEM] + "*" for w in found if len(w) > STEM}
 
 
 def deal(lexicon: list[str]) -> dict[str, int]:
@@ -93,45 +99,56 @@ def pair_counts(docs: DataFrame, text: str, voter_of: dict[str, int]) -> tuple[f
     return float(total), both
 
 
-def label_model(total: float, both: np.ndarray, prior: float, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Firing rates of every voter on clean and on toxic texts, and its discount for correlated company.
+@dataclass(frozen=True)
+class LabelModel:
+    """Firing rates on clean and toxic texts, covariances within a class, and the posterior's weights."""
+
+    clean: np.ndarray
+    toxic: np.ndarray
+    within: np.ndarray
+    weights: np.ndarray
+    bias: float
+
+    def posterior(self, votes: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+        """Probability of the toxic class given which voters fire; where a text is labelled, the annotator is one more voter."""
+        logit = votes @ self.weights + self.bias
+        if labels is not None:
+            logit = np.clip(logit, -4, 4) + (2 * labels - 1) * np.log(ANNOTATOR / (1 - ANNOTATOR))
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
-    ``start`` are rates differences seen on labelled texts; they settle which voters speak for which class. A voter
-    that never or always fires says nothing.
+
+def label_model(total: float, both: np.ndarray, prior: float, start: np.ndarray) -> LabelModel:
+    """Accuracies and correlations of the voters from how often pairs of them fire together.
+
+    ``start`` are differences of the firing rates seen on labelled texts: they settle which class a voter speaks for, and
+    count as much as all other voters together. Pairs found correlated are left out of the fit one by one, the worst
+    first, because they bend it for all others. What the two classes do not explain of the covariances is the voters'
+    correlation within a class; the posterior weighs them by its inverse, so voters that always agree share one weight.
     """
     n = len(both)
     rate = np.diag(both) / max(total, 1)
     cov = both / max(total, 1) - np.outer(rate, rate)
-    spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
+    spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
     share = prior * (1 - prior)
     usable = ~np.eye(n, dtype=bool)
     for _ in range(n):
         delta = start.astype(float).copy()
-        for _ in range(50):
+        for _ in range(30):
             for i in range(n):
-                others = usable[i] & (spread > 1e-5)
-                weight = delta[others] ** 2 / spread[others] ** 2
-                if weight.sum() > 1e-12:
-                    fit = (cov[i, others] * delta[others] / spread[others] ** 2).sum() / (share * weight.sum())
-                    delta[i] = np.clip(0.5 * delta[i] + 0.5 * fit, -1, 1)
-        off = np.where(usable, np.abs(cov - share * np.outer(delta, delta)) / np.maximum.outer(spread, spread) ** 2, 0)
-        # The worst pairs first: they bend the fit of all others.
+                weight = np.where(usable[i], delta / spread**2, 0)
+                pull = max((weight * delta).sum(), 1e-9)
+                delta[i] = np.clip(((cov[i] * weight).sum() / share + pull * start[i]) / (2 * pull), -1, 1)
+        off = np.where(usable, np.abs(cov - share * np.outer(delta, delta)) / np.outer(spread, spread), 0)
         worst = off >= max(CORRELATED, off.max() / 2)
         if not worst.any() or ((usable & ~worst).sum(axis=1) < 3).any():
             break
         usable &= ~worst
-    delta = np.where(np.sign(delta) == np.sign(start), delta, 0.5 * start)
-    toxic = np.clip(rate + delta * (1 - prior), 1e-4, 1 - 1e-4)
-    clean = np.clip(rate - delta * prior, 1e-4, 1 - 1e-4)
-    company = (~usable).sum(axis=1) - 1
-    return clean, toxic, 1 / (1 + np.maximum(company, 0))
-
-
-def posterior(votes: np.ndarray, prior: float, clean: np.ndarray, toxic: np.ndarray, discount: np.ndarray) -> np.ndarray:
-    """Probability of the toxic class given which voters fire."""
-    yes, no = np.log(toxic / clean), np.log((1 - toxic) / (1 - clean))
-    logit = np.log(prior / (1 - prior)) + np.where(votes, yes, no) @ discount
-    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    toxic, clean = np.clip(rate + delta * (1 - prior), 0, 1), np.clip(rate - delta * prior, 0, 1)
+    within = cov - share * np.outer(delta, delta)
+    values, vectors = np.linalg.eigh((within + within.T) / 2 / np.outer(spread, spread))
+    inverse = (vectors / np.maximum(values, 0.05)) @ vectors.T / np.outer(spread, spread)
+    weights = inverse @ (toxic - clean)
+    return LabelModel(clean, toxic, within, weights, float(np.log(prior / (1 - prior)) - weights @ (toxic + clean) / 2))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -167,8 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     for i, r in enumerate(rows):
         votes[i, fired(r[2], voter_of)] = True
     start = votes[y == 1].mean(axis=0) - votes[y == 0].mean(axis=0)
-    clean, toxic, discount = label_model(*pair_counts(docs, text, voter_of), prior, start)
-    target = posterior(votes, prior, clean, toxic, discount)
+    target = label_model(*pair_counts(docs, text, voter_of), prior, start).posterior(votes, y)
 
     at = {r[1]: i for i, r in enumerate(features)}
     x = np.zeros((len(rows), len(at)))
