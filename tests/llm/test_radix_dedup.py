@@ -46,7 +46,8 @@ def corpus(seed, n):
 def cut(spark, texts, threshold=r.THRESHOLD):
     df = spark.createDataFrame([(i, t, "x", None) for i, t in enumerate(texts)], "doc_id long, text string, KEPT string, t string").repartition(3)
     out = r.remove_repeats(df, threshold=threshold)
-    assert out.columns == ["doc_id", "text", "t", "kept", "n_bytes", "n_removed", "removed"]
+    assert out.columns == ["doc_id", "text", "t", "kept", "kept_text", "n_bytes", "n_removed", "removed"]
+    assert all(x["kept_text"] == bytes(x["kept"]).decode("utf-8", "ignore") for x in out.collect())
     return [(x["n_bytes"], x["n_removed"], len(x["removed"]), hashlib.sha256(bytes(x["kept"])).hexdigest()) for x in out.orderBy("doc_id").collect()]
 
 

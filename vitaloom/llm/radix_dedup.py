@@ -9,10 +9,13 @@ passes use digits that shrink the work early:
    their anchor, so one row stands for about ``(threshold - DIGIT) / 2`` suffixes. Anchors that occur once end here.
 2. The second digit is the whole stretch that the windows of an anchor cover. Stretches that are equal to another are
    repeated in all their windows, and one of them stands for all from here on.
-3. Only where an anchor has several different stretches the windows themselves are compared, one row for each window of
-   each different stretch; equal groups are exactly the repeated windows.
+3. Where an anchor has several different stretches, the third digit is the core that ``STEP`` neighbouring windows have in
+   common, carried with the few bytes left and right of it. A core that occurs once is in no repeated window; cores with
+   equal margins are repeated in all their windows.
+4. Only where a core has several different margins the windows themselves are compared, as core and parts of the margins;
+   equal groups are exactly the repeated windows.
 
-Digits are compared by 64-bit hashes on top of the anchor's own 64 bits. Every pass is a partial aggregate and a join
+Digits are compared by 64-bit hashes on top of the anchor's own 64 bits, cores by 128 bits, margins as they are. Every pass is a partial aggregate and a join
 with a side that is unique on the key, so a passage that a third of all documents share is one row per task in the
 aggregates and can be split in the joins. Texts meet their spans by a key of their content.
 """
@@ -23,18 +26,25 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from vitaloom.llm.common import as_batch, discard
 from vitaloom.session import cut_lineage
 
 THRESHOLD = 400
 DIGIT = 128
+# Windows whose common core is compared at once.
+STEP = 16
 # Window starts that are looked at together; bounds the arrays for a very long text.
 BLOCK = 1 << 18
 POSITION_BITS = 20
-# Packed: start of the stretch (31 bits), number of its windows (10 bits), more bits of the text's identity (22 bits).
-COUNT_BITS, CHECK_BITS = 10, 22
+# Packed: start of the stretch (31 bits), number of its windows and place of the anchor in it (10 bits each), more bits of
+# the text's identity (12 bits).
+COUNT_BITS, CHECK_BITS = 10, 12
 
 
 class Hashes:
@@ -106,7 +116,7 @@ def anchors(threshold: int):
                     out[0].append(h)
                     out[1].append(signed(xxhash.xxh3_64_intdigest(view[first:first + count - 1 + threshold], at - first)))
                     out[2].append(t)
-                    out[3].append((first << COUNT_BITS | count) << CHECK_BITS | check)
+                    out[3].append(((first << COUNT_BITS | count) << COUNT_BITS | at - first) << CHECK_BITS | check)
                     if len(out[0]) >= 50_000:
                         yield batch_of(out)
                         out = [[], [], [], []]
@@ -119,45 +129,68 @@ def batch_of(columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "c", "t", "p"])
 
 
-def first_window(p):
-    return F.shiftright(p, COUNT_BITS + CHECK_BITS)
+def bits(p: str, low: int, width: int) -> Column:
+    return F.shiftright(p, low).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def window_count(p):
-    return F.shiftright(p, CHECK_BITS).bitwiseAND(F.lit((1 << COUNT_BITS) - 1))
+def first_window(p: str) -> Column:
+    return F.shiftright(p, 2 * COUNT_BITS + CHECK_BITS)
 
 
-def check_of(p):
-    return p.bitwiseAND(F.lit((1 << CHECK_BITS) - 1))
+def window_count(p: str) -> Column:
+    return bits(p, COUNT_BITS + CHECK_BITS, COUNT_BITS)
 
 
-def digests(threshold: int):
-    """Windows of some stretches of one text: two hashes of each window's bytes, and where it is."""
+def anchor_place(p: str) -> Column:
+    return bits(p, CHECK_BITS, COUNT_BITS)
+
+
+def check_of(p: str) -> Column:
+    return bits(p, 0, CHECK_BITS)
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts travel compressed to where a stretch of them is looked at again."""
+    small = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            out = pa.array([small.compress(t.encode()) for t in part.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), out], names=["t", "check", "packed"])
+
+
+CORES = "d1 long, d2 long, lft binary, rgt binary, t long, x long, n long"
+
+
+def cores(threshold: int):
+    """Groups of ``STEP`` windows, by their distance from the anchor: the core's hash, the margins that the stretch covers, and where."""
+    types = to_arrow_schema(StructType.fromDDL(CORES))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for t, check, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                view = memoryview(text.encode())
+            out: list[tuple] = []
+            for t, check, packed, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = zstandard.decompress(packed)
                 for part in parts:
-                    for x in range(part["first"], part["first"] + part["count"]):
-                        d = xxhash.xxh3_128_intdigest(view[x:x + threshold])
-                        out[0].append(signed(d >> 64))
-                        out[1].append(signed(d & (1 << 64) - 1))
-                        out[2].append(t)
-                        out[3].append(x << CHECK_BITS | check)
-                        out[4].append(part["n"])
-                    if len(out[0]) >= 50_000:
-                        yield windows_of(out)
-                        out = [[], [], [], [], []]
-            if out[0]:
-                yield windows_of(out)
+                    first, end, at = part["first"], part["first"] + part["count"], part["first"] + part["at"]
+                    x = first
+                    while x < end:
+                        # Windows at - start in [j * STEP, (j + 1) * STEP) have one core.
+                        j = (at - x) // STEP
+                        stop = min(end, at - j * STEP + 1)
+                        core_start, core_stop = at - j * STEP, at - j * STEP - STEP + 1 + threshold
+                        d = xxhash.xxh3_128_intdigest(data[core_start:core_stop], j)
+                        out.append((signed(d >> 64), signed(d & (1 << 64) - 1), data[x:core_start], data[core_stop:stop - 1 + threshold], t, x << CHECK_BITS | check,
+                                    part["n"]))
+                        x = stop
+                    if len(out) >= 20_000:
+                        yield as_batch(out, types)
+                        out = []
+            if out:
+                yield as_batch(out, types)
     return run
 
 
-def windows_of(columns: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["d1", "d2", "t", "x", "n"])
-
-
 def identified(docs: DataFrame, text: str) -> DataFrame:
     """``t, check`` (the identity of a text) and ``text`` with null as empty, beside the columns of ``docs``."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -172,23 +205,32 @@ def repeated_spans(docs: DataFrame, text: str, threshold: int) -> DataFrame:
     # First digit: anchors that occur once are done; an anchor with one stretch needs no further digit.
     groups = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1")
     alive = cut_lineage(found.join(groups, "h").select("h", "c", "t", "p", (F.col("lo") != F.col("hi")).alias("mixed")), "alive")
+    discard(found)
     mixed = alive.where("mixed")
     # Second digit: equal stretches of an anchor.
     classes = mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.first("t").alias("t"), F.first("p").alias("p"))
     same = alive.where("not mixed").select("t", "p").unionByName(mixed.join(classes.where("n > 1").select("h", "c"), ["h", "c"]).select("t", "p"))
-    runs = same.select("t", check_of(F.col("p")).alias("check"), first_window(F.col("p")).alias("first"),
-                       (first_window(F.col("p")) + window_count(F.col("p")) - 1).alias("last"))
-    # Third digit: the windows of what is left, one stretch for each class.
-    parts = (classes.select("t", check_of(F.col("p")).alias("check"),
-                            F.struct(first_window(F.col("p")).alias("first"), window_count(F.col("p")).alias("count"), F.least("n", F.lit(2)).alias("n")).alias("part"))
+    runs = same.select("t", check_of("p").alias("check"), first_window("p").alias("first"), (first_window("p") + window_count("p") - 1).alias("last"))
+    # Third digit: the cores of what is left, one stretch for each class.
+    parts = (classes.select("t", check_of("p").alias("check"), F.struct(first_window("p").alias("first"), window_count("p").alias("count"),
+                                                                       anchor_place("p").alias("at"), F.least("n", F.lit(2)).alias("n")).alias("part"))
              .groupBy("t", "check").agg(F.collect_list("part").alias("parts")))
-    once = texts.groupBy("t", "check").agg(F.first("text").alias("text"))
-    windows = cut_lineage(once.join(parts, ["t", "check"]).select("t", "check", "text", "parts")
-                          .mapInArrow(digests(threshold), "d1 long, d2 long, t long, x long, n long"), "windows")
-    again = windows.groupBy("d1", "d2").agg(F.sum("n").alias("n")).where("n > 1").select("d1", "d2")
+    packed = texts.mapInArrow(pack, "t long, check long, packed binary")
+    once = packed.groupBy("t", "check").agg(F.first("packed").alias("packed"))
+    found = cut_lineage(once.join(parts, ["t", "check"]).select("t", "check", "packed", "parts").mapInArrow(cores(threshold), CORES), "cores")
+    core, margins = ["d1", "d2"], ["lft", "rgt"]
+    classes = found.groupBy(*core, *margins).agg(F.sum("n").alias("n"), F.first("t").alias("t"), F.first("x").alias("x"))
     start = F.shiftright("x", CHECK_BITS)
-    late = (windows.where("n = 1").join(again, ["d1", "d2"])
-            .select("t", F.col("x").bitwiseAND(F.lit((1 << CHECK_BITS) - 1)).alias("check"), start.alias("first"), start.alias("last")))
+    count = F.octet_length("rgt") - (STEP - 1 - F.octet_length("lft")) + 1
+    more = found.where("n = 1").join(classes.where("n > 1").select(*core, *margins), core + margins)
+    runs = runs.unionByName(more.select("t", check_of("x").alias("check"), start.alias("first"), (start + count - 1).alias("last")))
+    # Fourth digit: the windows of cores with different margins. The i-th has the left margin's end and the right one's beginning.
+    several = classes.groupBy(*core).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*core)
+    windows = classes.join(several, core).select(*core, *margins, "t", "x", "n", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
+    whole = [F.expr("substring(lft, i + 1)").alias("lft"), F.expr(f"substring(rgt, 1, {STEP - 1} - octet_length(lft) + i)").alias("rgt")]
+    windows = windows.select(*core, *whole, "t", (F.col("x") + F.shiftleft(F.col("i").cast("long"), CHECK_BITS)).alias("x"), F.least("n", F.lit(2)).alias("n"))
+    again = windows.groupBy(*core, *margins).agg(F.sum("n").alias("n")).where("n > 1").select(*core, *margins)
+    late = windows.where("n = 1").join(again, core + margins).select("t", check_of("x").alias("check"), start.alias("first"), start.alias("last"))
     return runs.unionByName(late).distinct()
 
 
@@ -205,20 +247,21 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, *, text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """Add ``kept`` (the bytes that stay), ``n_bytes``, ``n_removed`` and ``removed`` (maximal ranges of removed bytes).
+    """Add ``kept`` (the bytes that stay), ``kept_text`` (their whole characters), ``n_bytes``, ``n_removed`` and ``removed`` (maximal ranges of removed bytes).
 
     A byte is removed when a string of ``threshold`` bytes covers it that also starts at another place, in the same text
     or in another; all occurrences go, and strings are judged on the input. Texts are UTF-8, null is empty; no match
     crosses a text's end; texts below the threshold stay whole. Repeated rows and equal texts count as places of their
     own. Columns of those names are replaced; other columns and the number of rows stay.
     """
-    if threshold <= DIGIT or threshold - DIGIT >= 1 << COUNT_BITS:
+    if not DIGIT < threshold < DIGIT + (1 << COUNT_BITS):
         raise ValueError(f"the threshold must be from {DIGIT + 1} to {DIGIT + (1 << COUNT_BITS) - 1} bytes")
     spans = (repeated_spans(docs, text, threshold).groupBy("t", "check")
              .agg(F.collect_list(F.struct("first", "last")).alias("_spans")).withColumnsRenamed({"t": "_t", "check": "_check"}))
     met = identified(docs, text).join(spans, ["_t", "_check"], "left")
+    new = ["kept", "kept_text", "n_bytes", "n_removed", "removed"]
 
-    @F.pandas_udf("struct<kept: binary, n_bytes: long, n_removed: long, removed: array<struct<start: long, stop: long>>>")
+    @F.pandas_udf("struct<kept: binary, kept_text: string, n_bytes: long, n_removed: long, removed: array<struct<start: long, stop: long>>>")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, lists in batches:
             rows = []
@@ -227,9 +270,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", threshold: int = THRE
                 gone = merged([(s["first"], s["last"] + threshold) for s in found]) if found is not None else []
                 ends = [0, *(x for s in gone for x in s), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-                rows.append((kept, len(data), len(data) - len(kept), [{"start": a, "stop": b} for a, b in gone]))
-            yield pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "removed"])
+                rows.append((kept, kept.decode("utf-8", "ignore"), len(data), len(data) - len(kept), [{"start": a, "stop": b} for a, b in gone]))
+            yield pd.DataFrame(rows, columns=new)
 
-    new = ["kept", "n_bytes", "n_removed", "removed"]
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
     return met.withColumn("_cut", cut("_text", "_spans")).select(*own, *[F.col(f"_cut.{c}").alias(c) for c in new])
