@@ -27,6 +27,15 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def discard(written: DataFrame) -> None:
+    """Remove the files of a table from ``cut_lineage`` that nothing reads any more."""
+    files = written.inputFiles()
+    if files:
+        spark = written.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def map_rows(df: DataFrame, rows: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
     """One Arrow pass over the partitions of ``df``: ``rows`` gets the values of a row and yields output tuples.
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitaloom.llm.common import WordIds
+from vitaloom.llm.common import WordIds, discard
 from vitaloom.llm.components import connected
 from vitaloom.session import cut_lineage
 
@@ -246,7 +246,9 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rule: Rule) ->
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     sides = close.join(full.select(F.col("k").alias("b"), F.col("tokens").alias("tb")), "b").join(full.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), "a")
-    return cut_lineage(sides.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links")
+    links = cut_lineage(sides.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links")
+    discard(full)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
@@ -268,6 +270,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     # Documents of one key but different texts hang together through the smallest keys of their sets.
     members = rows.where("n > 0").join(sets.select("d1", "d2", "r"), ["d1", "d2"]).select("k", "r", "n")
     own = members.where("k <> r").select(F.col("k").alias("u"), F.col("r").alias("v")).distinct()
+    discard(entries)
     if rest.limit(1).count():
         links = links.unionByName(verified(rest, sets, docs, rule))
     repeated = members.groupBy("k").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select(F.col("k").alias("rk"))
