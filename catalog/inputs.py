@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPREAD = "spark.vitaloom.inputs.spread"
 AS_OF = "2024-03-01 00:00:00"
 
 JOBS = """
@@ -118,19 +119,19 @@ PAIRS = "SELECT DISTINCT o_custkey AS resume_id, l_partkey AS job_id FROM {linei
 
 # Resumes with a quality score and a level that do not depend on the text, and the encoder's vectors.
 PEOPLE = f"""
-SELECT r.id, r.text, r.ats_score, r.candidate_level, e.embedding AS vector FROM (
-  SELECT id, text, CAST(floor((c_acctbal + 1000) / 110) AS DOUBLE) AS ats_score,
-    CASE id % 6 WHEN 0 THEN 'student' WHEN 1 THEN 'entry' WHEN 2 THEN 'mid' WHEN 3 THEN 'senior' WHEN 4 THEN 'principal'
-      ELSE 'intern' END AS candidate_level, id % (SELECT count(*) FROM {{embeddings}}) AS vec
+SELECT r.id, r.text, r.ats_score, r.candidate_level, CASE WHEN r.id % 11 = 3 THEN NULL ELSE e.embedding END AS vector FROM (
+  SELECT id, text, CASE WHEN id % 13 = 5 THEN NULL ELSE CAST(floor((c_acctbal + 1000) / 110) AS DOUBLE) END AS ats_score,
+    CASE WHEN id % 17 = 2 THEN NULL ELSE CASE id % 6 WHEN 0 THEN 'student' WHEN 1 THEN 'entry' WHEN 2 THEN 'mid' WHEN 3 THEN 'senior' WHEN 4 THEN 'principal'
+      ELSE 'intern' END END AS candidate_level, id % (SELECT count(*) FROM {{embeddings}}) AS vec
   FROM ({RESUMES}) AS resumes JOIN {{customer}} ON id = c_custkey) AS r
 JOIN {{embeddings}} AS e ON e.vec_id = r.vec"""
 JOB_VECTORS = """
-SELECT j.job_id, e.embedding AS vector FROM (
+SELECT j.job_id, CASE WHEN j.job_id % 19 = 4 THEN NULL ELSE e.embedding END AS vector FROM (
   SELECT p_partkey AS job_id, (p_partkey * 7 + 3) % (SELECT count(*) FROM {embeddings}) AS vec FROM {part}) AS j
 JOIN {embeddings} AS e ON e.vec_id = j.vec"""
 CORPUS_VECTORS = f"""
-SELECT c.doc_id, c.text, e.embedding AS vector FROM (
-  SELECT doc_id, text, number % (SELECT count(*) FROM {{embeddings}}) AS vec FROM ({CORPUS}) AS corpus) AS c
+SELECT c.doc_id, c.text, CASE WHEN c.number % 11 = 3 THEN NULL ELSE e.embedding END AS vector FROM (
+  SELECT doc_id, text, number, number % (SELECT count(*) FROM {{embeddings}}) AS vec FROM ({CORPUS}) AS corpus) AS c
 JOIN {{embeddings}} AS e ON e.vec_id = c.vec"""
 
 def tables_of(sql: str) -> list[str]:
@@ -142,12 +143,11 @@ def for_duckdb(sql: str) -> str:
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table. A table of fewer splits than cores is spread, because the text work is heavy per row."""
+    """One given table. ``SPREAD`` in the session deals the rows of text tables to so many tasks: for small files in
+    few splits, where the text work is heavy per row. Large tables are read as they are split."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("customer", "documents", "part") and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    tasks = spark.conf.get(SPREAD, None)
+    return df.repartition(int(tasks)) if tasks and name in ("customer", "documents", "part") else df
 
 
 def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -71,14 +71,14 @@ JOB_SIDE = f"""SELECT j.*, CAST(v.vector AS DOUBLE[]) AS job_vector, {job_senior
 
 def score_pairs_sql(pairs):
     """CTEs ``person``, ``job`` and ``pair``, the last with every score column of the pairs."""
-    return f"""person AS (SELECT id AS resume_id, text, ats_score, candidate_level, CAST(vector AS DOUBLE[]) AS resume_vector FROM ({D(PEOPLE)})),
+    return f"""person AS (SELECT id AS resume_id, text, coalesce(ats_score, 0) AS ats_score, coalesce(candidate_level, 'entry') AS candidate_level, CAST(vector AS DOUBLE[]) AS resume_vector FROM ({D(PEOPLE)})),
 job AS ({JOB_SIDE}),
 pair AS (SELECT *, round(least(100.0, greatest(0.0, semantic + quality - penalty)), 9) AS raw FROM (SELECT *,
     CASE WHEN snippet THEN {_curve('similarity', fixed.SNIPPET_CURVE, fixed.SNIPPET_TAIL)}
       ELSE {_curve('similarity', fixed.FULL_CURVE, fixed.FULL_TAIL)} END AS semantic,
     ats_score / 100.0 * CASE WHEN snippet THEN 10.0 ELSE 15.0 END AS quality, CAST({PENALTY_SQL} AS DOUBLE) AS penalty
   FROM (SELECT p.resume_id, j.id AS job_id, r.text, j.title, j.description, ats_score, candidate_level, job_level, snippet,
-      round(list_cosine_similarity(resume_vector, job_vector), 12) AS similarity
+      coalesce(round(list_cosine_similarity(resume_vector, job_vector), 12), 0) AS similarity
     FROM {pairs} p JOIN person r ON r.resume_id = p.resume_id JOIN job j ON j.id = p.job_id)))"""
 
 
@@ -166,14 +166,16 @@ def _weave(parts, values):
   SELECT p.resume_id, p.job_id, array_to_string({reasons_sql('top')}, '|') AS value FROM pair p JOIN best b
   ON b.resume_id = p.resume_id AND b.job_id = p.job_id""")
 def _(spark, d):
-    sides = pair_texts(spark, d).select("resume_id", "job_id", "resume_terms", "job_terms")
-    told = scored_pairs(spark, d).join(sides, ["resume_id", "job_id"])
+    low = F.lower(matching.job_text(c("title"), c("description")))
+    told = match_pairs(table(spark, d, PAIRS),
+                       resume_side(people(spark, d), more=[vocabulary.match_terms(F.lower("text")).alias("resume_terms")]),
+                       job_side(jobs_with_vectors(spark, d), more=[vocabulary.match_terms(low).alias("job_terms")]))
     reasons = matching.match_reasons(c("similarity"), c("ats_score"), c("raw_score"), c("seniority_penalty"), c("candidate_level"),
                                      c("job_level"), c("resume_terms"), c("job_terms"))
     return told.select("resume_id", "job_id", joined(reasons).alias("value"))
 
 
-WORDS_SQL = f"""WITH person AS (SELECT id, ats_score, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'),
+WORDS_SQL = f"""WITH person AS (SELECT id, coalesce(ats_score, 0) AS ats_score, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'),
   lambda w: length(w) > 3)) AS rw FROM ({D(PEOPLE)})),
 job AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(description), '\\s+'), lambda w: length(w) > 3)) AS jw FROM ({D(JOBS)})),
 pair AS (SELECT p.resume_id, p.job_id, ats_score, len(jw) AS n, list_filter(jw, lambda w: list_contains(rw, w)) AS common
@@ -202,7 +204,7 @@ def _skill_list(found, names):
 
 
 RULES_SQL = features(PEOPLE.replace("SELECT r.id, r.text", "SELECT r.id AS doc_id, r.id, r.text")) + f""", person AS (
-  SELECT src.id, src.ats_score, {_skill_list('skills', fixed.TECHNICAL_SKILLS)} AS technical, {_skill_list('skills', fixed.SOFT_SKILLS)} AS soft
+  SELECT src.id, coalesce(src.ats_score, 0) AS ats_score, {_skill_list('skills', fixed.TECHNICAL_SKILLS)} AS technical, {_skill_list('skills', fixed.SOFT_SKILLS)} AS soft
   FROM features JOIN src USING (doc_id)),
 job AS (SELECT id, lower(concat(title, ' ', description)) AS low, salary,
   (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(posted_date)) / 86400e6 AS age FROM ({D(JOBS)})),
@@ -270,7 +272,7 @@ def _(spark, d):
     return corpus_vectors(spark, d).select("doc_id", F.round(vectors.topk_mean_similarity(sims, 5), 6).alias("value"))
 
 
-@query("semantic_to_ideal", f"WITH {semantic_sql()} SELECT doc_id, round(least(20.0, mean_top * 22), 4) AS value FROM near")
+@query("semantic_to_ideal", f"WITH {semantic_sql()} SELECT doc_id, CASE WHEN mean_top IS NOT NULL THEN round(least(20.0, mean_top * 22), 4) END AS value FROM near")
 def _(spark, d):
     return corpus_vectors(spark, d).select("doc_id", F.round(vectors.semantic_to_ideal(c("vector"), c("ideals")), 4).alias("value"))
 
@@ -328,14 +330,23 @@ HYBRID_SQL = {
     "length_score": _rows("word_count", fixed.LENGTH_BANDS), "tailoring_bonus": "CASE WHEN tailored THEN 2.0 ELSE 0.0 END",
     "leadership_bonus": "CASE WHEN leads THEN 1.5 ELSE 0.0 END", "oss_bonus": "CASE WHEN open_source THEN 0.5 ELSE 0.0 END",
     "contact_penalty": "CASE WHEN has_contact THEN 0.0 ELSE -10.0 END", "dates_penalty": "date_penalty"}
+VERBS_NUMBERS = "CASE " + " ".join(f"WHEN len(verbs) >= {v} AND len(numbers) >= {n} THEN {p}" for v, n, p in R["verbs_and_numbers"]) + " ELSE 0.0 END"
+
+
+RULES_SCORE = f"""least(100.0, CASE WHEN has_contact THEN 8.0 WHEN {EITHER} THEN 4.0 ELSE 0.0 END
+  + {ladder('len(sections)', R['sections'], 'len(sections) / 6 * 12')} + least(len(verbs) / 12 * 15, 15.0) + least(len(numbers) / 10 * 18, 18.0)
+  + {bands('word_count', R['words'], '6.0')} + {ladder('len(sections)', R['section_bonus'])} + {VERBS_NUMBERS} + {ladder('len(skills)', R['skills'])})"""
+
+
 LEVELED = "leveled AS (SELECT *, CASE WHEN experience_level IN ('entry', 'mid', 'senior') THEN experience_level ELSE 'entry' END AS level FROM features)"
-PARTS = ", ".join(f"CAST({expr} AS DOUBLE) AS {name}" for name, expr in HYBRID_SQL.items())
+# Rows without a vector are scored by the rules and have no parts.
+PARTS = ", ".join(f"CASE WHEN mean_top IS NOT NULL THEN CAST({expr} AS DOUBLE) END AS {name}" for name, expr in HYBRID_SQL.items())
 BASE = " + ".join(n for n in HYBRID_SQL if not n.endswith(("bonus", "penalty")))
 SCORED_SQL = features() + f""", {semantic_sql()}, {LEVELED},
-parts AS (SELECT leveled.*, {PARTS} FROM leveled JOIN near USING (doc_id)),
-scored AS (SELECT *, {BASE} AS base, least(100.0, greatest(0.0, {BASE} + tailoring_bonus + leadership_bonus + oss_bonus
-  + contact_penalty + dates_penalty)) AS total FROM parts),
-final AS (SELECT *, round(total, 1) AS score FROM scored) """
+parts AS (SELECT leveled.*, mean_top, {PARTS} FROM leveled JOIN near USING (doc_id)),
+scored AS (SELECT *, {BASE} AS base, CASE WHEN mean_top IS NOT NULL THEN round(least(100.0, greatest(0.0, {BASE} + tailoring_bonus
+  + leadership_bonus + oss_bonus + contact_penalty + dates_penalty)), 1) ELSE {RULES_SCORE} END AS score FROM parts),
+final AS (SELECT *, CASE WHEN mean_top IS NOT NULL THEN score END AS total FROM scored) """
 
 
 def featured(spark, d):
@@ -350,7 +361,7 @@ def scored_corpus(spark, d):
     return score_features(featured(spark, d), semantic=semantic())
 
 
-@query("ats_score_hybrid", SCORED_SQL + "SELECT doc_id, round(base, 1) AS base_score, score AS total_score, "
+@query("ats_score_hybrid", SCORED_SQL + "SELECT doc_id, round(base, 1) AS base_score, total AS total_score, "
        + ", ".join(f"round({n}, 1) AS {n}" for n in HYBRID_SQL) + " FROM final")
 def _(spark, d):
     return scored_corpus(spark, d).select("doc_id", "breakdown.base_score", "breakdown.total_score",
@@ -381,7 +392,7 @@ LEGACY_SQL = {
     "content_density_score": bands("word_count", fixed.LEGACY_DENSITY), "bullet_points_score": _rows("total_bullets", fixed.LEGACY_BULLETS)}
 
 
-@query("ats_score_legacy", features() + f""", {semantic_sql(3)}, {LEVELED}, parts AS (SELECT doc_id, mean_top * 20 AS ml,
+@query("ats_score_legacy", features() + f""", {semantic_sql(3)}, {LEVELED}, parts AS (SELECT doc_id, coalesce(mean_top, 0) * 20 AS ml,
   {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for n, e in LEGACY_SQL.items())} FROM leveled JOIN near USING (doc_id))
   SELECT doc_id, round(ml, 1) AS ml_semantic_score, {', '.join(f'round({n}, 1) AS {n}' for n in LEGACY_SQL)},
   round({' + '.join(LEGACY_SQL)}, 1) AS rule_based_score, round(least(100.0, greatest(0.0, ml + {' + '.join(LEGACY_SQL)})), 1) AS total_score FROM parts""")
@@ -391,14 +402,6 @@ def _(spark, d):
     return f.withColumn("_mean", mean).select("doc_id", scores.ats_score_legacy(f, c("level"), c("_mean")).alias("s")).select("doc_id", "s.*")
 
 
-VERBS_NUMBERS = "CASE " + " ".join(f"WHEN len(verbs) >= {v} AND len(numbers) >= {n} THEN {p}" for v, n, p in R["verbs_and_numbers"]) + " ELSE 0.0 END"
-
-
-RULES_SCORE = f"""least(100.0, CASE WHEN has_contact THEN 8.0 WHEN {EITHER} THEN 4.0 ELSE 0.0 END
-  + {ladder('len(sections)', R['sections'], 'len(sections) / 6 * 12')} + least(len(verbs) / 12 * 15, 15.0) + least(len(numbers) / 10 * 18, 18.0)
-  + {bands('word_count', R['words'], '6.0')} + {ladder('len(sections)', R['section_bonus'])} + {VERBS_NUMBERS} + {ladder('len(skills)', R['skills'])})"""
-
-
 def rules_scored_sql(source):
     """Scores without an encoder; ``final`` keeps the unrounded score, which the messages use."""
     return features(source) + f", {LEVELED}, final AS (SELECT *, {RULES_SCORE} AS score FROM leveled) "
@@ -414,7 +417,7 @@ STATUS_SQL = "CASE " + " ".join(f"WHEN score >= {at} THEN {lit(n)}" for at, n, _
 MESSAGE_SQL = "CASE " + " ".join(f"WHEN score >= {at} THEN {lit(m)}" for at, _, m in fixed.STATUS[:-1]) + f" ELSE {lit(fixed.STATUS[-1][2])} END"
 
 
-@query("ats_status", SCORED_SQL + f"SELECT doc_id, score, {STATUS_SQL} AS status, {MESSAGE_SQL} AS status_message FROM final")
+@query("ats_status", SCORED_SQL + f"SELECT doc_id, round(score, 1) AS score, {STATUS_SQL} AS status, {MESSAGE_SQL} AS status_message FROM final")
 def _(spark, d):
     return scored_corpus(spark, d).select("doc_id", "score", "status", "status_message")
 
@@ -538,12 +541,11 @@ def _(spark, d):
 
 
 # --------------------------------------------------------- recommendation plan
-RESUME_VECTORS = CORPUS_VECTORS.replace("SELECT c.doc_id,", "SELECT c.id, c.doc_id,").replace(
-    "SELECT doc_id, text, number %", "SELECT number AS id, doc_id, text, number %").replace(
+RESUME_VECTORS = CORPUS_VECTORS.replace("SELECT c.doc_id,", "SELECT c.number AS id, c.doc_id,").replace(
     "UNION ALL SELECT concat('d', CAST(doc_id AS VARCHAR(20))) AS doc_id, doc_id AS number, text FROM {documents}", "")
 
 RECOMMEND_SQL = ADVISED_SQL + f""", person AS (
-  SELECT CAST(doc_id[2:] AS BIGINT) AS resume_id, a.text, score AS ats_score, experience_level AS candidate_level,
+  SELECT CAST(doc_id[2:] AS BIGINT) AS resume_id, a.text, round(score, 1) AS ats_score, experience_level AS candidate_level,
     CAST(v.vector AS DOUBLE[]) AS resume_vector FROM advised a JOIN ({D(CORPUS_VECTORS)}) v USING (doc_id)
   WHERE starts_with(doc_id, 'r') AND (CAST(len(skills) >= 3 AS INT) + CAST(len(sections) >= 2 AS INT) + CAST({EITHER} AS INT)
     + CAST(jobs > 0 OR degrees > 0 AS INT) + CAST(word_count BETWEEN 200 AND 2000 AS INT)) >= 3),

@@ -121,7 +121,6 @@ VALUES = {
     "detect_tailoring": (lambda t, low: quality.detect_tailoring(low), "tailored"),
     "detect_leadership": (lambda t, low: quality.detect_leadership(low), "leads"),
     "detect_oss": (lambda t, low: quality.detect_oss(low), "open_source"),
-    "detect_file_type": (lambda t, low: quality.detect_file_type()["file_type"], "'text_based'"),
     "search_keywords": (lambda t, low: vocabulary.search_keywords(_skills(t, low)), KEYWORDS_SQL),
     "uncategorized_skills": (lambda t, low: joined(vocabulary.uncategorized_skills(_skills(t, low))), _list(LOOSE_SQL)),
     "cap_soft_skills": (lambda t, low: joined(vocabulary.cap_soft_skills(_skills(t, low))),

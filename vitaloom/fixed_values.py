@@ -420,3 +420,6 @@ FORMAT_BAD = ("Invalid resume file. This appears to be a non-resume document (fa
 # Words that sort insights into qualities.
 QUALITY_WORDS = ["good", "strong", "well", "excellent"]
 DRAWBACK_WORDS = ["missing", "weak", "poor", "add", "improve"]
+
+# Level of a candidate whose level is unknown, in matching.
+DEFAULT_CANDIDATE_LEVEL = "entry"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from vitaloom import fixed_messages as say
 from vitaloom import fixed_values as fixed
 from vitaloom.functions.advice import filled, first_of
-from vitaloom.functions.text import ladder, string_array, word_count
+from vitaloom.functions.text import clamp, ladder, string_array, word_count
 from vitaloom.functions.vocabulary import cap_matched_skills, contained_skills, matched_terms, topk_terms
 
 SCORE_SCALE = 1e9
@@ -34,7 +34,7 @@ def semantic_score(similarity, snippet):
 
 def ats_contribution(ats_score, snippet):
     most = F.when(snippet, fixed.SNIPPET_QUALITY_POINTS).otherwise(fixed.FULL_QUALITY_POINTS)
-    return ats_score / F.lit(100.0) * most
+    return F.coalesce(ats_score, F.lit(0.0)) / F.lit(100.0) * most
 
 
 def seniority_penalty(candidate_level, job_level):
@@ -56,7 +56,7 @@ def match_score(similarity, snippet, ats_score, candidate_level, job_level):
     the last bit of a sum, neither for the rounded score nor for the levels."""
     semantic, quality = semantic_score(similarity, snippet), ats_contribution(ats_score, snippet)
     penalty = seniority_penalty(candidate_level, job_level)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), semantic + quality - penalty))
+    score = clamp(semantic + quality - penalty, 0, 100)
     score = F.rint(score * F.lit(SCORE_SCALE)) / F.lit(SCORE_SCALE)
     return F.struct(score.alias("score"), semantic.alias("semantic"), quality.alias("quality"), penalty.alias("penalty"))
 
@@ -70,8 +70,9 @@ def keyword_overlap(resume_words, job_words):
 def match_keyword(resume_words, job_words, ats_score):
     """Struct of the keyword match, for use without an encoder."""
     common = F.size(F.array_intersect(resume_words, job_words))
-    overlap, quality = keyword_overlap(resume_words, job_words), ats_score / F.lit(100.0) * F.lit(40.0)
-    score = F.least(F.lit(100.0), F.greatest(F.lit(0.0), overlap * F.lit(60.0) + quality))
+    overlap = keyword_overlap(resume_words, job_words)
+    quality = F.coalesce(ats_score, F.lit(0.0)) / F.lit(100.0) * F.lit(40.0)
+    score = clamp(overlap * F.lit(60.0) + quality, 0, 100)
     return F.struct(F.round(score, 1).alias("match_score"), F.round(overlap * 100, 1).alias("keyword_overlap"),
                     F.round(quality, 1).alias("ats_contribution"), match_level(score).alias("match_level"),
                     F.array(filled(say.KEYWORD_REASON, common)).alias("reasons"))
@@ -108,9 +109,9 @@ def match_rules(job_text_lc, salary, age_days, technical, soft, ats_score):
     """Rule-based score from skills, quality, age and salary (unrounded)."""
     paid = (F.coalesce(salary, F.lit("")) != "") & (salary != fixed.NO_SALARY)
     score = (_share(contained_skills(technical, job_text_lc), technical, 40.0)
-             + _share(contained_skills(soft, job_text_lc), soft, 15.0) + ats_score / F.lit(100.0) * F.lit(20.0)
+             + _share(contained_skills(soft, job_text_lc), soft, 15.0) + F.coalesce(ats_score, F.lit(0.0)) / F.lit(100.0) * F.lit(20.0)
              + freshness_points(age_days) + F.when(paid, 10.0).otherwise(0.0))
-    return F.least(F.lit(100.0), score)
+    return clamp(score, 0, 100)
 
 
 def rule_reasons(score, job_text_lc, age_days, technical):

@@ -7,7 +7,7 @@ DataFrame itself, so ladders can be tested without text.
 from pyspark.sql import functions as F
 
 from vitaloom import fixed_values as fixed
-from vitaloom.functions.text import bands, bind, by_level, ladder
+from vitaloom.functions.text import bands, bind, by_level, clamp, ladder
 
 LEVELS = fixed.SCORED_LEVELS
 
@@ -92,12 +92,12 @@ def category_rollup(parts):
     """Category totals, base and final score from the unrounded parts (a struct or mapping)."""
     totals = {name: sum([parts[p] for p in members[1:]], parts[members[0]]) for name, members in CATEGORIES.items()}
     base = sum([totals[n] for n in list(CATEGORIES)[1:7]], totals["ml_semantic"])
-    final = F.greatest(F.lit(0.0), F.least(F.lit(100.0), base + totals["bonuses"] + totals["penalties"]))
+    final = clamp(base + totals["bonuses"] + totals["penalties"], 0, 100)
     return totals, base, final
 
 
 def ats_score_hybrid(features, level, semantic):
-    """Breakdown struct: every part, the category scores, base and total, to one decimal."""
+    """Breakdown struct: every part, the category scores, base and total, to one decimal. Missing semantic points are none."""
     def report(parts):
         totals, base, final = category_rollup(parts)
         return F.struct(
@@ -105,13 +105,13 @@ def ats_score_hybrid(features, level, semantic):
             F.struct(*[F.round(col, 1).alias(name) for name, col in totals.items()]).alias("category_scores"),
             F.round(base, 1).alias("base_score"), F.round(final, 1).alias("total_score"))
 
-    parts = hybrid_parts(features, level, semantic)
+    parts = hybrid_parts(features, level, F.coalesce(semantic, F.lit(0.0)))
     names = list(parts)
     return bind(F.struct(*[col.cast("double").alias(name) for name, col in parts.items()]), report)
 
 
 def ats_score_legacy(features, level, mean_similarity):
-    """The older, stricter score."""
+    """The older, stricter score; a missing similarity counts as zero."""
     steps = fixed.LEGACY
     jobs, projects = F.size(features["work_experience"]), F.size(features["projects"])
     degrees, degree = F.size(features["education"]), F.get(features["education"], F.lit(0))
@@ -140,9 +140,9 @@ def ats_score_legacy(features, level, mean_similarity):
         "content_density_score": bands(features["word_count"], fixed.LEGACY_DENSITY),
         "bullet_points_score": _level_bands(level, features["total_bullets"], fixed.LEGACY_BULLETS),
     }
-    semantic = mean_similarity * F.lit(20.0)
+    semantic = F.coalesce(mean_similarity, F.lit(0.0)) * F.lit(20.0)
     rules = sum(list(parts.values())[1:], parts["contact_info_score"])
-    total = F.greatest(F.lit(0.0), F.least(F.lit(100.0), semantic + rules))
+    total = clamp(semantic + rules, 0, 100)
     return F.struct(F.round(semantic, 1).alias("ml_semantic_score"),
                     *[F.round(col, 1).alias(name) for name, col in parts.items()],
                     F.round(rules, 1).alias("rule_based_score"), F.round(total, 1).alias("total_score"))
@@ -164,7 +164,7 @@ def ats_score_rules(features):
              + F.least(numbers / F.lit(10) * F.lit(18), F.lit(18.0))
              + bands(features["word_count"], steps["words"], 6.0)
              + ladder(sections, steps["section_bonus"]) + mixed.otherwise(0.0) + ladder(skills, steps["skills"]))
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
+    return clamp(score, 0, 100)
 
 
 def ats_status(score):

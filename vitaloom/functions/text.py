@@ -16,6 +16,11 @@ def bind(value, body):
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def clamp(value, low, high):
+    """``value`` inside the bounds; null stays null (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value)))
+
+
 def string_array(words):
     return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
 

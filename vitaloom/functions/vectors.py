@@ -41,6 +41,6 @@ def topk_mean_similarity(sims, k):
 
 
 def semantic_to_ideal(vector, ideals, k=5, weight=22.0, most=20.0):
-    """Points for being close to the ideal vectors, an array of unit vectors."""
+    """Points for being close to the ideal vectors, an array of unit vectors; null without a vector or without ideals."""
     points = topk_mean_similarity(similarities(vector, ideals), k) * F.lit(weight)
-    return points if most is None else F.least(F.lit(most), points)
+    return points if most is None else F.when(points.isNotNull(), F.least(F.lit(most), points))

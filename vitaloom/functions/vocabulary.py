@@ -28,8 +28,12 @@ def action_verb_frequency(text_lc, verbs=None, words=None):
     verbs = verbs or fixed.ACTION_VERBS
 
     def count(ws):
-        return F.transform(find_action_verbs(text_lc, verbs, ws),
-                           lambda v: F.struct(v, F.size(F.filter(ws, lambda w: w == v))))
+        def times(v):
+            # phrases are counted in the text, between word edges
+            phrase = F.regexp_count(text_lc, F.concat(F.lit(r"(?U)\b\Q"), v, F.lit(r"\E\b")))
+            return F.when(F.contains(v, F.lit(" ")), phrase).otherwise(F.size(F.filter(ws, lambda w: w == v)))
+
+        return F.transform(find_action_verbs(text_lc, verbs, ws), lambda v: F.struct(v, times(v) if any(" " in w for w in verbs) else F.size(F.filter(ws, lambda w: w == v))))
 
     return F.map_from_entries(bind(tokens(text_lc) if words is None else words, count))
 

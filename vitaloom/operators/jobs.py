@@ -54,7 +54,10 @@ def job_to_feed_shape(jobs: DataFrame) -> DataFrame:
     return jobs.select(*[F.col(a).alias(b) for a, b in FEED_SHAPE.items()], F.col("id").cast("string").alias("id"))
 
 
-def _newest(jobs: DataFrame, limit: int) -> DataFrame:
+def _newest(jobs: DataFrame, limit: int | None) -> DataFrame:
+    """The newest ``limit`` jobs; ``None`` keeps all, in no order."""
+    if limit is None:
+        return jobs
     return jobs.orderBy(F.desc_nulls_first("posted_date"), F.asc("id")).limit(limit)
 
 
@@ -65,7 +68,7 @@ def list_jobs(jobs: DataFrame, as_of: str, location=None, keywords=None, days_po
     return _newest(filter_posted_within(filter_keywords(kept, keywords), days_posted, as_of), limit)
 
 
-def search_jobs(jobs: DataFrame, keywords=None, location=None, limit: int = fixed.SEARCH_LIMIT) -> DataFrame:
+def search_jobs(jobs: DataFrame, keywords=None, location=None, limit: int | None = fixed.SEARCH_LIMIT) -> DataFrame:
     """Newest active jobs for a search, in feed shape; remote jobs get no special treatment."""
     found = filter_location(filter_keywords(active_jobs(jobs), keywords), location)
     return job_to_feed_shape(_newest(found, limit))

@@ -37,10 +37,14 @@ def job_side(jobs: DataFrame, job_id: str = "id", more=()) -> DataFrame:
 
 
 def resume_side(resumes: DataFrame, resume_id: str = "id", text: str = "text", more=()) -> DataFrame:
-    """Narrow resume columns for pairing; resumes without text match nothing."""
+    """Narrow resume columns for pairing; resumes without text match nothing.
+
+    A missing quality score counts as 0, a missing level as entry, a missing vector as similar to nothing.
+    """
     return resumes.where(has_text(F.col(text))).select(
         F.col(resume_id).alias("resume_id"), unit(F.col("vector")).alias("resume_vector"),
-        F.col("ats_score").cast("double").alias("ats_score"), F.col("candidate_level"), *more)
+        F.coalesce(F.col("ats_score").cast("double"), F.lit(0.0)).alias("ats_score"),
+        F.coalesce("candidate_level", F.lit(fixed.DEFAULT_CANDIDATE_LEVEL)).alias("candidate_level"), *more)
 
 
 def scored(pairs: DataFrame, sim) -> DataFrame:
@@ -57,7 +61,7 @@ def scored(pairs: DataFrame, sim) -> DataFrame:
 def match_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
     """Scores of the given ``(resume_id, job_id)`` pairs, from :func:`resume_side` and :func:`job_side` rows."""
     joined = pairs.join(resumes, "resume_id").join(jobs, "job_id")
-    return scored(joined, similarity(F.col("resume_vector"), F.col("job_vector"))).drop("resume_vector", "job_vector")
+    return scored(joined, F.coalesce(similarity(F.col("resume_vector"), F.col("job_vector")), F.lit(0.0))).drop("resume_vector", "job_vector")
 
 
 def _matrix(column) -> np.ndarray:
@@ -65,8 +69,13 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(packed, dtype=np.float64).reshape(len(column), -1)
 
 
-def _pack(vectors) -> np.ndarray:
-    return np.stack([np.nan_to_num(np.asarray(v, dtype=np.float64)) for v in vectors])
+def _pack(vectors, size: int) -> np.ndarray:
+    """One row of ``size`` numbers for each vector; missing ones are zero, which is similar to nothing."""
+    packed = np.zeros((len(vectors), size))
+    for row, v in zip(packed, vectors):
+        if v is not None:
+            row[:] = v
+    return np.nan_to_num(packed)
 
 
 def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -109,8 +118,9 @@ def _codes(values, known) -> np.ndarray:
 
 def _pivots(jobs: DataFrame, n: int) -> np.ndarray:
     """``n`` job vectors by hash order: a fixed, small number of rows on the driver."""
-    rows = jobs.orderBy(F.xxhash64("job_id"), "job_id").limit(n).select("job_vector").collect()
-    return _pack([r["job_vector"] for r in rows]) if rows else np.zeros((1, 1))
+    known = jobs.where("job_vector IS NOT NULL")
+    rows = known.orderBy(F.xxhash64("job_id"), "job_id").limit(n).select("job_vector").collect()
+    return _pack([r["job_vector"] for r in rows], len(rows[0]["job_vector"])) if rows else np.zeros((1, 1))
 
 
 def _place_jobs(jobs: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -118,7 +128,7 @@ def _place_jobs(jobs: DataFrame, pivots: np.ndarray) -> DataFrame:
     def place(batches):
         for pdf in batches:
             if len(pdf):
-                vectors = _pack(pdf.pop("job_vector"))
+                vectors = _pack(pdf.pop("job_vector"), pivots.shape[1])
                 angles = _angles(vectors, pivots)
                 cell = angles.argmin(axis=1)
                 yield pdf.assign(packed=[v.tobytes() for v in vectors], cell=cell.astype("int32"),
@@ -134,12 +144,16 @@ def _visits(resumes: DataFrame, pivots, cells: pd.DataFrame, blocks: dict[int, i
     cell, radius = cells["cell"].to_numpy(), cells["radius"].to_numpy() + 1e-9
     snippet, size = cells["snippet"].to_numpy(), cells["n"].to_numpy()
     level = _codes(cells["job_level"], JOB_LEVELS)
+    # without one job vector all are similar to nothing, whatever their size
+    any_vector = bool(pivots.any())
 
     def plan(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            vectors = _pack(pdf.pop("resume_vector"))
+            vectors = _pack(pdf.pop("resume_vector") if any_vector else [None] * len(pdf), pivots.shape[1])
+            if not any_vector:
+                pdf = pdf.drop(columns="resume_vector")
             angle = _angles(vectors, pivots)[:, cell]
             ats, candidate = pdf["ats_score"].to_numpy(float), _codes(pdf["candidate_level"], CANDIDATE_LEVELS)
             at_most = _totals(np.cos(np.maximum(angle - radius, 0.0)), snippet, ats, candidate, level) + _MARGIN

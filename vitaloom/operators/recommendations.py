@@ -47,10 +47,11 @@ def user_recommendations(recommendations: DataFrame, jobs: DataFrame, user_id: i
     order = [F.desc_nulls_first("match_score"), F.desc_nulls_first("created_at"), *tie]
     wanted = recommendations if user_id is None else recommendations.where(F.col("user_id") == user_id)
     shown = jobs.where("is_active").withColumnRenamed("id", "job_id").drop("is_active", "created_at", "updated_at")
-    joined = wanted.join(shown, "job_id")
-    if user_id is not None:
-        return joined.orderBy(*order).limit(limit)
-    return top_n(joined, ["user_id"], order, limit)
+    # rank the narrow rows of active jobs; only the shown ones meet the details
+    live = wanted.join(shown.select("job_id"), "job_id", "left_semi")
+    best = live.orderBy(*order).limit(limit) if user_id is not None else top_n(live, ["user_id"], order, limit)
+    joined = best.join(shown, "job_id")
+    return joined.orderBy(*order) if user_id is not None else joined
 
 
 def match_batch_summary(matches: DataFrame, good: float = fixed.GOOD_MATCH) -> DataFrame:

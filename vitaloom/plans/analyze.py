@@ -13,16 +13,18 @@ from vitaloom.operators.features import extract_features, require_text
 def score_features(features: DataFrame, target_level=None, semantic=None) -> DataFrame:
     """Add ``level``, ``breakdown`` (with an encoder), ``score``, status, insights and advice.
 
-    ``semantic`` is the column with the semantic points; without it the score
-    comes from the rules alone, and there is no breakdown.
+    ``semantic`` is the column with the semantic points; without it, and in rows
+    where it is null, the score comes from the rules alone, without a breakdown.
     """
     leveled = features.withColumn("level", resolve_level(F.col("experience_level"), target_level))
     level = F.col("level")
     if semantic is None:
         scored = leveled.withColumn("_score", ats_score_rules(leveled))
     else:
-        scored = leveled.withColumn("breakdown", ats_score_hybrid(leveled, level, semantic))
-        scored = scored.withColumn("_score", F.col("breakdown.total_score"))
+        points = leveled.withColumn("_semantic", semantic)
+        known = F.col("_semantic").isNotNull()
+        scored = points.withColumn("breakdown", F.when(known, ats_score_hybrid(points, level, F.col("_semantic"))))
+        scored = scored.withColumn("_score", F.when(known, F.col("breakdown.total_score")).otherwise(ats_score_rules(points))).drop("_semantic")
     return scored.withColumns({
         "score": F.round("_score", 1), "_status": ats_status(F.col("_score")),
         "insights": insights(scored, F.col("_score"), level),
