@@ -14,7 +14,7 @@ from vitaloom.operators.features import extract_features
 from vitaloom.operators.pairs import job_side, match_pairs, resume_side, top_matches
 from vitaloom.operators.recommendations import match_batch_summary
 from vitaloom.plans.analyze import analyze_resumes, score_features
-from vitaloom.plans.recommend import candidate_jobs, recommend_jobs
+from vitaloom.plans.recommend import candidate_jobs, recommend_jobs, recommendation_summary
 
 QUERIES, SQL = {}, {}
 D = for_duckdb
@@ -565,10 +565,42 @@ SELECT resume_id, job_id, url AS link, round(raw, 1) AS match_score, candidate_l
   array_to_string({reasons_sql('best')}, '|') AS reasons FROM named"""
 
 
+# The whole catalogue instead of a search: every active job, one per link.
+RECOMMEND_ALL_SQL = RECOMMEND_SQL.replace("WHERE is_active AND (lower(title) LIKE '%engineer%' OR lower(description) LIKE '%engineer%')\n"
+                                          "  ORDER BY posted_date DESC NULLS FIRST, id LIMIT 50)", "WHERE is_active)")
+SHOWN = ["resume_id", "job_id", "link", "match_score", "candidate_level", "job_level"]
+
+
+def recommended(spark, d, candidates):
+    scored = score_features(extract_features(corpus_vectors(spark, d, RESUME_VECTORS)), semantic=semantic())
+    return scored, recommend_jobs(scored, candidates, table(spark, d, JOB_VECTORS), AS_OF, min_score=5)
+
+
+def shown(best):
+    return best.select(*SHOWN, c("rank").cast("bigint").alias("rank"), joined(c("reasons")).alias("reasons"))
+
+
 @query("recommend_jobs", RECOMMEND_SQL)
 def _(spark, d):
-    scored = score_features(extract_features(corpus_vectors(spark, d, RESUME_VECTORS)), semantic=semantic())
-    candidates = candidate_jobs(table(spark, d, JOBS), keywords="engineer")
-    best = recommend_jobs(scored, candidates, table(spark, d, JOB_VECTORS), AS_OF, min_score=5)
-    return best.select("resume_id", "job_id", "link", "match_score", "candidate_level", "job_level", c("rank").cast("bigint").alias("rank"),
-                       joined(c("reasons")).alias("reasons"))
+    return shown(recommended(spark, d, candidate_jobs(table(spark, d, JOBS), keywords="engineer"))[1])
+
+
+@query("recommend_jobs_all", RECOMMEND_ALL_SQL)
+def _(spark, d):
+    return shown(recommended(spark, d, candidate_jobs(table(spark, d, JOBS), limit=None))[1])
+
+
+SUMMARY_SQL = RECOMMEND_SQL.replace("SELECT resume_id, job_id, url AS link, round(raw, 1) AS match_score", f""", checked AS (
+  SELECT CAST(doc_id[2:] AS BIGINT) AS resume_id, round(score, 1) AS ats_score, CAST(len(skills) >= 3 AS INT) + CAST(len(sections) >= 2 AS INT)
+    + CAST({EITHER} AS INT) + CAST(jobs > 0 OR degrees > 0 AS INT) + CAST(word_count BETWEEN 200 AND 2000 AS INT) AS passed
+  FROM advised WHERE starts_with(doc_id, 'r')),
+told2 AS (SELECT resume_id, job_id, url AS link, round(raw, 1) AS match_score""") + f""")
+SELECT c.resume_id, passed >= {fixed.FORMAT_CHECKS_NEEDED} AS success, CASE WHEN passed >= {fixed.FORMAT_CHECKS_NEEDED} THEN {lit(fixed.FORMAT_OK)}
+  ELSE {_fill(fixed.FORMAT_BAD, '(5 - passed)')} END AS reason, ats_score, count(n.job_id) AS recommended_jobs
+FROM checked c LEFT JOIN told2 n USING (resume_id) GROUP BY ALL"""
+
+
+@query("recommend_summary", SUMMARY_SQL)
+def _(spark, d):
+    scored, best = recommended(spark, d, candidate_jobs(table(spark, d, JOBS), keywords="engineer"))
+    return recommendation_summary(scored, best)

@@ -148,9 +148,9 @@ def _visits(resumes: DataFrame, pivots, cells: pd.DataFrame, blocks: dict[int, i
     any_vector = bool(pivots.any())
 
     def plan(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        # slabs keep the matrices of resumes x cells small
+        slab = max(1, 2_000_000 // max(1, len(cell)))
+        for pdf in (whole.iloc[at:at + slab].copy() for whole in batches for at in range(0, len(whole), slab)):
             vectors = _pack(pdf.pop("resume_vector") if any_vector else [None] * len(pdf), pivots.shape[1])
             if not any_vector:
                 pdf = pdf.drop(columns="resume_vector")
@@ -185,7 +185,7 @@ def _best_in_block(k: int, min_score: float, slab: int = 64):
                               "similarity": pd.Series(dtype="float64")})
         if not len(resumes) or not len(jobs):
             return empty
-        jobs = jobs.sort_values("seq")
+        jobs = jobs.sort_values(["seq", "job_id"])
         vectors, snippet = _matrix(jobs["packed"]), jobs["snippet"].to_numpy()
         level, ids, seqs = _codes(jobs["job_level"], JOB_LEVELS), jobs["job_id"].to_numpy(), jobs["seq"].to_numpy()
         n, take = len(jobs), min(k, len(jobs))
@@ -211,8 +211,8 @@ def _best_in_block(k: int, min_score: float, slab: int = 64):
 
 def top_matches(resumes: DataFrame, jobs: DataFrame, k: int = fixed.TOP_MATCHES, min_score: float | None = None,
                 seq: str | None = None, block_rows: int = 4096, chunk_rows: int = 32768,
-                cell_rows: int = 2048, max_cells: int = 256, materialize: bool = True) -> DataFrame:
-    """Exact best ``k`` jobs per resume by rounded score; equal scores keep ``seq`` order.
+                cell_rows: int = 2048, materialize: bool = True) -> DataFrame:
+    """Exact best ``k`` jobs per resume by rounded score; equal scores keep the order of ``seq``, then of the id.
 
     A block holds about ``block_rows`` jobs and a chunk about ``chunk_rows``
     resumes, split by hash, so neither a crowded cell nor a popular region makes
@@ -226,9 +226,10 @@ def top_matches(resumes: DataFrame, jobs: DataFrame, k: int = fixed.TOP_MATCHES,
     if materialize:
         jobs, resumes = cut_lineage(jobs, "jobs"), cut_lineage(resumes, "resumes")
     n_jobs, n_resumes = jobs.count(), resumes.count()
-    pivots = _pivots(jobs, max(1, min(max_cells, n_jobs // cell_rows)))
+    # as many cells as their rows allow, and no more than the root of the jobs, so that the driver holds little
+    pivots = _pivots(jobs, max(1, min(math.isqrt(n_jobs), n_jobs // cell_rows)))
     placed = _place_jobs(jobs, pivots)
-    # at most max_cells x levels x 2 rows
+    # at most cells x levels x 2 rows
     cells = placed.groupBy("cell", "job_level", "snippet").agg(
         F.count("*").alias("n"), F.max("angle").alias("radius")).toPandas()
     blocks = {int(c): math.ceil(n / block_rows) for c, n in cells.groupby("cell")["n"].sum().items()}
@@ -236,7 +237,7 @@ def top_matches(resumes: DataFrame, jobs: DataFrame, k: int = fixed.TOP_MATCHES,
     cores = jobs.sparkSession.sparkContext.defaultParallelism
     n_blocks = max(1, sum(blocks.values()))
     chunks = max(1, math.ceil(n_resumes / chunk_rows), min(math.ceil(3 * cores / n_blocks), math.ceil(n_resumes / 512)))
-    tasks = min(n_blocks * chunks, 20_000)
+    tasks = n_blocks * chunks
 
     parts = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]) if blocks else F.lit(None).cast("map<int,int>")
     placed = placed.select("*", F.pmod(F.xxhash64("job_id"), F.try_element_at(parts, F.col("cell"))).cast("int").alias("part"),
@@ -250,6 +251,6 @@ def top_matches(resumes: DataFrame, jobs: DataFrame, k: int = fixed.TOP_MATCHES,
     found = visits.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(
         _best_in_block(k, low), "resume_id bigint, job_id bigint, seq bigint, tenths bigint, similarity double")
     # rank before joining, so that the joins see only the best k rows of each resume
-    best = top_n(found, ["resume_id"], [F.desc("tenths"), F.asc("seq")], k).drop("seq", "tenths")
+    best = top_n(found, ["resume_id"], [F.desc("tenths"), F.asc("seq"), F.asc("job_id")], k).drop("seq", "tenths")
     matches = best.join(resumes.drop("resume_vector"), "resume_id").join(jobs.drop("job_vector"), "job_id")
     return scored(matches, F.col("similarity"))

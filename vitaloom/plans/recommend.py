@@ -1,7 +1,6 @@
 """Best jobs for every resume of a corpus."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitaloom import fixed_values as fixed
@@ -11,6 +10,10 @@ from vitaloom.operators.jobs import combine_jobs, filter_posted_within, search_j
 from vitaloom.operators.pairs import job_side, resume_side, top_matches
 from vitaloom.session import cut_lineage
 
+# Places of rows without a time (before all others) and, before those, of feed rows in candidate order.
+FIRST_SEQ = -(1 << 60)
+FEED_SEQ = -(1 << 62)
+
 
 def is_valid(c=F.col):
     """Whether a resume passes the format checks."""
@@ -19,20 +22,22 @@ def is_valid(c=F.col):
 
 
 def candidate_jobs(jobs: DataFrame, keywords=None, location=None, feed: DataFrame | None = None,
-                   limit: int = fixed.SEARCH_LIMIT) -> DataFrame:
+                   limit: int | None = fixed.SEARCH_LIMIT) -> DataFrame:
     """Feed rows and the newest ``limit`` catalogue rows of a search, one per link, in candidate order.
 
-    ``limit`` is the length of the search list; pass ``None`` to pair with the whole catalogue.
+    ``limit`` is the length of the search list; ``None`` pairs with the whole catalogue, without sorting it. The order
+    is in ``seq`` and, for equal times, ``job_id``; no row is numbered. ``job_id`` is the catalogue's id; rows of the
+    feed, whose own ids mean nothing here, get a negative one from their link. ``feed`` may bring a ``vector``.
     """
-    if limit is None:
-        found = search_jobs(jobs, keywords, location, limit=2**31 - 1).withColumn("seq", F.col("id").cast("bigint"))
-    else:
-        # the list has at most `limit` rows, so numbering it in one task is fine
-        newest = W.orderBy(F.desc_nulls_first("updated"), F.col("id").cast("bigint"))
-        found = search_jobs(jobs, keywords, location, limit).withColumn("seq", F.row_number().over(newest).cast("bigint"))
+    found = search_jobs(jobs, keywords, location, limit)
+    newest = F.coalesce(-F.unix_micros(F.col("updated").cast("timestamp")), F.lit(FIRST_SEQ))
+    found = found.withColumns({"seq": newest, "job_id": F.col("id").cast("bigint")})
     if feed is None:
         feed = found.where("false")
-    return combine_jobs(feed, found, ["seq"])
+    else:
+        own = F.lit(-1) - F.xxhash64("link").bitwiseAND(F.lit((1 << 62) - 1))
+        feed = feed.withColumns({"seq": F.col("seq").cast("bigint") + F.lit(FEED_SEQ), "job_id": own})
+    return combine_jobs(feed, found, ["seq", "job_id"])
 
 
 def recommend_jobs(features: DataFrame, candidates: DataFrame, vectors: DataFrame, as_of: str, min_score=None,
@@ -41,12 +46,15 @@ def recommend_jobs(features: DataFrame, candidates: DataFrame, vectors: DataFram
 
     ``features`` has the feature columns, ``score`` and ``vector`` per resume;
     ``candidates`` come from :func:`candidate_jobs`; ``vectors(job_id, vector)``
-    holds the job vectors. Long texts are reduced to their match terms on each
-    side and meet the ranked rows only. Both sides are written once, in narrow form.
+    holds the job vectors. A candidate without a vector stays: it is similar to
+    nothing. Long texts are reduced to their match terms on each side and meet
+    the ranked rows only. Both sides are written once, in narrow form.
     """
     kept = filter_posted_within(candidates, days_posted, as_of, "updated")
-    jobs = (kept.withColumns({"job_id": F.col("id").cast("bigint"), "description": F.col("snippet")})
-            .join(vectors, "job_id"))
+    known = vectors.select("job_id", F.col("vector").alias("_known"))
+    own = F.col("vector") if "vector" in kept.columns else F.lit(None).cast(known.schema["_known"].dataType)
+    jobs = (kept.withColumn("description", F.col("snippet")).withColumn("vector", own).join(known, "job_id", "left")
+            .withColumn("vector", F.coalesce("_known", "vector")))
     terms = match_terms(F.lower(job_text(F.col("title"), F.col("description"))))
     jobs = cut_lineage(job_side(jobs, "job_id", ["seq", "link", "title", terms.alias("_job_terms")]), "candidates")
 
@@ -65,3 +73,16 @@ def recommend_jobs(features: DataFrame, candidates: DataFrame, vectors: DataFram
     reasons = match_reasons(c("similarity"), c("ats_score"), c("raw_score"), c("seniority_penalty"),
                             c("candidate_level"), c("job_level"), c("_resume_terms"), c("_job_terms"))
     return told.withColumn("reasons", reasons).drop("_job_terms", "_resume_terms", "raw_score")
+
+
+def recommendation_summary(features: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row for every resume of ``features``: verdict, its reason, quality score, and how many jobs were recommended.
+
+    ``features`` must have the validation columns; resumes that fail the format checks have ``success`` false.
+    """
+    checks = validate_resume(*[F.col(c) for c in ("skills", "sections", "email", "phone", "work_experience", "education", "word_count")])
+    verdicts = features.withColumn("_checks", checks).select(
+        F.col("id").alias("resume_id"), F.col("_checks.is_valid").alias("success"), F.col("_checks.reason").alias("reason"),
+        F.col("score").alias("ats_score"))
+    counts = matches.groupBy("resume_id").agg(F.count(F.lit(1)).alias("recommended_jobs"))
+    return verdicts.join(counts, "resume_id", "left").withColumn("recommended_jobs", F.coalesce("recommended_jobs", F.lit(0)))
