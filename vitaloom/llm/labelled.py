@@ -25,14 +25,14 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weighted ridge logistic regression by damped Newton steps."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
+    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(x1.shape[1])
     penalty = np.full(x1.shape[1], ridge * weight.sum())
     penalty[-1] = 1e-9
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
         grad = x1.T @ (weight * (p - y)) + penalty * w
-        hess = (x1 * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x1 + np.diag(penalty)
+        hess = (x1 * (weight * np.maximum(p * (1 - p), 1e-6)).astype(x1.dtype)[:, None]).T @ x1 + np.diag(penalty)
         step = np.linalg.solve(hess, grad)
         step *= min(1.0, 5 / max(np.abs(step).max(), 1e-12))
         w -= step

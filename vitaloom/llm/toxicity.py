@@ -167,13 +167,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     y = np.array([r[0] for r in rows])
     if not 0 < y.sum() < len(y):
         return nothing
-    found = [words(r[2]) for r in rows]
-    counts: dict[str, list[int]] = {}
-    for v, ws in zip(y, found, strict=True):
-        for w in ws:
-            counts.setdefault(w, [0, 0])[v] += 1
+    # Words as numbers, each word held once.
+    numbers: dict[str, int] = {}
+    found = [np.array([numbers.setdefault(w, len(numbers)) for w in sorted(words(r[2]))], np.int32) for r in rows]
     sizes = np.bincount(y, minlength=2)
-    table = [(w, c[0] / sizes[0], c[1] / sizes[1], c[1]) for w, c in counts.items() if max(c) >= MIN_TEXTS]
+    seen = [np.bincount(np.concatenate([f for f, v in zip(found, y, strict=True) if v == c]), minlength=len(numbers)) for c in (0, 1)]
+    table = [(w, seen[0][i] / sizes[0], seen[1][i] / sizes[1], seen[1][i]) for w, i in numbers.items() if max(seen[0][i], seen[1][i]) >= MIN_TEXTS]
     # Difference of the rates in standard deviations, with the counts smoothed by one.
     strength = lambda a, b: (b - a) / np.sqrt((a + 1 / sizes[0]) / sizes[0] + (b + 1 / sizes[1]) / sizes[1])
     ranked = sorted(((strength(a, b), w, a, b, k) for w, a, b, k in table), key=lambda r: (-r[0], r[1]))
@@ -187,9 +186,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     target = label_model(*pair_counts(docs, text, voter_of), prior, start).posterior(votes, y)
 
     at = {r[1]: i for i, r in enumerate(features)}
-    x = np.zeros((len(rows), len(at)))
+    column = np.full(len(numbers), -1)
+    column[[numbers[w] for w in at]] = list(at.values())
+    x = np.zeros((len(rows), len(at)), np.float32)
     for i, ws in enumerate(found):
-        x[i, [at[w] for w in ws & at.keys()]] = 1
+        x[i, column[ws][column[ws] >= 0]] = 1
     weight = np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))
     w, bias = logistic(x, target, weight, ridge=1e-4)
     slope, shift = logistic((x @ w + bias)[:, None], y.astype(float), weight, ridge=1e-4)
