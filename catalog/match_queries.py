@@ -2,18 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from catalog.features_sql import bands, by_level, features, ladder, lit
+from catalog.features_sql import W, bands, by_level, features, ladder, lit
 from catalog.inputs import (AS_OF, CORPUS, CORPUS_VECTORS, JOB_VECTORS, JOBS, PAIRS, PEOPLE, for_duckdb, load, table)
 from catalog.text_queries import job_seniority_sql, joined
 from vitaloom import fixed_messages as say
 from vitaloom import fixed_values as fixed
 from vitaloom.functions import advice, matching, scores, vectors, vocabulary
-from vitaloom.functions.encoders import encode_hashed
+from vitaloom.functions.encoders import dense, encode_hashed
 from vitaloom.functions.levels import resolve_level
 from vitaloom.operators.features import extract_features
 from vitaloom.operators.pairs import job_side, match_pairs, resume_side, top_matches
 from vitaloom.operators.recommendations import match_batch_summary
-from vitaloom.plans.analyze import analyze_resumes, score_features
+from vitaloom.plans.analyze import analyze_resumes, ideal_vectors, score_features
 from vitaloom.plans.recommend import candidate_jobs, recommend_jobs, recommendation_summary
 
 QUERIES, SQL = {}, {}
@@ -277,11 +277,38 @@ def _(spark, d):
     return corpus_vectors(spark, d).select("doc_id", F.round(vectors.semantic_to_ideal(c("vector"), c("ideals")), 4).alias("value"))
 
 
-@query("encode")
+ENCODED_SQL = f"""words AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^{W}]+'), lambda w: w <> '')) AS word FROM ({D(CORPUS)})),
+counted AS (SELECT doc_id, CAST(('0x' || substr(md5(word), 1, 7))::BIGINT % 4096 AS INT) AS bucket, count(*) AS n FROM words GROUP BY ALL)"""
+
+
+@query("encode", f"""WITH {ENCODED_SQL} SELECT doc_id, bucket,
+  round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM counted""")
+def _(spark, d):
+    coded = encode_hashed(table(spark, d, CORPUS)).select("doc_id", F.explode("vector").alias("x"))
+    return coded.select("doc_id", c("x.bucket").alias("bucket"), F.round("x.weight", 6).alias("weight"))
+
+
+# Few buckets, so that the encoder's vectors are short enough to be plain arrays.
+BUCKETS = 256
+COUNTED_SQL = f"""words AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^{W}]+'), lambda w: w <> '')) AS word FROM (
+    SELECT doc_id, text FROM ({D(CORPUS)}) UNION ALL SELECT concat('ideal', CAST(i AS VARCHAR)), s
+    FROM (SELECT unnest(range({len(fixed.IDEAL_SENTENCES)})) AS i, unnest([{', '.join(lit(x) for x in fixed.IDEAL_SENTENCES)}]) AS s))),
+counted AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 7))::BIGINT % {BUCKETS} AS bucket, count(*) AS n FROM words GROUP BY ALL),
+scaled AS (SELECT doc_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS w FROM counted)"""
+
+
+@query("semantic_to_sentences", f"""WITH {COUNTED_SQL}, sims AS (
+  SELECT c.doc_id, i.doc_id AS ideal, coalesce(sum(d.w * i.w), 0) AS s FROM (SELECT doc_id FROM ({D(CORPUS)})) c
+  CROSS JOIN (SELECT * FROM scaled WHERE starts_with(doc_id, 'ideal')) i LEFT JOIN scaled d ON d.doc_id = c.doc_id AND d.bucket = i.bucket
+  GROUP BY ALL)
+SELECT doc_id, round(least(20.0, avg(s) * 22), 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC) AS r FROM sims)
+WHERE r <= 5 GROUP BY doc_id""")
 def _(spark, d):
-    coded = encode_hashed(table(spark, d, CORPUS))
-    from pyspark.ml.functions import vector_to_array
-    return coded.select("doc_id", F.round(vectors.norm(vector_to_array("vector")), 6).alias("length"))
+    def encoder(df):
+        return encode_hashed(df, features=BUCKETS).withColumn("vector", dense(c("vector"), BUCKETS))
+
+    points = vectors.semantic_to_ideal(c("vector"), c("ideals"))
+    return encoder(table(spark, d, CORPUS)).withColumn("ideals", ideal_vectors(spark, encoder)).select("doc_id", F.round(points, 4).alias("value"))
 
 
 @query("candidate_pairs", f"""WITH {score_pairs_sql(f'(SELECT r.id AS resume_id, j.id AS job_id FROM ({D(PEOPLE)}) r, ({D(JOBS)}) j)')}

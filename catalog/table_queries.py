@@ -324,25 +324,36 @@ def _(spark, d):
         F.count("*").alias("n"), F.sum("match_score").cast("double").alias("total"))
 
 
-@query("scan_tables", f"""SELECT 'users' AS name, count(*) AS n FROM ({D(USERS)}) UNION ALL SELECT 'resumes', count(*) FROM ({D(RESUMES)})
-  UNION ALL SELECT 'jobs', count(*) FROM ({D(JOBS)}) UNION ALL SELECT 'job_applications', count(*) FROM ({D(SIGNUPS)})
-  UNION ALL SELECT 'job_recommendations', count(*) FROM ({D(RECOMMENDATIONS)})""")
-def _(spark, d):
-    path = shared_folder(spark, "tables")
-    inputs = {"users": table(spark, d, USERS), "resumes": resumes(spark, d), "jobs": jobs(spark, d),
-              "job_applications": table(spark, d, SIGNUPS).select("id"), "job_recommendations": recs(spark, d)}
-    for name, df in inputs.items():
-        df.write.parquet(f"{path}/{name}")
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in scan_tables(spark, path).items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
+APPLICATIONS = """
+SELECT o_orderkey AS id, o_custkey AS user_id, CAST(o_orderkey % 100 AS DECIMAL(5,2)) AS match_score, CAST(o_orderdate AS TIMESTAMP) AS applied_date,
+  o_orderstatus AS status FROM {orders}"""
+# Each table with its whole numbers, decimals and times: table, input, sum of, decimals, latest of.
+SCANNED = [("users", USERS, "id", None, None), ("resumes", RESUMES, "user_id", None, "upload_date"), ("jobs", JOBS, "id", None, "posted_date"),
+           ("job_applications", APPLICATIONS, "user_id", "match_score", "applied_date"), ("job_recommendations", RECOMMENDATIONS, "job_id", "match_score", "created_at")]
+
+
+@query("scan_tables", " UNION ALL ".join(
+    f"""SELECT '{name}' AS name, count(*) AS n, CAST(sum({key}) AS BIGINT) AS keys, {f'CAST(sum({points}) AS DOUBLE)' if points else 'CAST(NULL AS DOUBLE)'} AS points,
+  {f"CAST(epoch(max({last})) AS BIGINT)" if last else 'CAST(NULL AS BIGINT)'} AS latest FROM ({D(sql)})""" for name, sql, key, points, last in SCANNED))
+def _(spark, d):
+    path, out = shared_folder(spark, "tables"), None
+    for name, sql, *_ in SCANNED:
+        df = table(spark, d, sql)
+        df.select(*[F.col(f.name).cast(f.dataType) for f in schemas.TABLES[name] if f.name in df.columns]).write.parquet(f"{path}/{name}")
+    found = scan_tables(spark, path)
+    for name, _, key, points, last in SCANNED:
+        one = found[name].agg(F.count("*").alias("n"), F.sum(key).alias("keys"), (F.sum(points) if points else F.lit(None)).cast("double").alias("points"),
+                              (F.unix_seconds(F.max(last)) if last else F.lit(None)).cast("bigint").alias("latest")).select(F.lit(name).alias("name"), "*")
+        out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("scan_resume_files")
+@query("scan_resume_files", "SELECT lang, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes FROM documents GROUP BY lang")
 def _(spark, d):
-    return scan_resume_files(spark, d, glob="*.parquet").select("file_name", "length")
+    path = shared_folder(spark, "files")
+    load(spark, d, "documents").select("lang", "text").write.partitionBy("lang").text(path)
+    files = scan_resume_files(spark, path, glob="*.txt", max_bytes=1 << 40)
+    return files.groupBy(F.regexp_extract("file_path", "/lang=([^/]*)/", 1).alias("lang")).agg(F.sum("length").alias("bytes"))
 
 
 # ------------------------------------------------------------ keys, accounts

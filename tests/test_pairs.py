@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitaloom.functions.encoders import encode_hashed, encode_with
-from vitaloom.operators.pairs import CANDIDATE_LEVELS, JOB_LEVELS, _totals, match_pairs, top_matches
+from vitaloom.functions.encoders import dense, encode_hashed, encode_with
+from vitaloom.operators.pairs import CANDIDATE_LEVELS, JOB_LEVELS, _totals, job_side, match_pairs, resume_side, top_matches
 from vitaloom.plans.recommend import candidate_jobs
 
 
@@ -90,7 +90,48 @@ def test_candidates_are_feed_first_then_newest(spark):
 
 def test_encoders(spark):
     df = spark.createDataFrame([(1, "alpha beta beta"), (2, None)], "id int, text string")
-    v = {r["id"]: r["vector"] for r in encode_hashed(df, features=64).collect()}
-    assert sorted(v[1].values) == pytest.approx([1 / 5 ** 0.5, 2 / 5 ** 0.5]) and v[2].numNonzeros() == 0
+    coded = encode_hashed(df, features=64).withColumn("dense", dense(F.col("vector"), 64))
+    v = {r["id"]: r for r in coded.collect()}
+    assert sorted(x["weight"] for x in v[1]["vector"]) == pytest.approx([1 / 5 ** 0.5, 2 / 5 ** 0.5]) and v[2]["vector"] is None
+    assert [v[1]["dense"][x["bucket"]] for x in v[1]["vector"]] == [x["weight"] for x in v[1]["vector"]] and len(v[1]["dense"]) == 64
+    assert sum(1 for x in v[1]["dense"] if x) == 2 and v[2]["dense"] is None
+    assert encode_hashed(df.selectExpr("id", "'' AS text")).first()["vector"] == []
     own = encode_with(df, lambda: (lambda texts: np.array([[len(t), 1.0] for t in texts])))
     assert [r["vector"] for r in own.orderBy("id").collect()] == [[15.0, 1.0], None]
+
+
+def test_missing_inputs_agree_on_both_paths(spark):
+    """Null vectors, scores and levels: the same defined scores from given pairs and from the search, never full marks."""
+    rng = np.random.default_rng(5)
+    people = [(i, "text", None if i % 3 == 0 else rng.normal(size=4).tolist(), None if i % 4 == 0 else 60.0, None if i % 5 == 0 else "senior") for i in range(12)]
+    jobs = [(i, "Engineer", "word " * 120, None if i % 3 == 1 else rng.normal(size=4).tolist()) for i in range(9)]
+    p = resume_side(spark.createDataFrame(people, "id long, text string, vector array<double>, ats_score double, candidate_level string"))
+    j = job_side(spark.createDataFrame(jobs, "id long, title string, description string, vector array<double>"))
+    every = spark.range(12).withColumnRenamed("id", "resume_id").crossJoin(spark.range(9).withColumnRenamed("id", "job_id"))
+    given = {(r["resume_id"], r["job_id"]): r for r in match_pairs(every, p, j).collect()}
+    found = {(r["resume_id"], r["job_id"]): r for r in top_matches(p, j, k=9).collect()}
+    assert given.keys() == found.keys() and len(given) == 108
+    for key, r in given.items():
+        assert (r["match_score"], r["similarity"]) == (found[key]["match_score"], found[key]["similarity"])
+        assert r["match_score"] < 100
+        if key[0] % 3 == 0 or key[1] % 3 == 1:
+            assert r["similarity"] == 0
+    none = job_side(spark.createDataFrame([(1, "a", "b", None)], "id long, title string, description string, vector array<double>"))
+    assert top_matches(p, none).count() == 12
+
+
+def test_whole_catalogue_is_not_sorted_or_limited(spark):
+    jobs = spark.range(5).selectExpr("id", "'t' title", "'l' location", "'d' description", "'s' salary", "'x' source", "'j' job_type", "concat('u', id) url",
+                                     "timestamp_seconds(id) posted_date", "'c' company", "true is_active")
+    plan = candidate_jobs(jobs, limit=None)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and "GlobalLimit" not in plan and "Window" not in plan
+
+
+def test_feed_ids_are_their_own(spark):
+    jobs = spark.createDataFrame([(1, "table job")], "id long, title string").selectExpr(
+        "id", "title", "'l' location", "'d' description", "'s' salary", "'x' source", "'j' job_type", "'table-url' url", "timestamp'2024-01-01' posted_date",
+        "'c' company", "true is_active")
+    feed = spark.createDataFrame([(0, "feed job", "feed-url", "1"), (1, "odd id", "odd-url", "not a number")], "seq long, title string, link string, id string")
+    got = candidate_jobs(jobs, feed=feed).orderBy("seq").collect()
+    assert [r["title"] for r in got] == ["feed job", "odd id", "table job"]
+    assert got[2]["job_id"] == 1 and got[0]["job_id"] < 0 and got[1]["job_id"] < 0 and got[0]["job_id"] != got[1]["job_id"]

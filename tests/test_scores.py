@@ -204,3 +204,24 @@ def test_analysis_plan_stays_in_the_jvm_without_shuffle(spark):
     df = spark.createDataFrame([(1, "x")], "id int, text string")
     plan = analyze_resumes(df, semantic=F.lit(1.0))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_missing_semantic_points_are_not_full_marks(spark):
+    from vitaloom.functions.vectors import semantic_to_ideal
+
+    ideals = F.array(F.array(F.lit(1.0), F.lit(0.0)))
+    df = spark.createDataFrame([(1, "Built tools\nled teams", [1.0, 0.0]), (2, "Built tools\nled teams", None)], "id int, text string, vector array<double>")
+    points = [r[0] for r in df.orderBy("id").select(semantic_to_ideal(F.col("vector"), ideals)).collect()]
+    assert points == [20.0, None]
+    assert df.select(semantic_to_ideal(F.col("vector"), F.array().cast("array<array<double>>"))).first()[0] is None
+    with_vectors = {r["id"]: r["analysis"] for r in analyze_resumes(df, semantic=semantic_to_ideal(F.col("vector"), ideals)).collect()}
+    plain = {r["id"]: r["analysis"] for r in analyze_resumes(df).collect()}
+    assert with_vectors[2]["score"] == plain[2]["score"] < 100 and with_vectors[2]["scoreBreakdown"] is None
+    assert with_vectors[1]["scoreBreakdown"]["ml_semantic_score"] == 20.0
+
+
+def test_clamp_keeps_null(spark):
+    from vitaloom.functions.text import clamp
+
+    rows = spark.createDataFrame([(1, -5.0), (2, 50.0), (3, 500.0), (4, None)], "id int, v double").orderBy("id").select(clamp(F.col("v"), 0, 100)).collect()
+    assert [r[0] for r in rows] == [0.0, 50.0, 100.0, None]

@@ -56,6 +56,8 @@ def test_verbs_and_their_counts(texts):
     text = "Led x. led y, LED z; built. misled"
     assert texts(lambda t, low: vocabulary.find_action_verbs(low), text) == [["led", "built"]]
     assert texts(lambda t, low: vocabulary.action_verb_frequency(low), text, "none") == [{"led": 3, "built": 1}, {}]
+    phrases = texts(lambda t, low: vocabulary.action_verb_frequency(low, ["rolled out", "plan", "c++ built"]), "Rolled out a plan, rolled out more; trolled out")
+    assert phrases == [{"rolled out": 2, "plan": 1}]
     assert texts(lambda t, low: vocabulary.repetitive_verbs(vocabulary.action_verb_frequency(low)), text) == [{"led": 3}]
 
 

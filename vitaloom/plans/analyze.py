@@ -1,12 +1,15 @@
 """Resume texts to scores, insights and advice."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitaloom import fixed_values as fixed
 from vitaloom.functions.advice import insights, recommendations
 from vitaloom.functions.levels import resolve_level
 from vitaloom.functions.scores import ats_score_hybrid, ats_score_rules, ats_status
+from vitaloom.functions.vectors import semantic_to_ideal, unit
 from vitaloom.operators.features import extract_features, require_text
 
 
@@ -33,10 +36,24 @@ def score_features(features: DataFrame, target_level=None, semantic=None) -> Dat
         "_score", "_status")
 
 
+def ideal_vectors(spark: SparkSession, encoder: Callable[[DataFrame], DataFrame], sentences: list[str] = fixed.IDEAL_SENTENCES):
+    """The ideal sentences as one array of unit vectors, a scalar subquery. ``encoder`` adds ``vector`` to rows with ``text``."""
+    rows = encoder(spark.createDataFrame(list(enumerate(sentences)), "pos int, text string"))
+    both = F.array_sort(F.collect_list(F.struct("pos", unit(F.col("vector")).alias("v"))))
+    return rows.agg(F.transform(both, lambda s: s["v"]).alias("all")).scalar()
+
+
 def analyze_resumes(df: DataFrame, text: str = "text", target_level=None, semantic=None,
-                    as_of_year: int = fixed.CURRENT_YEAR, **vocabularies) -> DataFrame:
-    """Add the ``analysis`` struct to every row; rows without text get ``success = false`` only."""
+                    as_of_year: int = fixed.CURRENT_YEAR, encoder: Callable[[DataFrame], DataFrame] | None = None,
+                    **vocabularies) -> DataFrame:
+    """Add the ``analysis`` struct to every row; rows without text get ``success = false`` only.
+
+    ``semantic`` is a column with semantic points; an ``encoder`` (it adds ``vector``) gives those of the ideal sentences.
+    """
     kept = df.columns
+    if encoder is not None:
+        df = encoder(df).withColumn("_ideals", ideal_vectors(df.sparkSession, encoder))
+        semantic = semantic_to_ideal(F.col("vector"), F.col("_ideals"))
     scored = score_features(extract_features(require_text(df, text), text, as_of_year=as_of_year, **vocabularies),
                             target_level, semantic)
     col = F.col

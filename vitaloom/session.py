@@ -1,13 +1,20 @@
 """Session settings and the shared folder for cut lineage."""
 
+import io
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 # Folders of local test sessions that name none, by application.
 _local_roots: dict[str, str] = {}
+# Folders written by the scopes that are open, innermost last.
+_scopes: list[list[str]] = []
 
 
 def build_session(app: str = "vitaloom", master: str | None = None, **conf) -> SparkSession:
@@ -35,8 +42,48 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so lost executors do not recompute it."""
+    """Write ``df`` to the shared folder and read it back, so lost executors do not recompute it.
+
+    The files stay until the surrounding :func:`scratch` ends; without one they stay for good.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system, whatever store it is in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what :func:`cut_lineage` wrote inside: ``with scratch(spark): plan(...).write.parquet(result)``.
+
+    Results must be written before the scope ends, because they read these files.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            at, store = _folder(spark, path)
+            store.delete(at, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a cluster that has no install of it, through the shared folder."""
+    home = Path(__file__).parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    at, store = _folder(spark, f"{shared_folder(spark, 'package')}/{home.name}.zip")
+    out = store.create(at)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(at.toString())
