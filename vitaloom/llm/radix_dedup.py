@@ -258,7 +258,14 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", threshold: int = THRE
         raise ValueError(f"the threshold must be from {DIGIT + 1} to {DIGIT + (1 << COUNT_BITS) - 1} bytes")
     spans = (repeated_spans(docs, text, threshold).groupBy("t", "check")
              .agg(F.collect_list(F.struct("first", "last")).alias("_spans")).withColumnsRenamed({"t": "_t", "check": "_check"}))
-    met = identified(docs, text).join(spans, ["_t", "_check"], "left")
+    @F.pandas_udf("binary")
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        small = zstandard.ZstdCompressor(level=1)
+        for texts in batches:
+            yield pd.Series([small.compress(t.encode()) for t in texts], dtype=object)
+
+    # Texts travel to their spans compressed; a text column that nobody reads afterwards does not travel at all.
+    met = identified(docs, text).withColumn("_packed", packed("_text")).drop("_text").join(spans, ["_t", "_check"], "left")
     new = ["kept", "kept_text", "n_bytes", "n_removed", "removed"]
 
     @F.pandas_udf("struct<kept: binary, kept_text: string, n_bytes: long, n_removed: long, removed: array<struct<start: long, stop: long>>>")
@@ -266,7 +273,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", threshold: int = THRE
         for texts, lists in batches:
             rows = []
             for t, found in zip(texts, lists, strict=True):
-                data = t.encode()
+                data = zstandard.decompress(t)
                 gone = merged([(s["first"], s["last"] + threshold) for s in found]) if found is not None else []
                 ends = [0, *(x for s in gone for x in s), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
@@ -274,4 +281,4 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", threshold: int = THRE
             yield pd.DataFrame(rows, columns=new)
 
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
-    return met.withColumn("_cut", cut("_text", "_spans")).select(*own, *[F.col(f"_cut.{c}").alias(c) for c in new])
+    return met.withColumn("_cut", cut("_packed", "_spans")).select(*own, *[F.col(f"_cut.{c}").alias(c) for c in new])
