@@ -21,19 +21,17 @@ def mark_latest(resumes: DataFrame) -> DataFrame:
 
 def add_resume_version(resumes: DataFrame, new: DataFrame, as_of: str) -> DataFrame:
     """Append uploads; the older rows of those users stop being the latest, and are stamped when they change."""
-    uploads = new.withColumn("_new", F.lit(True))
-    both = resumes.withColumn("_new", F.lit(False)).unionByName(uploads, allowMissingColumns=True)
-    touched = new.select("user_id").distinct().withColumn("_touched", F.lit(True))
+    touched = new.where("user_id IS NOT NULL").select("user_id").distinct().withColumn("_touched", F.lit(True))
+    owner = F.coalesce("_touched", F.lit(False))
+    # the stored side, with its long columns, is dealt once; the flags of the uploads come from the uploads alone
+    stored = resumes.join(touched, "user_id", "left").withColumn("_demoted", owner & F.coalesce("is_latest", F.lit(False)))
+    stored = touch_updated_at(stored.withColumn("is_latest", F.when(owner, F.lit(False)).otherwise(F.col("is_latest"))), F.col("_demoted"), as_of)
     tops = new.groupBy("user_id").agg(F.max(F.struct("upload_date", "id")).alias("_top"))
     newest = tops.select(F.col("_top.id").alias("id"), F.lit(True).alias("_newest"))
-    joined = both.join(touched, "user_id", "left").join(newest, "id", "left")
-    owner = F.coalesce("_touched", F.lit(False))
-    demoted = owner & ~F.col("_new") & F.coalesce("is_latest", F.lit(False))
-    flagged = joined.withColumns({
-        "_demoted": demoted,
-        "is_latest": F.when(owner, F.coalesce("_newest", F.lit(False))).otherwise(F.col("is_latest"))})
-    stamped = touch_updated_at(flagged, F.col("_demoted"), as_of)
-    return stamped.select(*resumes.columns)
+    given = F.col("is_latest") if "is_latest" in new.columns else F.lit(None).cast("boolean")
+    uploads = new.join(newest, "id", "left").withColumn(
+        "is_latest", F.when(F.col("user_id").isNotNull(), F.coalesce("_newest", F.lit(False))).otherwise(given)).drop("_newest")
+    return stored.select(*resumes.columns).unionByName(uploads, allowMissingColumns=True).select(*resumes.columns)
 
 
 def attach_analysis(resumes: DataFrame, results: DataFrame, as_of: str) -> DataFrame:
