@@ -314,6 +314,25 @@ def _(spark, d):
     return rec_rows(rec_ops.replace_recommendations(recs(spark, d), incoming))
 
 
+# The same rows, naming their jobs by links of which the catalogue has some.
+BY_LINK = f"""SELECT user_id, resume_id, concat('https://jobs.example/', CAST(resume_id % 2500 AS VARCHAR(10))) AS url, match_score, created_at, line, job_id AS part
+FROM ({INCOMING_RECOMMENDATIONS}) AS incoming"""
+
+
+@query("store_recommendations", f"""WITH old AS ({D(RECOMMENDATIONS)}), known AS (SELECT url, min(id) AS id FROM ({D(JOBS)}) GROUP BY url),
+new AS (SELECT user_id, resume_id, coalesce(id, -1 - ('0x' || substr(md5(url), 1, 15))::BIGINT) AS job_id, match_score, created_at, line, part
+  FROM ({D(BY_LINK)}) LEFT JOIN known USING (url))
+SELECT {REC_COLUMNS} FROM (
+  SELECT o.* EXCLUDE (line) FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.user_id = o.user_id AND n.resume_id = o.resume_id)
+  UNION ALL SELECT * EXCLUDE (line, part) FROM new QUALIFY row_number() OVER (PARTITION BY user_id, resume_id, job_id
+    ORDER BY line DESC, created_at DESC, match_score DESC, part DESC) = 1)""")
+def _(spark, d):
+    incoming = table(spark, d, BY_LINK).withColumn("seq", F.struct("line", "created_at", "match_score", "part"))
+    catalogue, kept = rec_ops.store_recommendations(recs(spark, d).drop("line"), incoming, jobs(spark, d), AS_OF)
+    # every stored job of the incoming rows is in the new catalogue
+    return rec_rows(kept)
+
+
 @query("write_scored", f"""SELECT user_id, count(*) AS n, CAST(sum(match_score) AS DOUBLE) AS total FROM ({D(RECOMMENDATIONS)}) GROUP BY user_id""")
 def _(spark, d):
     path = shared_folder(spark, "scored")

@@ -213,3 +213,19 @@ def test_files_and_sinks(spark, tmp_path):
     write_scored(df.where("month = 1").withColumn("user_id", F.lit(9).cast("bigint")), out, ["month"], mode="overwrite")
     got = scan_table(spark, str(tmp_path / "out"), "job_recommendations").select("user_id", "recommendation_reasons").collect()
     assert {r["user_id"] for r in got} == {9, 2}      # only the written partition was replaced
+
+
+def test_store_recommendations_finds_or_adds_the_job(spark):
+    from vitaloom.operators.jobs import link_id
+    from vitaloom.operators.recommendations import store_recommendations
+
+    jobs = spark.createDataFrame([(1, "known", "u1"), (2, "twin", "u1")], "id long, title string, url string").selectExpr(
+        "*", "timestamp'2024-01-01' created_at", "timestamp'2024-01-01' updated_at")
+    stored = spark.createDataFrame([(7, 70, 5, 1.0), (8, 80, 5, 2.0)], "user_id long, resume_id long, job_id long, match_score double")
+    new = spark.createDataFrame([(7, 70, "u1", "x", 3.0, 1), (7, 70, "u2", "new", 4.0, 2), (7, 70, "u2", "later", 5.0, 3), (9, 90, None, "none", 6.0, 4)],
+                                "user_id long, resume_id long, url string, title string, match_score double, seq int")
+    catalogue, kept = store_recommendations(stored, new, jobs, "2024-02-01 00:00:00")
+    fresh = spark.range(1).select(link_id(F.lit("u2"))).first()[0]
+    assert fresh < 0
+    assert sorted((r["id"], r["title"], r["url"]) for r in catalogue.collect()) == [(fresh, "new", "u2"), (1, "known", "u1"), (2, "twin", "u1")]
+    assert sorted(tuple(r) for r in kept.collect()) == [(7, 70, fresh, 5.0), (7, 70, 1, 3.0), (8, 80, 5, 2.0)]

@@ -86,6 +86,12 @@ def dedupe_jobs(jobs: DataFrame, order: list[str], key: str = "link") -> DataFra
     return first.select(*[F.col(key) if c == key else F.col("_row")[c].alias(c) for c in jobs.columns])
 
 
+def link_id(link) -> Column:
+    """Id of a job known by its link alone: negative, so it meets no id of the table, and the same wherever it is computed."""
+    digits = F.substring(F.md5(link.cast("binary")), 1, 15)
+    return F.lit(-1) - F.conv(digits, 16, 10).cast("bigint")
+
+
 def combine_jobs(feed: DataFrame, table: DataFrame, order: list[str], key: str = "link") -> DataFrame:
     """Feed rows, then table rows whose link the feed does not have."""
     ranked = feed.withColumn("_src", F.lit(0)).unionByName(table.withColumn("_src", F.lit(1)), allowMissingColumns=True)

@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitaloom import fixed_values as fixed
-from vitaloom.operators.jobs import filter_min_score, filter_posted_within
+from vitaloom.operators.jobs import filter_min_score, filter_posted_within, insert_jobs_if_absent, link_id
 
 
 def top_n(rows: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
@@ -40,6 +40,22 @@ def replace_recommendations(stored: DataFrame, incoming: DataFrame, seq: str = "
     return kept.select(*stored.columns).unionByName(last.select(*stored.columns))
 
 
+def store_recommendations(stored: DataFrame, incoming: DataFrame, jobs: DataFrame, as_of: str, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """Catalogue and stored recommendations after storing ``incoming``, whose jobs are named by ``url``.
+
+    Jobs with an unknown url are inserted first, with the id that their link gives (:func:`jobs.link_id`); columns of the
+    catalogue that ``incoming`` has come along. Rows without a url have no job and are not stored. The catalogue side of
+    the look-up is unique on the url, so a popular job can be split.
+    """
+    named = incoming.where("url IS NOT NULL")
+    details = [c for c in jobs.columns if c in named.columns and c not in ("id", "url")]
+    added = insert_jobs_if_absent(jobs, named.select("url", seq, *[c for c in details if c != seq]), as_of, seq)
+    catalogue = added.withColumn("id", F.coalesce("id", link_id(F.col("url"))))
+    known = jobs.where("url IS NOT NULL").groupBy("url").agg(F.min("id").alias("_id"))
+    resolved = named.join(known, "url", "left").withColumn("job_id", F.coalesce("_id", link_id(F.col("url"))))
+    return catalogue, replace_recommendations(stored, resolved, seq)
+
+
 def user_recommendations(recommendations: DataFrame, jobs: DataFrame, user_id: int | None = None,
                          limit: int = fixed.TOP_MATCHES, tie: list[str] | None = None) -> DataFrame:
     """Recommendations with their active jobs, best first, ``limit`` per user."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vitaloom import fixed_values as fixed
 from vitaloom.functions.matching import job_text, match_reasons, validate_resume
 from vitaloom.functions.vocabulary import match_terms
-from vitaloom.operators.jobs import combine_jobs, filter_posted_within, search_jobs
+from vitaloom.operators.jobs import combine_jobs, filter_posted_within, link_id, search_jobs
 from vitaloom.operators.pairs import job_side, resume_side, top_matches
 from vitaloom.session import cut_lineage
 
@@ -35,8 +35,7 @@ def candidate_jobs(jobs: DataFrame, keywords=None, location=None, feed: DataFram
     if feed is None:
         feed = found.where("false")
     else:
-        own = F.lit(-1) - F.xxhash64("link").bitwiseAND(F.lit((1 << 62) - 1))
-        feed = feed.withColumns({"seq": F.col("seq").cast("bigint") + F.lit(FEED_SEQ), "job_id": own})
+        feed = feed.withColumns({"seq": F.col("seq").cast("bigint") + F.lit(FEED_SEQ), "job_id": link_id(F.col("link"))})
     return combine_jobs(feed, found, ["seq", "job_id"])
 
 
