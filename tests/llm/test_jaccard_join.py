@@ -73,6 +73,35 @@ def test_long_lists_and_blocks(spark, monkeypatch):
         assert sorted(run(spark, rows, rule), key=order) == sorted(brute(rows, rule), key=order)
 
 
+def brute_links(rows, rule):
+    sets = []
+    for _, t in rows:
+        ws = (t or "").encode().lower().split()
+        n = min(rule.words, len(ws))
+        sets.append({tuple(ws[i:i + n]) for i in range(len(ws) - n + 1)} if ws else set())
+    return [(k, sum(i != o and bool(s and t) and rule.linked(len(s & t), len(s | t)) for o, t in enumerate(sets)))
+            for i, ((k, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+def run_links(spark, rows, rule):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return [(r["doc_id"], r["n_links"]) for r in j.near_duplicates(df, rule=rule, links=True).collect()]
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_numbers_of_links(spark, monkeypatch, block):
+    """A family of one-word variants, most of which are linked with each other and not only with a list's head."""
+    monkeypatch.setattr(j, "LINK_BLOCK", block)
+    monkeypatch.setattr(j, "WIDTH", 16)
+    base = [f"b{i}" for i in range(60)]
+    family = [" ".join([*base[:i], f"x{i % 5}", *base[i + 1:]]) for i in range(60)] + [" ".join(base)] * 3
+    rows = families(5, 25) + [(10_000 + i, t) for i, t in enumerate(family)]
+    rows += [(20, "q r s t u v"), (20, "x y z u v w"), (20, "x y z u v w"), (21, "q r s t u v"), (None, "q r s t u v"), (22, None), (23, "")]
+    for rule in (j.Rule(3, 90, 100), j.Rule(2, 94, 100)):
+        assert sorted(run_links(spark, rows, rule), key=order) == sorted(brute_links(rows, rule), key=order)
+    assert run_links(spark, [], j.Rule()) == []
+
+
 def test_edges(spark):
     long = " ".join(f"a{i}" for i in range(30_000))
     rows = [(4, None), (5, ""), (6, " \n"), (7, "one"), (8, "One"), (9, "one two"), (10, "ONE\ttwo\n"), (11, "one two three"), (11, "one two three"), (12, "É a b"), (13, "é a b"),

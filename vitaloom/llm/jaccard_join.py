@@ -17,6 +17,11 @@ of the work:
 
 So no list emits all its pairs, however long, and no link between components is lost: a pair is left out only when its
 sets are known to be connected already or provably too different.
+
+The number of links of each document is counted after that, because linked sets are always in one component. One set of
+a component, its head, stands for the others: each set is held as its difference ``D`` to the head. The difference of
+two sets is ``D1`` xor ``D2``, so ``|D1| + |D2| - 2 |D1 & D2|`` gives their overlap exactly. For near copies the
+differences are a few tokens. Blocks of a component are compared two by two, and only sums for each set leave a task.
 """
 
 from collections.abc import Iterator
@@ -37,6 +42,9 @@ COUNTER_BITS = 18
 SHORT_LIST = 16
 # Entries of a block of a long list.
 BLOCK = 256
+# Sets of a block when links are counted, and tokens that are multiplied at once.
+LINK_BLOCK = 512
+WIDTH = 2048
 NULL_KEY = -(1 << 63)
 SETS = "k long, n long, d1 long, d2 long, prefix array<long>, sig binary"
 
@@ -251,9 +259,111 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rule: Rule) ->
     return links
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
+def shared_tokens(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each of ``x`` has in common with each of ``y``. Memory is bounded by ``WIDTH``."""
+    flat = [np.concatenate([*side, np.empty(0, np.uint64)]) for side in (x, y)]
+    owner = [np.repeat(np.arange(len(side)), [len(t) for t in side]) for side in (x, y)]
+    both = np.intersect1d(*flat)
+    total = np.zeros((len(x), len(y)), np.float32)
+    if not len(both):
+        return total.astype(np.int64)
+    at = [np.minimum(np.searchsorted(both, f), len(both) - 1) for f in flat]
+    known = [both[a] == f for a, f in zip(at, flat, strict=True)]
+    for low in range(0, len(both), WIDTH):
+        sides = []
+        for i, side in enumerate((x, y)):
+            here = known[i] & (at[i] >= low) & (at[i] < low + WIDTH)
+            m = np.zeros((len(side), min(WIDTH, len(both) - low)), np.float32)
+            m[owner[i][here], at[i][here] - low] = 1
+            sides.append(m)
+        total += sides[0] @ sides[1].T
+    return total.astype(np.int64)
+
+
+def tile_links(a: list[dict], b: list[dict], rule: Rule) -> np.ndarray:
+    """Which sets of two blocks of a component are linked; rows are dicts of ``n`` and ``diff`` (bytes)."""
+    x, y = ([np.frombuffer(e["diff"], np.uint64) for e in side] for side in (a, b))
+    n = np.add.outer(np.array([e["n"] for e in a], np.int64), np.array([e["n"] for e in b], np.int64))
+    d = np.add.outer(np.array([len(t) for t in x], np.int64), np.array([len(t) for t in y], np.int64))
+    least = (n - d) // 2  # n and d differ by an even number
+    most = least + np.minimum.outer([len(t) for t in x], [len(t) for t in y])
+    sure = rule.linked(least, n - least)
+    if not (rule.linked(most, n - most) & ~sure).any():
+        return sure
+    shared = least + shared_tokens(x, y)
+    return rule.linked(shared, n - shared)
+
+
+def link_counts(sets: DataFrame, component: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """``d1, d2, n_links``: how many other rows have a set linked to this one, rows of an equal set included."""
+    placed = cut_lineage(sets.join(component, F.col("r") == F.col("node"), "left").select("d1", "d2", "r", "n", "copies", F.coalesce("component", "r").alias("c")), "placed")
+    heads = placed.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("d1", "d2")).alias("head")).where("m > 1")
+    several = placed.join(heads, "c")
+    needed = several.select(F.col("r").alias("k")).distinct()
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = [shingles(t, ids, rule.words).tobytes() for t in batch.column(0).slice(at, 128).to_pylist()]
+                digests = [xxhash.xxh3_128_digest(t) for t in part]
+                d1, d2 = (pa.array([int.from_bytes(d[i:i + 8], "big", signed=True) for d in digests], pa.int64()) for i in (0, 8))
+                yield pa.RecordBatch.from_arrays([d1, d2, pa.array(part, pa.binary())], names=["d1", "d2", "tokens"])
+
+    # A key with several texts, or a text repeated under its key, brings rows that are not needed or needed once.
+    texts = docs.join(needed, "k", "left_semi").select("text").mapInArrow(tokens, "d1 long, d2 long, tokens binary")
+    held = cut_lineage(several.join(texts, ["d1", "d2"]).groupBy("d1", "d2").agg(
+        *(F.first(x).alias(x) for x in ("c", "m", "n", "copies", "head", "tokens"))), "held")
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            diffs = [np.setxor1d(np.frombuffer(t, np.uint64), np.frombuffer(h, np.uint64), assume_unique=True).tobytes()
+                     for t, h in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(diffs, pa.binary())], names=["c", "m", "d1", "d2", "n", "copies", "diff"])
+
+    head = held.where("d1 = head.d1 and d2 = head.d2").select("c", F.col("tokens").alias("h"))
+    apart = held.join(head, "c").select("c", "m", "d1", "d2", "n", "copies", "tokens", "h").mapInArrow(
+        differences, "c long, m long, d1 long, d2 long, n long, copies long, diff binary")
+    count = F.ceil(F.col("m") / LINK_BLOCK).cast("int")
+    blocks = cut_lineage(apart.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("d1", "d2"), count).cast("int")).groupBy("c", "blocks", "block")
+                         .agg(F.collect_list(F.struct("d1", "d2", "n", "copies", "diff")).alias("es")), "blocks")
+    discard(held)
+
+    def sums(es: list[dict], links: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([e["d1"] for e in es], pa.int64()), pa.array([e["d2"] for e in es], pa.int64()),
+                                           pa.array(links, pa.int64())], names=["d1", "d2", "links"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                es = batch.column(0)[i].as_py()
+                linked = tile_links(es, es, rule)
+                np.fill_diagonal(linked, False)
+                yield sums(es, linked @ np.array([e["copies"] for e in es], np.int64))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                linked = tile_links(a, b, rule)
+                yield sums(a, linked @ np.array([e["copies"] for e in b], np.int64))
+                yield sums(b, np.array([e["copies"] for e in a], np.int64) @ linked)
+
+    many = blocks.where("blocks > 1")
+    pairs = (many.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).where("o <> block")
+             .select("c", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.struct("block", "es").alias("side"))
+             .groupBy("c", "i", "j").agg(F.sort_array(F.collect_list(F.struct(F.col("side.block").alias("block"), F.col("side.es").alias("es")))).alias("s"))
+             .where("size(s) = 2").select(F.col("s")[0]["es"].alias("a"), F.col("s")[1]["es"].alias("b")))
+    schema = "d1 long, d2 long, links long"
+    found = blocks.select("es").mapInArrow(own, schema).unionByName(pairs.mapInArrow(across, schema)).groupBy("d1", "d2").agg(F.sum("links").alias("links"))
+    return placed.select("d1", "d2", "copies").join(found, ["d1", "d2"], "left").select("d1", "d2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rule: Rule = Rule(), links: bool = False) -> DataFrame:
     """One row for each document: the key, ``n_shingles`` (size of its set) and ``component_id``.
 
+    With ``links`` also ``n_links``: how many other rows are linked to this one, those of equal sets included.
+
     The component is the smallest key that a document reaches by links, itself included. Documents without a word have
     an empty set and are linked with nothing, not even with each other. Keys are whole numbers; null keys count as one
     key before all others. Rows that share a key are parts of one document: they share a component. Repeated rows stay.
@@ -262,21 +372,26 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     docs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("k"), F.col(text).alias("text"))
     rows = shingle_sets(docs, rule)
     sets = cut_lineage(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("k").alias("r"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
-                                                                  F.first("sig").alias("sig")), "distinct")
+                                                                  F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "distinct")
     entries = index(sets, rule)
-    links = verified(first_pairs(entries, rule), sets, docs, rule)
-    component = cut_lineage(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "component")
+    found_links = verified(first_pairs(entries, rule), sets, docs, rule)
+    component = cut_lineage(connected(found_links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "component")
     rest = cut_lineage(rest_pairs(entries, component, rule), "rest")
     # Documents of one key but different texts hang together through the smallest keys of their sets.
-    members = rows.where("n > 0").join(sets.select("d1", "d2", "r"), ["d1", "d2"]).select("k", "r", "n")
+    members = rows.where("n > 0").join(sets.select("d1", "d2", "r"), ["d1", "d2"]).select("k", "r", "n", "d1", "d2")
     own = members.where("k <> r").select(F.col("k").alias("u"), F.col("r").alias("v")).distinct()
     discard(entries)
     if rest.limit(1).count():
-        links = links.unionByName(verified(rest, sets, docs, rule))
+        found_links = found_links.unionByName(verified(rest, sets, docs, rule))
     repeated = members.groupBy("k").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select(F.col("k").alias("rk"))
     several = own.join(repeated, F.col("u") == F.col("rk"), "left_semi")
-    component = cut_lineage(connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(several)), "component")
-    found = members.join(component, F.col("r") == F.col("node"), "left").select("k", "n", F.coalesce("component", "r").alias("c"))
-    found = found.unionByName(rows.where("n = 0").select("k", "n", F.col("k").alias("c")))
+    component = cut_lineage(connected(found_links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(several)), "component")
+    found = members.join(component, F.col("r") == F.col("node"), "left").select("k", "n", "d1", "d2", F.coalesce("component", "r").alias("c"))
+    more = []
+    if links:
+        found = found.join(link_counts(sets, component, docs, rule), ["d1", "d2"])
+        more = ["n_links"]
+    empty = rows.where("n = 0").select("k", "n", F.col("k").alias("c"), F.lit(0).cast("long").alias("n_links"))
+    found = found.select("k", "n", "c", *more).unionByName(empty.select("k", "n", "c", *more))
     real = lambda c: F.when(F.col(c) != NULL_KEY, F.col(c))
-    return found.select(real("k").alias(key), F.col("n").alias("n_shingles"), real("c").alias("component_id"))
+    return found.select(real("k").alias(key), F.col("n").alias("n_shingles"), real("c").alias("component_id"), *more)

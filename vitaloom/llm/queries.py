@@ -59,6 +59,14 @@ SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
 FROM s JOIN reach ON reach.x = s.rid JOIN s o ON o.rid = reach.y GROUP BY s.rid, s.doc_id, s.sh"""
 
 
+def op2_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join with the number of links of every document."""
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"), rule=jaccard_join.Rule(words=3, num=90, den=100), links=True)
+
+
+OP2_LINKS_SQL = OP2_SQL.replace("SELECT s.doc_id,", "SELECT s.doc_id, (SELECT count(*) FROM links WHERE links.x = s.rid) AS n_links,")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_round_trip(read(spark, sf_dir, "pages"))
     return records.select(F.col("source_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
@@ -145,5 +153,5 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = transducer.
 QUERIES = {"op1_sharding": op1_sharding, "op2_jaccard_join": op2_jaccard_join, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination,
            "op5_quality": op5_quality, "op6_fingerprints": op6_fingerprints, "op7_substring_dedup": op7_substring_dedup,
            "op8_suffix_dedup": op8_suffix_dedup, "op10_toxicity": op10_toxicity,
-           "op9_sentencepiece": op9_sentencepiece}
-SQL = {"op1_sharding": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_warc": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
+           "op9_sentencepiece": op9_sentencepiece, "op2_jaccard_links": op2_jaccard_links}
+SQL = {"op1_sharding": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op2_jaccard_links": OP2_LINKS_SQL, "op3_warc": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
