@@ -33,6 +33,17 @@ def test_held_out(trained):
     assert all(0 <= v <= 1 for v in got.values())
 
 
+def test_bounded_sample_is_not_a_prefix_of_the_alphabet(spark, monkeypatch):
+    assert quality.bounded([b"aaa", b"b" * 10, b"cc"], 6) == [b"aaa", b"cc"]
+    seen = []
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 4000)
+    monkeypatch.setattr(quality, "dictionary", lambda texts: seen.extend(t[:1] for t in texts) or b"x" * 64)
+    rows = [(i, chr(97 + i % 26) * 100, i // 26 % 2) for i in range(520)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    quality.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    assert len(seen) == 40 and max(seen) > b"t"
+
+
 def test_edge_rows(spark, trained):
     _, rows, model = trained
     long = rows[1][1] * 2000

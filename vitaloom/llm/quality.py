@@ -43,10 +43,11 @@ class Model:
 
 
 def bounded(rows: list[bytes], limit: int) -> list[bytes]:
+    """The rows that fit in ``limit`` bytes, in their order; one that does not fit is passed over."""
     kept, size = [], 0
     for r in rows:
         if size + len(r) > limit:
-            break
+            continue
         kept.append(r)
         size += len(r)
     return kept
@@ -88,9 +89,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     shares = {r[label]: r["count"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
     prior = (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)
     half = F.pmod(F.xxhash64(F.col("_key").cast("string"), F.lit(23)), F.lit(2))
-    rows = sorted((r["_label"], r["half"], r["data"]) for r in
-                  sample(docs, labels, key, text, label).select("_label", half.alias("half"), F.encode("_text", "UTF-8").alias("data")).toLocalIterator())
-    part = {(y, h): bounded([bytes(d) for y2, h2, d in rows if (y2, h2) == (y, h)], SAMPLE_CHARS // 2) for y in (0, 1) for h in (0, 1)}
+    # By the hash that chose the sample, so what is used is a hash sample too.
+    rank = F.xxhash64(F.col("_key").cast("string"), F.lit(17))
+    rows = sorted((r["_label"], r["half"], r["rank"], r["data"]) for r in
+                  sample(docs, labels, key, text, label).select("_label", half.alias("half"), rank.alias("rank"), F.encode("_text", "UTF-8").alias("data")).toLocalIterator())
+    part = {(y, h): bounded([bytes(d) for y2, h2, _, d in rows if (y2, h2) == (y, h)], SAMPLE_CHARS // 2) for y in (0, 1) for h in (0, 1)}
     good, bad = dictionary(part[1, 0]), dictionary(part[0, 0])
     held = [(y, d) for y in (0, 1) for d in part[y, 1]]
     if min(len(part[0, 1]), len(part[1, 1])) < 5:
