@@ -5,7 +5,8 @@ grawlixes or second-person insults. A generative label model estimates from all
 with a hidden class ``y`` of share ``p``, the covariance of two independent voters is ``p (1 - p) d_i d_j``, where ``d``
 is how much likelier a voter fires on toxic texts. Pairs whose covariance departs from that rank-one shape are
 correlated: they are left out of the fit, and the posterior weighs by the inverse of what is left of the covariances. A linear classifier on words is
-trained on the posterior labels, and its margin is calibrated on labelled texts.
+trained on labelled texts only, where the given label outweighs the clipped posterior, so the posterior smooths labels and
+cannot overturn them. Its margin is calibrated on the same texts.
 
 What is counted over the corpus are the firings of pairs of voters: a few hundred sums for each task, added up by a
 partial aggregate. Lexicon and classifier are fitted on the bounded sample of ``labelled.sample``.
