@@ -41,7 +41,7 @@ def map_rows(df: DataFrame, rows: Callable[..., Iterable[tuple]], schema: str) -
 
     Output leaves in batches of bounded size, so one long text never holds more than its own rows in memory.
     """
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    types = arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -50,14 +50,19 @@ def map_rows(df: DataFrame, rows: Callable[..., Iterable[tuple]], schema: str) -
                 for out in rows(*values):
                     held.append(out)
                     if len(held) >= BATCH_ROWS:
-                        yield as_batch(held, arrow)
+                        yield as_batch(held, types)
                         held = []
         if held:
-            yield as_batch(held, arrow)
+            yield as_batch(held, types)
 
     return df.mapInArrow(run, schema)
 
 
+def arrow(ddl: str) -> pa.Schema:
+    """The Arrow form of a schema."""
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

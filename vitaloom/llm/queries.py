@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaloom.llm import decontaminate, jaccard_join, labelled, merkle, quality, radix_dedup, recompression, sharding, toxicity, transducer, warc
+from vitaloom.llm import (block_search, decontaminate, filter_audit, jaccard_join, labelled, merkle, quality, radix_dedup, recompression, sharding, spelling,
+                          toxicity, transducer, warc)
 from vitaloom.llm.common import fold, read
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -150,8 +151,73 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = transducer.
     return transducer.round_trip(read(spark, sf_dir, "documents"), transducer.load(model))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+# The checksum a byte at a time; words near each other are equal, or equal but for the place, after the loss of a letter.
+OP11_SQL = """
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, xor(list_reduce(list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM counted, crc),
+kept AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM kept WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+shorter AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT s.word, s.n, w.word, w.n FROM shorter s JOIN words w ON w.word = s.rest
+  UNION SELECT w.word, w.n, s.word, s.n FROM shorter s JOIN words w ON w.word = s.rest),
+best AS (SELECT word, n, count(*) AS n_near, min((-near_n, near)) AS b FROM near GROUP BY word, n),
+found AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 10 * w.n THEN b[2] END AS form, CASE WHEN -b[1] >= 10 * w.n THEN -b[1] END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS reached, 0 AS step FROM found UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN found f ON f.word = c.reached WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM found JOIN (SELECT word, max_by(reached, step) AS root FROM chain GROUP BY word) USING (word)"""
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_search.search(read(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+f AS (SELECT doc_id, part, (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+  + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+  + 16 * coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)::INT AS mask FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+  coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65))), 0)::INT AS before
+  FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+r AS (SELECT part, filter_order, step, sum(n) FILTER (mask & (before | bit) = 0) AS kept, sum(n) FILTER (mask & bit <> 0 AND mask & before = 0) AS removed,
+  sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+  sum(good) FILTER (mask & bit <> 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0) AS toxic_lost FROM c, s GROUP BY ALL),
+h AS (SELECT part, substr(filter_order, step, 1) AS filter, sum(coalesce(removed, 0)) AS shapley FROM r GROUP BY ALL)
+SELECT r.part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, shapley::BIGINT AS shapley
+FROM r JOIN h ON h.part = r.part AND h.filter = substr(filter_order, step, 1)"""
+
+
 QUERIES = {"op1_sharding": op1_sharding, "op2_jaccard_join": op2_jaccard_join, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination,
            "op5_quality": op5_quality, "op6_fingerprints": op6_fingerprints, "op7_substring_dedup": op7_substring_dedup,
            "op8_suffix_dedup": op8_suffix_dedup, "op10_toxicity": op10_toxicity,
-           "op9_sentencepiece": op9_sentencepiece, "op2_jaccard_links": op2_jaccard_links}
-SQL = {"op1_sharding": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op2_jaccard_links": OP2_LINKS_SQL, "op3_warc": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
+           "op9_sentencepiece": op9_sentencepiece, "op2_jaccard_links": op2_jaccard_links,
+           "op11_spelling_variants": op11_spelling_variants, "op12_topk_search": op12_topk_search, "op13_filter_audit": op13_filter_audit}
+SQL = {"op1_sharding": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op2_jaccard_links": OP2_LINKS_SQL, "op3_warc": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op8_suffix_dedup": OP8_SQL,
+       "op11_spelling_variants": OP11_SQL, "op12_topk_search": OP12_SQL, "op13_filter_audit": OP13_SQL}
