@@ -68,7 +68,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert rows(one) == kept and len(kept) < len(want)
 
     cut = stages["suffix_dedup"](spark, one, sf_dir)
-    sizes = {k: r for (k, t), r in zip(kept, test_radix_dedup.brute([t for _, t in kept], 400), strict=True) if k is not None}
+    sizes = {k: r for (k, t), r in zip(kept, test_radix_dedup.brute([t for _, t in kept], p.REPEATED), strict=True) if k is not None}
     for r in cut.collect():
         if r["doc_id"] in sizes:
             n, gone, _, _ = sizes[r["doc_id"]]

@@ -51,7 +51,7 @@ def cut(spark, texts, threshold=r.THRESHOLD):
     return [(x["n_bytes"], x["n_removed"], len(x["removed"]), hashlib.sha256(bytes(x["kept"])).hexdigest()) for x in out.orderBy("doc_id").collect()]
 
 
-@pytest.mark.parametrize("seed,threshold", [(1, 400), (2, 150), (3, 129)])
+@pytest.mark.parametrize("seed,threshold", [(1, 400), (2, 150), (3, 129), (4, 240)])
 def test_against_brute_force(spark, seed, threshold):
     texts = corpus(seed, 40)
     assert cut(spark, texts, threshold) == brute(texts, threshold)

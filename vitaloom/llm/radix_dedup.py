@@ -4,7 +4,7 @@ Suffixes are told apart most significant digit first and never beyond the thresh
 depth is a repeated window. Sorting all suffixes to full depth would move the corpus once for every byte of it, so the
 passes use digits that shrink the work early:
 
-1. The first digit of a window is its anchor: of all ``DIGIT``-byte strings in the window the one with the smallest
+1. The first digit of a window is its anchor: of all ``DIGIT``-byte strings (shorter ones for a short threshold) in it the one with the smallest
    hash (the leftmost of equals). Equal windows have equal anchors at equal places. Neighbouring windows mostly share
    their anchor, so one row stands for about ``(threshold - DIGIT) / 2`` suffixes. Anchors that occur once end here.
 2. The second digit is the whole stretch that the windows of an anchor cover. Stretches that are equal to another are
@@ -36,7 +36,9 @@ from vitaloom.llm.common import as_batch, discard
 from vitaloom.session import cut_lineage
 
 THRESHOLD = 400
+# Longest anchor. A short threshold has shorter ones, or there would be about as many anchors as windows.
 DIGIT = 128
+LEAST = 129
 # Windows whose common core is compared at once.
 STEP = 16
 # Window starts that are looked at together; bounds the arrays for a very long text.
@@ -47,6 +49,11 @@ POSITION_BITS = 20
 COUNT_BITS, CHECK_BITS = 10, 12
 
 
+def digit_of(threshold: int) -> int:
+    """Length of the anchors of a threshold."""
+    return DIGIT if threshold >= 300 else threshold // 3
+
+
 class Hashes:
     """Rolling hashes of all strings of one length: a prefix sum of random letters times powers, modulo 2^64."""
 
@@ -106,7 +113,7 @@ def signed(h: int) -> int:
 def anchors(threshold: int):
     """Rows of one text: ``h`` the anchor, ``c`` the stretch (its bytes and the anchor's place in it), where it is."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes(BLOCK + threshold, DIGIT)
+        hashes = Hashes(BLOCK + threshold, digit_of(threshold))
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for t, check, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -254,8 +261,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", threshold: int = THRE
     crosses a text's end; texts below the threshold stay whole. Repeated rows and equal texts count as places of their
     own. Columns of those names are replaced; other columns and the number of rows stay.
     """
-    if not DIGIT < threshold < DIGIT + (1 << COUNT_BITS):
-        raise ValueError(f"the threshold must be from {DIGIT + 1} to {DIGIT + (1 << COUNT_BITS) - 1} bytes")
+    if not LEAST <= threshold < DIGIT + (1 << COUNT_BITS):
+        raise ValueError(f"the threshold must be from {LEAST} to {DIGIT + (1 << COUNT_BITS) - 1} bytes")
     spans = (repeated_spans(docs, text, threshold).groupBy("t", "check")
              .agg(F.collect_list(F.struct("first", "last")).alias("_spans")).withColumnsRenamed({"t": "_t", "check": "_check"}))
     @F.pandas_udf("binary")
