@@ -16,6 +16,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC = 0.3
 # Near copies: five words, similarity 0.8 or more.
 NEAR = jaccard_join.Rule(words=5, num=80, den=100)
+# Bytes of a repeated passage: 50 words of prose are about 320 bytes with their blanks, and hardly ever fewer than this.
+REPEATED = 240
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +29,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group; of rows with equal ids and texts one."""
+    docs = docs.select(COLUMNS)
     near = jaccard_join.near_duplicates(docs, rule=NEAR).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(near, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
+    return docs.join(near, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the byte strings of the threshold length that occur more than once."""
-    cut = radix_dedup.remove_repeats(docs)
+    """All documents, without the strings of ``REPEATED`` bytes that occur more than once; every occurrence goes, the first too.
+
+    Null texts become empty, texts below that length stay whole, and of a character cut in half nothing stays.
+    """
+    cut = radix_dedup.remove_repeats(docs, threshold=REPEATED)
     return cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
