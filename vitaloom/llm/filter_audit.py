@@ -26,7 +26,7 @@ SAME = 1 << FILTERS.index("E")
 LEAST_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, MARKS = 50, 65, 5, b"#$%&*|"
 CAPITALS = bytes(range(65, 91))
 # Characters of a prefix that ranges are cut by, and bytes of text in a range's tries or held by a task at once.
-PREFIX, RANGE_BYTES, HELD_BYTES = 64, 64 << 20, 32 << 20
+PREFIX, RANGE_BYTES, HELD_BYTES = 64, 16 << 20, 32 << 20
 
 ROWS = "id long, part string, mask int, n long, size long, text string"
 MASKS = "id long, part string, mask int, n long, text string"
