@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitaloom.functions.encoders import dense, encode_hashed, encode_with
-from vitaloom.operators.pairs import CANDIDATE_LEVELS, JOB_LEVELS, _totals, job_side, match_pairs, resume_side, top_matches
+from vitaloom.operators.pairs import CANDIDATE_LEVELS, JOB_LEVELS, _totals, job_side, match_pairs, resume_side, search_space, top_matches
 from vitaloom.plans.recommend import candidate_jobs
 
 
@@ -58,6 +58,23 @@ def test_top_matches_without_rows(spark):
     assert top_matches(people.where("resume_id < 0"), jobs).count() == 0
 
 
+def test_clustered_vectors_meet_few_groups(spark):
+    """Work follows the output: blocks go only to the chunks whose resumes can use them."""
+    rng = np.random.default_rng(5)
+    centres = unit(rng.normal(size=(12, 16)))
+    near = lambda n: unit(centres[rng.integers(0, 12, n)] + rng.normal(size=(n, 16)) * 0.004)
+    jobs = spark.createDataFrame([(i, v.tolist(), "mid", False, i) for i, v in enumerate(near(2400))],
+                                 "job_id bigint, job_vector array<double>, job_level string, snippet boolean, seq bigint")
+    people = spark.createDataFrame([(i, v.tolist(), 70.0, "mid") for i, v in enumerate(near(600))],
+                                   "resume_id bigint, resume_vector array<double>, ats_score double, candidate_level string")
+    visits, chunks, blocks = search_space(people, jobs, 5, 0.0, block_rows=60, chunk_rows=40, cell_rows=50)
+    assert blocks.count() > 40 and chunks.count() > 15 and 3 * visits.count() < blocks.count() * chunks.count()
+    got = top_matches(people, jobs, k=5, block_rows=60, chunk_rows=40, cell_rows=50)
+    asked = people.where("resume_id % 40 = 0")
+    want = brute_force(spark, asked, jobs.drop("seq"), 5)
+    assert {(r["resume_id"], r["job_id"], r["match_score"]) for r in got.where("resume_id % 40 = 0").collect()} == want
+
+
 def test_top_matches_plan_has_no_pair_join(spark):
     people, jobs = make(spark, 5, 5, "random")
     plan = top_matches(people, jobs)._jdf.queryExecution().executedPlan().toString()

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructType
 
 from vitaloom import fixed_values as fixed
 from vitaloom.functions.levels import detect_job_seniority
@@ -26,6 +27,8 @@ CANDIDATE_LEVELS = ["student", "intern", "entry", "mid", "senior", "principal"]
 JOB_LEVELS = ["intern", "entry", "mid", "senior", "principal"]
 # Rounding of scores and the small step of the full-text curve stay inside this margin.
 _MARGIN = 0.2
+# Visits of a block by a chunk that a task makes where there are many, and partitions that a driver plans with ease.
+VISITS_OF_TASK, MOST_TASKS = 16, 50_000
 
 
 def job_side(jobs: DataFrame, job_id: str = "id", more=()) -> DataFrame:
@@ -64,11 +67,6 @@ def match_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFr
     return scored(joined, F.coalesce(similarity(F.col("resume_vector"), F.col("job_vector")), F.lit(0.0))).drop("resume_vector", "job_vector")
 
 
-def _matrix(column) -> np.ndarray:
-    packed = b"".join(bytes(v) for v in column)
-    return np.frombuffer(packed, dtype=np.float64).reshape(len(column), -1)
-
-
 def _pack(vectors, size: int) -> np.ndarray:
     """One row of ``size`` numbers for each vector; missing ones are zero, which is similar to nothing."""
     packed = np.zeros((len(vectors), size))
@@ -123,100 +121,166 @@ def _pivots(jobs: DataFrame, n: int) -> np.ndarray:
     return _pack([r["job_vector"] for r in rows], len(rows[0]["job_vector"])) if rows else np.zeros((1, 1))
 
 
-def _place_jobs(jobs: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Jobs with their nearest pivot and the angle to it; vectors packed for cheap transport."""
+def _place(rows: DataFrame, vector: str, pivots: np.ndarray, columns: list[str]) -> DataFrame:
+    """Rows with their nearest pivot and the angle to it; vectors packed for cheap transport."""
+    # without one job vector all are similar to nothing, whatever their size
+    any_vector = bool(pivots.any())
+
     def place(batches):
         for pdf in batches:
             if len(pdf):
-                vectors = _pack(pdf.pop("job_vector"), pivots.shape[1])
+                vectors = _pack(pdf.pop(vector) if any_vector else [None] * len(pdf), pivots.shape[1])
                 angles = _angles(vectors, pivots)
                 cell = angles.argmin(axis=1)
-                yield pdf.assign(packed=[v.tobytes() for v in vectors], cell=cell.astype("int32"),
-                                 angle=angles[np.arange(len(cell)), cell])
+                yield pdf[columns].assign(packed=[v.tobytes() for v in vectors], cell=cell.astype("int32"),
+                                          angle=angles[np.arange(len(cell)), cell])
+
+    schema = StructType(list(rows.select(*columns).schema))
+    for name, kind in (("packed", BinaryType()), ("cell", IntegerType()), ("angle", DoubleType())):
+        schema = schema.add(name, kind)
+    return rows.select(*columns, vector).mapInPandas(place, schema)
+
+
+def _packs(placed: DataFrame, parts: dict[int, int], key: str, pack, schema: str) -> DataFrame:
+    """One row for each cell and part of it, made by ``pack``; ``parts`` tells how many bounded parts a cell has."""
+    def deal(batches):
+        most = pd.Series(parts)
+        for pdf in batches:
+            yield pdf.assign(part=(pdf.pop("_hash") % pdf["cell"].map(most)).astype("int32"))
+
+    hashed = placed.drop("angle").withColumn("_hash", F.shiftrightunsigned(F.xxhash64(key), 1))
+    dealt = hashed.mapInPandas(deal, StructType(list(placed.drop("angle").schema)).add("part", IntegerType()))
+    return dealt.groupBy("cell", "part").applyInPandas(pack, schema)
 
-    return jobs.select("job_id", "seq", "job_level", "snippet", "job_vector").mapInPandas(
-        place, "job_id bigint, seq bigint, job_level string, snippet boolean, packed binary, cell int, angle double")
 
+_BLOCK = "cell int, part int, jobs int, job_ids binary, seqs binary, levels binary, snippets binary, vectors binary"
+_CHUNK = "chunk long, resumes int, resume_ids binary, ats binary, candidates binary, resume_vectors binary"
 
-def _visits(resumes: DataFrame, pivots, cells: pd.DataFrame, blocks: dict[int, int], k: int, chunks: int,
-            min_score: float) -> DataFrame:
-    """One row per resume and block that can still hold one of its best ``k`` jobs."""
+
+def _pack_jobs(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["seq", "job_id"])
+    return pd.DataFrame([(pdf["cell"].iat[0], pdf["part"].iat[0], len(pdf), pdf["job_id"].to_numpy(np.int64).tobytes(), pdf["seq"].to_numpy(np.int64).tobytes(),
+                          _codes(pdf["job_level"], JOB_LEVELS).tobytes(), pdf["snippet"].to_numpy(bool).tobytes(), b"".join(pdf["packed"]))],
+                        columns=[c.split()[0] for c in _BLOCK.split(", ")])
+
+
+def _pack_resumes(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame([(int(pdf["cell"].iat[0]) << 32 | int(pdf["part"].iat[0]), len(pdf), pdf["resume_id"].to_numpy(np.int64).tobytes(),
+                          pdf["ats_score"].to_numpy(float).tobytes(), _codes(pdf["candidate_level"], CANDIDATE_LEVELS).tobytes(), b"".join(pdf["packed"]))],
+                        columns=[c.split()[0] for c in _CHUNK.split(", ")])
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.float64).reshape(n, -1)
+
+
+def _visits(chunks: DataFrame, pivots: np.ndarray, cells: pd.DataFrame, blocks: dict[int, int], k: int, min_score: float) -> DataFrame:
+    """One row for every chunk and block that can still hold one of the best ``k`` jobs of a resume, with the places of those resumes."""
     cell, radius = cells["cell"].to_numpy(), cells["radius"].to_numpy() + 1e-9
     snippet, size = cells["snippet"].to_numpy(), cells["n"].to_numpy()
     level = _codes(cells["job_level"], JOB_LEVELS)
-    # without one job vector all are similar to nothing, whatever their size
-    any_vector = bool(pivots.any())
+
+    def kept(vectors, ats, candidate):
+        """Which cells' rows each resume must see."""
+        angle = _angles(vectors, pivots)[:, cell]
+        at_most = _totals(np.cos(np.maximum(angle - radius, 0.0)), snippet, ats, candidate, level) + _MARGIN
+        at_least = _totals(np.cos(np.minimum(angle + radius, math.pi)), snippet, ats, candidate, level) - _MARGIN
+        # k jobs are sure to score at least `floor`: take cells by their lower bound until they hold k jobs
+        order = np.argsort(-at_least, axis=1)
+        held = np.cumsum(size[order], axis=1)
+        enough = (held >= k).argmax(axis=1)
+        rows = np.arange(len(vectors))
+        floor = np.where(held[:, -1] >= k, at_least[rows, order[rows, enough]], -np.inf)
+        keep = at_most >= np.maximum(floor, min_score - _MARGIN)[:, None]
+        return np.stack([keep[:, cell == c].any(axis=1) for c in names], axis=1)
+
+    names = np.unique(cell)
+    # slabs keep the matrices of resumes x cells small
+    slab = max(1, 2_000_000 // max(1, len(cell)))
 
     def plan(batches):
-        # slabs keep the matrices of resumes x cells small
-        slab = max(1, 2_000_000 // max(1, len(cell)))
-        for pdf in (whole.iloc[at:at + slab].copy() for whole in batches for at in range(0, len(whole), slab)):
-            vectors = _pack(pdf.pop("resume_vector") if any_vector else [None] * len(pdf), pivots.shape[1])
-            if not any_vector:
-                pdf = pdf.drop(columns="resume_vector")
-            angle = _angles(vectors, pivots)[:, cell]
-            ats, candidate = pdf["ats_score"].to_numpy(float), _codes(pdf["candidate_level"], CANDIDATE_LEVELS)
-            at_most = _totals(np.cos(np.maximum(angle - radius, 0.0)), snippet, ats, candidate, level) + _MARGIN
-            at_least = _totals(np.cos(np.minimum(angle + radius, math.pi)), snippet, ats, candidate, level) - _MARGIN
-            # k jobs are sure to score at least `floor`: take cells by their lower bound until they hold k jobs
-            order = np.argsort(-at_least, axis=1)
-            held = np.cumsum(size[order], axis=1)
-            enough = (held >= k).argmax(axis=1)
-            rows = np.arange(len(pdf))
-            floor = np.where(held[:, -1] >= k, at_least[rows, order[rows, enough]], -np.inf)
-            keep = at_most >= np.maximum(floor, min_score - _MARGIN)[:, None]
-            pdf = pdf.assign(packed=[v.tobytes() for v in vectors])
-            for c in np.unique(cell):
-                chosen = pdf[keep[:, cell == c].any(axis=1)]
-                for part in range(blocks[int(c)] if len(chosen) else 0):
-                    yield chosen.assign(cell=np.int32(c), part=np.int32(part))
-
-    rows = resumes.select("resume_id", "ats_score", "candidate_level",
-                          F.pmod(F.xxhash64("resume_id"), F.lit(chunks)).cast("int").alias("chunk"), "resume_vector")
-    return rows.mapInPandas(plan, "resume_id bigint, ats_score double, candidate_level string, chunk int, "
-                                  "packed binary, cell int, part int")
-
-
-def _best_in_block(k: int, min_score: float, slab: int = 64):
-    """Best ``k`` jobs of one bounded block for each resume of one bounded chunk."""
-    def best(resumes: pd.DataFrame, jobs: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"resume_id": pd.Series(dtype="int64"), "job_id": pd.Series(dtype="int64"),
-                              "seq": pd.Series(dtype="int64"), "tenths": pd.Series(dtype="int64"),
-                              "similarity": pd.Series(dtype="float64")})
-        if not len(resumes) or not len(jobs):
-            return empty
-        jobs = jobs.sort_values(["seq", "job_id"])
-        vectors, snippet = _matrix(jobs["packed"]), jobs["snippet"].to_numpy()
-        level, ids, seqs = _codes(jobs["job_level"], JOB_LEVELS), jobs["job_id"].to_numpy(), jobs["seq"].to_numpy()
-        n, take = len(jobs), min(k, len(jobs))
+        for pdf in batches:
+            for row in pdf.itertuples():
+                vectors, ats = _unpack(row.resume_vectors, row.resumes), np.frombuffer(row.ats)
+                candidate = np.frombuffer(row.candidates, np.int64)
+                see = np.concatenate([kept(vectors[at:at + slab], ats[at:at + slab], candidate[at:at + slab]) for at in range(0, row.resumes, slab)])
+                out = [(row.chunk, c, part, places.tobytes()) for c, seen in zip(names, see.T) if len(places := np.nonzero(seen)[0])
+                       for part in range(blocks[int(c)])]
+                if out:
+                    yield pd.DataFrame(out, columns=["chunk", "cell", "part", "places"]).astype({"cell": "int32", "part": "int32"})
+
+    return chunks.mapInPandas(plan, "chunk long, cell int, part int, places binary")
+
+
+_MATCH = "resume_id bigint, job_id bigint, seq bigint, tenths bigint, similarity double"
+
+
+def _best_of_visits(k: int, min_score: float, slab: int = 64):
+    """Best ``k`` jobs of one bounded block for each resume of one bounded chunk that visits it."""
+    def of_visit(v) -> pd.DataFrame:
+        places = np.frombuffer(v.places, np.int64)
+        resumes, vectors = _unpack(v.resume_vectors, v.resumes)[places], _unpack(v.vectors, v.jobs)
+        people, ats, candidate = (np.frombuffer(d, kind)[places] for d, kind in ((v.resume_ids, np.int64), (v.ats, float), (v.candidates, np.int64)))
+        ids, seqs, level, snippet = (np.frombuffer(d, kind) for d, kind in ((v.job_ids, np.int64), (v.seqs, np.int64), (v.levels, np.int64), (v.snippets, bool)))
+        n, take = v.jobs, min(k, v.jobs)
         out = []
-        for at in range(0, len(resumes), slab):
-            part = resumes.iloc[at:at + slab]
-            sims = np.rint(_matrix(part["packed"]) @ vectors.T * SIMILARITY_SCALE) / SIMILARITY_SCALE
-            totals = _totals(sims, snippet, part["ats_score"].to_numpy(float),
-                             _codes(part["candidate_level"], CANDIDATE_LEVELS), level)
+        for at in range(0, len(places), slab):
+            part = slice(at, at + slab)
+            sims = np.rint(resumes[part] @ vectors.T * SIMILARITY_SCALE) / SIMILARITY_SCALE
+            totals = _totals(sims, snippet, ats[part], candidate[part], level)
             tenths = np.floor(totals * 10 + 0.5).astype(np.int64)
-            key = tenths * n + (n - 1 - np.arange(n))
-            top = np.argpartition(-key, take - 1, axis=1)[:, :take]
-            rows = np.repeat(np.arange(len(part)), take)
-            cols = top.ravel()
+            # jobs are in the order of ties
+            top = np.argpartition(-(tenths * n + (n - 1 - np.arange(n))), take - 1, axis=1)[:, :take]
+            rows, cols = np.repeat(np.arange(len(sims)), take), top.ravel()
             good = tenths[rows, cols] >= math.ceil(min_score * 10 - 1e-9)
             rows, cols = rows[good], cols[good]
-            out.append(pd.DataFrame({"resume_id": part["resume_id"].to_numpy()[rows], "job_id": ids[cols],
-                                     "seq": seqs[cols], "tenths": tenths[rows, cols], "similarity": sims[rows, cols]}))
-        return pd.concat(out) if out else empty
+            out.append(pd.DataFrame({"resume_id": people[part][rows], "job_id": ids[cols], "seq": seqs[cols],
+                                     "tenths": tenths[rows, cols], "similarity": sims[rows, cols]}))
+        return pd.concat(out)
+
+    def best(batches):
+        for pdf in batches:
+            for v in pdf.itertuples():
+                yield of_visit(v)
 
     return best
 
 
+def _split(counts: pd.Series, rows: int) -> dict[int, int]:
+    return {int(c): math.ceil(n / rows) for c, n in counts.items()}
+
+
+def search_space(resumes: DataFrame, jobs: DataFrame, k: int, min_score: float, block_rows: int, chunk_rows: int,
+                 cell_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(visits, chunks, blocks)``: which bounded chunks of resumes must meet which bounded blocks of jobs.
+
+    Both sides lie in cells around the same pivots, and a chunk's resumes share a cell, so they need much the same
+    blocks: a block is sent to the chunks that visit it and to no other.
+    """
+    n_jobs = jobs.count()
+    # as many cells as their rows allow, and no more than the root of the jobs, so that the driver holds little
+    pivots = _pivots(jobs, max(1, min(math.isqrt(n_jobs), n_jobs // cell_rows)))
+    jobs = _place(jobs, "job_vector", pivots, ["job_id", "seq", "job_level", "snippet"])
+    people = _place(resumes, "resume_vector", pivots, ["resume_id", "ats_score", "candidate_level"])
+    # at most cells x levels x 2 rows, and one for each cell
+    cells = jobs.groupBy("cell", "job_level", "snippet").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).toPandas()
+    crowds = people.groupBy("cell").agg(F.count("*").alias("n")).toPandas().set_index("cell")["n"]
+    parts = _split(cells.groupby("cell")["n"].sum(), block_rows)
+    blocks = cut_lineage(_packs(jobs, parts, "job_id", _pack_jobs, _BLOCK), "blocks")
+    chunks = cut_lineage(_packs(people, _split(crowds, chunk_rows), "resume_id", _pack_resumes, _CHUNK), "chunks")
+    visits = _visits(chunks, pivots, cells, parts, k, min_score) if parts else chunks.where("false").selectExpr("chunk", "0 AS cell", "0 AS part", "ats AS places")
+    return cut_lineage(visits, "visits"), chunks, blocks
+
+
 def top_matches(resumes: DataFrame, jobs: DataFrame, k: int = fixed.TOP_MATCHES, min_score: float | None = None,
-                seq: str | None = None, block_rows: int = 4096, chunk_rows: int = 32768,
+                seq: str | None = None, block_rows: int = 4096, chunk_rows: int = 2048,
                 cell_rows: int = 2048, materialize: bool = True) -> DataFrame:
     """Exact best ``k`` jobs per resume by rounded score; equal scores keep the order of ``seq``, then of the id.
 
     A block holds about ``block_rows`` jobs and a chunk about ``chunk_rows``
-    resumes, split by hash, so neither a crowded cell nor a popular region makes
-    a large task. Only blocks' best ``k`` rows reach the final ranking.
+    resumes of one cell, split by hash, so neither a crowded cell nor a popular
+    region makes a large task. Jobs travel only to the chunks that can use them,
+    and only blocks' best ``k`` rows reach the final ranking.
 
     Both narrow sides are read several times, so they are written to the shared
     folder first; pass ``materialize=False`` when they already are plain tables.
@@ -225,31 +289,12 @@ def top_matches(resumes: DataFrame, jobs: DataFrame, k: int = fixed.TOP_MATCHES,
     jobs = jobs.withColumn("seq", F.col(seq or "job_id").cast("bigint"))
     if materialize:
         jobs, resumes = cut_lineage(jobs, "jobs"), cut_lineage(resumes, "resumes")
-    n_jobs, n_resumes = jobs.count(), resumes.count()
-    # as many cells as their rows allow, and no more than the root of the jobs, so that the driver holds little
-    pivots = _pivots(jobs, max(1, min(math.isqrt(n_jobs), n_jobs // cell_rows)))
-    placed = _place_jobs(jobs, pivots)
-    # at most cells x levels x 2 rows
-    cells = placed.groupBy("cell", "job_level", "snippet").agg(
-        F.count("*").alias("n"), F.max("angle").alias("radius")).toPandas()
-    blocks = {int(c): math.ceil(n / block_rows) for c, n in cells.groupby("cell")["n"].sum().items()}
-    # enough groups for the cores there are, and never more than `chunk_rows` resumes in one
-    cores = jobs.sparkSession.sparkContext.defaultParallelism
-    n_blocks = max(1, sum(blocks.values()))
-    chunks = max(1, math.ceil(n_resumes / chunk_rows), min(math.ceil(3 * cores / n_blocks), math.ceil(n_resumes / 512)))
-    tasks = n_blocks * chunks
-
-    parts = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]) if blocks else F.lit(None).cast("map<int,int>")
-    placed = placed.select("*", F.pmod(F.xxhash64("job_id"), F.try_element_at(parts, F.col("cell"))).cast("int").alias("part"),
-                           F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")).drop("angle")
-    visits = (_visits(resumes, pivots, cells, blocks, k, chunks, low) if blocks
-              else resumes.where("false").selectExpr(
-                  "resume_id", "ats_score", "candidate_level", "0 AS chunk", "binary('') AS packed", "0 AS cell", "0 AS part"))
-    keys = ["cell", "part", "chunk"]
-    # one partition per group or so; the default number would be merged, because the rows are small and the work is not
-    visits, placed = visits.repartition(tasks, *keys), placed.repartition(tasks, *keys)
-    found = visits.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(
-        _best_in_block(k, low), "resume_id bigint, job_id bigint, seq bigint, tenths bigint, similarity double")
+    visits, chunks, blocks = search_space(resumes, jobs, k, low, block_rows, chunk_rows, cell_rows)
+    # a number of partitions from the visits of a task; the default would be merged, because the rows are small and the work is not
+    n_visits, cores = visits.count(), jobs.sparkSession.sparkContext.defaultParallelism
+    tasks = min(max(1, n_visits), max(3 * cores, n_visits // VISITS_OF_TASK), MOST_TASKS)
+    found = (visits.join(chunks, "chunk").join(blocks, ["cell", "part"]).repartition(tasks, "chunk", "cell", "part")
+             .mapInPandas(_best_of_visits(k, low), _MATCH))
     # rank before joining, so that the joins see only the best k rows of each resume
     best = top_n(found, ["resume_id"], [F.desc("tenths"), F.asc("seq"), F.asc("job_id")], k).drop("seq", "tenths")
     matches = best.join(resumes.drop("resume_vector"), "resume_id").join(jobs.drop("job_vector"), "job_id")
