@@ -141,15 +141,10 @@ def _place(rows: DataFrame, vector: str, pivots: np.ndarray, columns: list[str])
     return rows.select(*columns, vector).mapInPandas(place, schema)
 
 
-def _packs(placed: DataFrame, parts: dict[int, int], key: str, pack, schema: str) -> DataFrame:
-    """One row for each cell and part of it, made by ``pack``; ``parts`` tells how many bounded parts a cell has."""
-    def deal(batches):
-        most = pd.Series(parts)
-        for pdf in batches:
-            yield pdf.assign(part=(pdf.pop("_hash") % pdf["cell"].map(most)).astype("int32"))
-
-    hashed = placed.drop("angle").withColumn("_hash", F.shiftrightunsigned(F.xxhash64(key), 1))
-    dealt = hashed.mapInPandas(deal, StructType(list(placed.drop("angle").schema)).add("part", IntegerType()))
+def _packs(placed: DataFrame, rows: int, key: str, pack, schema: str) -> DataFrame:
+    """One row for each cell and part of it, made by ``pack``; a cell has as many parts as hold about ``rows`` rows each."""
+    parts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).alias("_parts"))
+    dealt = placed.drop("angle").join(parts, "cell").withColumn("part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")).drop("_parts")
     return dealt.groupBy("cell", "part").applyInPandas(pack, schema)
 
 
@@ -246,10 +241,6 @@ def _best_of_visits(k: int, min_score: float, slab: int = 64):
     return best
 
 
-def _split(counts: pd.Series, rows: int) -> dict[int, int]:
-    return {int(c): math.ceil(n / rows) for c, n in counts.items()}
-
-
 def search_space(resumes: DataFrame, jobs: DataFrame, k: int, min_score: float, block_rows: int, chunk_rows: int,
                  cell_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(visits, chunks, blocks)``: which bounded chunks of resumes must meet which bounded blocks of jobs.
@@ -260,14 +251,13 @@ def search_space(resumes: DataFrame, jobs: DataFrame, k: int, min_score: float,
     n_jobs = jobs.count()
     # as many cells as their rows allow, and no more than the root of the jobs, so that the driver holds little
     pivots = _pivots(jobs, max(1, min(math.isqrt(n_jobs), n_jobs // cell_rows)))
-    jobs = _place(jobs, "job_vector", pivots, ["job_id", "seq", "job_level", "snippet"])
-    people = _place(resumes, "resume_vector", pivots, ["resume_id", "ats_score", "candidate_level"])
-    # at most cells x levels x 2 rows, and one for each cell
+    jobs = cut_lineage(_place(jobs, "job_vector", pivots, ["job_id", "seq", "job_level", "snippet"]), "placed")
+    people = cut_lineage(_place(resumes, "resume_vector", pivots, ["resume_id", "ats_score", "candidate_level"]), "placed")
+    # at most cells x levels x 2 rows
     cells = jobs.groupBy("cell", "job_level", "snippet").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).toPandas()
-    crowds = people.groupBy("cell").agg(F.count("*").alias("n")).toPandas().set_index("cell")["n"]
-    parts = _split(cells.groupby("cell")["n"].sum(), block_rows)
-    blocks = cut_lineage(_packs(jobs, parts, "job_id", _pack_jobs, _BLOCK), "blocks")
-    chunks = cut_lineage(_packs(people, _split(crowds, chunk_rows), "resume_id", _pack_resumes, _CHUNK), "chunks")
+    parts = {int(c): math.ceil(n / block_rows) for c, n in cells.groupby("cell")["n"].sum().items()}
+    blocks = cut_lineage(_packs(jobs, block_rows, "job_id", _pack_jobs, _BLOCK), "blocks")
+    chunks = cut_lineage(_packs(people, chunk_rows, "resume_id", _pack_resumes, _CHUNK), "chunks")
     visits = _visits(chunks, pivots, cells, parts, k, min_score) if parts else chunks.where("false").selectExpr("chunk", "0 AS cell", "0 AS part", "ats AS places")
     return cut_lineage(visits, "visits"), chunks, blocks
 
