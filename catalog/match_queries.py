@@ -1,5 +1,6 @@
 """Queries over resume x job pairs, vectors, scores and recommendations."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.features_sql import W, bands, by_level, features, ladder, lit
@@ -10,6 +11,7 @@ from vitaloom import fixed_values as fixed
 from vitaloom.functions import advice, matching, scores, vectors, vocabulary
 from vitaloom.functions.encoders import dense, encode_hashed
 from vitaloom.functions.levels import resolve_level
+from vitaloom.operators import rules
 from vitaloom.operators.features import extract_features
 from vitaloom.operators.pairs import job_side, match_pairs, resume_side, top_matches
 from vitaloom.operators.recommendations import match_batch_summary
@@ -243,6 +245,24 @@ def _(spark, d):
     return pair_texts(spark, d).select("resume_id", "job_id", joined(vocabulary.cap_matched_skills(c("technical"), c("job_low"))).alias("value"))
 
 
+# Every resume with the whole catalogue, not only with the jobs it was shown.
+RULE_HITS_SQL = RULES_SQL.split("hits AS (")[0] + """
+skill_of_job AS (SELECT *, list_filter([{names}], lambda t: contains(low, t)) AS job_skills FROM job),
+hits AS (SELECT p.id AS resume_id, j.id AS job_id, ats_score, technical, soft, salary, age, list_intersect(technical, job_skills) AS th, list_intersect(soft, job_skills) AS sh
+  FROM person p, skill_of_job j),
+ruled AS (""".replace("{names}", ", ".join(lit(n) for n in dict.fromkeys([*fixed.TECHNICAL_SKILLS, *fixed.SOFT_SKILLS]))) + RULES_SQL.split("ruled AS (")[1]
+
+
+@query("rule_matches", RULE_HITS_SQL + """SELECT resume_id, job_id, match_score, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY match_score DESC, job_id) AS rank
+  FROM (SELECT resume_id, job_id, round(score, 1) AS match_score FROM ruled)) WHERE rank <= 20""")
+def _(spark, d):
+    who = people(spark, d).select(c("id").alias("resume_id"), "ats_score", *rules.rule_resume_columns(), F.lit(False).alias("encoded"))
+    jobs = table(spark, d, JOBS).select(c("id").alias("job_id"), c("id").alias("seq"), *rules.rule_job_columns("posted_date", AS_OF), F.lit(False).alias("encoded"))
+    order = Window.partitionBy("resume_id").orderBy(F.desc("match_score"), "job_id")
+    return rules.rule_matches(who, jobs).select("resume_id", "job_id", "match_score", F.row_number().over(order).cast("bigint").alias("rank"))
+
+
 # ------------------------------------------------------------------- vectors
 IDEAL_SQL = """(SELECT label, list(x ORDER BY pos) AS v FROM (SELECT label, pos, avg(x) AS x FROM (SELECT label,
   unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos) GROUP BY label)"""
@@ -617,6 +637,35 @@ def _(spark, d):
     return shown(recommended(spark, d, candidate_jobs(table(spark, d, JOBS), limit=None))[1])
 
 
+# The same with rules for every pair that lacks a vector on either side.
+MIXED_SQL = RECOMMEND_ALL_SQL.replace("ranked AS (SELECT p.*, j.seq, j.url, row_number()", f"""known AS (
+  SELECT r.*, {_skill_list('a.skills', fixed.TECHNICAL_SKILLS)} AS technical, {_skill_list('a.skills', fixed.SOFT_SKILLS)} AS soft
+  FROM person r JOIN advised a ON a.doc_id = concat('r', CAST(r.resume_id AS VARCHAR))),
+read AS (SELECT *, lower(concat(title, ' ', description)) AS low, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(posted_date)) / 86400e6 AS age FROM job),
+skilled AS (SELECT *, list_filter([{', '.join(lit(n) for n in dict.fromkeys([*fixed.TECHNICAL_SKILLS, *fixed.SOFT_SKILLS]))}], lambda t: contains(low, t)) AS job_skills FROM read),
+hits AS (SELECT p.resume_id, j.id AS job_id, j.seq, j.url, candidate_level, job_level, ats_score, technical, soft, salary, age,
+    list_intersect(technical, job_skills) AS th, list_intersect(soft, job_skills) AS sh
+  FROM known p, skilled j WHERE resume_vector IS NULL OR job_vector IS NULL),
+ruled AS ({RULES_SQL.split('ruled AS (')[1].rstrip()},
+ruledtop AS (SELECT resume_id, job_id, url AS link, round(score, 1) AS match_score, candidate_level, job_level, seq,
+  list_concat(list_filter([CASE WHEN score >= 80 THEN 'Excellent match for your skills and experience' WHEN score >= 60 THEN 'Good match for your profile' WHEN score >= 40 THEN
+    'Moderate match - consider applying' END], lambda r: r IS NOT NULL), CASE WHEN len(th) > 0 THEN ['Matches your skills: ' || array_to_string(list_filter(technical, lambda t: list_contains(th, t))[1:3], ', ')] ELSE [] END,
+    CASE WHEN floor(age) <= 3 THEN ['Recently posted - apply quickly!'] ELSE [] END) AS why
+  FROM ruled WHERE round(score, 1) >= 5),
+ranked AS (SELECT p.*, j.seq, j.url, row_number()""").replace("FROM pair p JOIN job j ON j.id = p.job_id WHERE", """FROM pair p JOIN job j ON j.id = p.job_id JOIN person r ON r.resume_id = p.resume_id
+  WHERE r.resume_vector IS NOT NULL AND j.job_vector IS NOT NULL AND""").replace("row_number() OVER (PARTITION BY resume_id ORDER BY round(raw, 1) DESC, j.seq)", "row_number() OVER (PARTITION BY p.resume_id ORDER BY round(raw, 1) DESC, j.seq)")
+MIXED_SQL = MIXED_SQL[:MIXED_SQL.rindex("SELECT resume_id, job_id, url AS link")] + """SELECT * EXCLUDE (seq) REPLACE (CAST(rank AS BIGINT) AS rank) FROM (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY match_score DESC, seq) AS rank FROM (
+  SELECT resume_id, job_id, url AS link, round(raw, 1) AS match_score, candidate_level, job_level, seq, 'vectors' AS method, array_to_string({reasons}, '|') AS reasons FROM named
+  UNION ALL SELECT resume_id, job_id, link, match_score, candidate_level, job_level, seq, 'rules', array_to_string(why, '|') FROM ruledtop)) WHERE rank <= 20""".replace("{reasons}", reasons_sql("best"))
+
+
+@query("recommend_jobs_mixed", MIXED_SQL)
+def _(spark, d):
+    scored = score_features(extract_features(corpus_vectors(spark, d, RESUME_VECTORS)), semantic=semantic())
+    best = recommend_jobs(scored, candidate_jobs(table(spark, d, JOBS), limit=None), table(spark, d, JOB_VECTORS), AS_OF, min_score=5, rules=True)
+    return best.select(*SHOWN, "method", c("rank").cast("bigint").alias("rank"), joined(c("reasons")).alias("reasons"))
+
+
 SUMMARY_SQL = RECOMMEND_SQL.replace("SELECT resume_id, job_id, url AS link, round(raw, 1) AS match_score", f""", checked AS (
   SELECT CAST(doc_id[2:] AS BIGINT) AS resume_id, round(score, 1) AS ats_score, CAST(len(skills) >= 3 AS INT) + CAST(len(sections) >= 2 AS INT)
     + CAST({EITHER} AS INT) + CAST(jobs > 0 OR degrees > 0 AS INT) + CAST(word_count BETWEEN 200 AND 2000 AS INT) AS passed

@@ -105,17 +105,30 @@ def _share(found, all_items, points):
     return F.coalesce(F.size(found) / F.nullif(F.size(all_items), F.lit(0)) * F.lit(points), F.lit(0.0))
 
 
+def is_paid(salary):
+    """Whether the job names a salary."""
+    return (F.coalesce(salary, F.lit("")) != "") & (salary != fixed.NO_SALARY)
+
+
+def rule_total(technical_found, technical, soft_found, soft, ats_score, fresh, paid):
+    """The parts of the rule score together (unrounded)."""
+    score = (_share(technical_found, technical, 40.0) + _share(soft_found, soft, 15.0)
+             + F.coalesce(ats_score, F.lit(0.0)) / F.lit(100.0) * F.lit(20.0) + fresh + paid)
+    return clamp(score, 0, 100)
+
+
 def match_rules(job_text_lc, salary, age_days, technical, soft, ats_score):
     """Rule-based score from skills, quality, age and salary (unrounded)."""
-    paid = (F.coalesce(salary, F.lit("")) != "") & (salary != fixed.NO_SALARY)
-    score = (_share(contained_skills(technical, job_text_lc), technical, 40.0)
-             + _share(contained_skills(soft, job_text_lc), soft, 15.0) + F.coalesce(ats_score, F.lit(0.0)) / F.lit(100.0) * F.lit(20.0)
-             + freshness_points(age_days) + F.when(paid, 10.0).otherwise(0.0))
-    return clamp(score, 0, 100)
+    return rule_total(contained_skills(technical, job_text_lc), technical, contained_skills(soft, job_text_lc), soft, ats_score,
+                      freshness_points(age_days), F.when(is_paid(salary), 10.0).otherwise(0.0))
 
 
 def rule_reasons(score, job_text_lc, age_days, technical):
-    named = cap_matched_skills(technical, job_text_lc)
+    return rule_reasons_named(score, cap_matched_skills(technical, job_text_lc), age_days)
+
+
+def rule_reasons_named(score, named, age_days):
+    """Reasons of a rule score, with the skills to be named."""
     return F.array_compact(F.array(
         first_of(*[(score >= at, text) for at, text in say.RULE_REASONS]),
         F.when(F.size(named) > 0, F.concat(F.lit(say.RULE_SKILL_REASON), F.array_join(named, ", "))),

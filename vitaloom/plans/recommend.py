@@ -4,10 +4,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitaloom import fixed_values as fixed
-from vitaloom.functions.matching import job_text, match_reasons, validate_resume
+from vitaloom.functions.matching import job_text, match_level, match_reasons, rule_reasons_named, validate_resume
 from vitaloom.functions.vocabulary import match_terms
 from vitaloom.operators.jobs import combine_jobs, filter_posted_within, link_id, search_jobs
 from vitaloom.operators.pairs import job_side, resume_side, top_matches
+from vitaloom.operators.recommendations import top_n
+from vitaloom.operators.rules import rule_job_columns, rule_matches, rule_resume_columns, shared
 from vitaloom.session import cut_lineage
 
 # Places of rows without a time (before all others) and, before those, of feed rows in candidate order.
@@ -40,13 +42,14 @@ def candidate_jobs(jobs: DataFrame, keywords=None, location=None, feed: DataFram
 
 
 def recommend_jobs(features: DataFrame, candidates: DataFrame, vectors: DataFrame, as_of: str, min_score=None,
-                   days_posted=None, k: int = fixed.TOP_MATCHES, text: str = "text") -> DataFrame:
+                   days_posted=None, k: int = fixed.TOP_MATCHES, text: str = "text", rules: bool = False) -> DataFrame:
     """Ranked matches with reasons.
 
     ``features`` has the feature columns, ``score`` and ``vector`` per resume;
     ``candidates`` come from :func:`candidate_jobs`; ``vectors(job_id, vector)``
     holds the job vectors. A candidate without a vector stays: it is similar to
-    nothing. Long texts are reduced to their match terms on each side and meet
+    nothing, or with ``rules`` every pair that lacks a vector on either side is
+    scored by the rules, and both kinds are ranked together. Long texts are reduced to their match terms on each side and meet
     the ranked rows only. Both sides are written once, in narrow form.
     """
     kept = filter_posted_within(candidates, days_posted, as_of, "updated")
@@ -55,17 +58,32 @@ def recommend_jobs(features: DataFrame, candidates: DataFrame, vectors: DataFram
     jobs = (kept.withColumn("description", F.col("snippet")).withColumn("vector", own).join(known, "job_id", "left")
             .withColumn("vector", F.coalesce("_known", "vector")))
     terms = match_terms(F.lower(job_text(F.col("title"), F.col("description"))))
-    jobs = cut_lineage(job_side(jobs, "job_id", ["seq", "link", "title", terms.alias("_job_terms")]), "candidates")
+    read = rule_job_columns("updated", as_of) if rules else []
+    jobs = cut_lineage(job_side(jobs, "job_id", ["seq", "link", "title", terms.alias("_job_terms"), *read]), "candidates")
 
     # The features are written before the validity filter: a filter on computed
     # columns would be pushed below them and repeat the text work per condition.
     people = features.withColumns({"ats_score": F.col("score"), "candidate_level": F.col("experience_level")})
     terms = match_terms(F.lower(text)).alias("_resume_terms")
-    people = cut_lineage(resume_side(people, "id", text, [terms, is_valid().alias("_valid")]), "people")
+    people = cut_lineage(resume_side(people, "id", text, [terms, is_valid().alias("_valid"), *(rule_resume_columns(text) if rules else [])]), "people")
     people = people.where("_valid").drop("_valid")
 
-    best = top_matches(people.drop("_resume_terms"), jobs.drop("link", "title", "_job_terms"), k, min_score, seq="seq",
-                       materialize=False)
+    if not rules:
+        return told_matches(people, jobs, k, min_score)
+    by_vector = told_matches(people.where("resume_vector IS NOT NULL"), jobs.where("job_vector IS NOT NULL"), k, min_score)
+    by_rules = told_rules(people, jobs, k, min_score)
+    columns = [c for c in by_vector.columns if c != "rank"]
+    both = by_vector.select(*columns).withColumn("method", F.lit("vectors")).unionByName(by_rules.withColumn("method", F.lit("rules")), allowMissingColumns=True)
+    return top_n(both, ["resume_id"], [F.desc("match_score"), F.asc("seq"), F.asc("job_id")], k)
+
+
+RULE_COLUMNS = ["job_skills", "fresh", "paid", "age_days", "technical", "soft"]
+
+
+def told_matches(people: DataFrame, jobs: DataFrame, k: int, min_score) -> DataFrame:
+    """Best jobs by vectors, with reasons, from the narrow sides."""
+    hidden = ["link", "title", "_job_terms", *[c for c in RULE_COLUMNS if c in jobs.columns]]
+    best = top_matches(people.drop("_resume_terms", "technical", "soft"), jobs.drop(*hidden), k, min_score, seq="seq", materialize=False)
     told = (best.join(jobs.select("job_id", "link", "title", "_job_terms"), "job_id")
             .join(people.select("resume_id", "_resume_terms"), "resume_id"))
     c = F.col
@@ -74,6 +92,18 @@ def recommend_jobs(features: DataFrame, candidates: DataFrame, vectors: DataFram
     return told.withColumn("reasons", reasons).drop("_job_terms", "_resume_terms", "raw_score")
 
 
+def told_rules(people: DataFrame, jobs: DataFrame, k: int, min_score) -> DataFrame:
+    """Best jobs by the rules for pairs that lack a vector, with reasons, from the narrow sides."""
+    c = F.col
+    people, jobs = people.withColumn("encoded", c("resume_vector").isNotNull()), jobs.withColumn("encoded", c("job_vector").isNotNull())
+    best = rule_matches(people, jobs, k, min_score)
+    told = (best.join(jobs.select("job_id", "link", "title", "job_level", "job_skills", "age_days"), "job_id")
+            .join(people.select("resume_id", "technical", "ats_score", "candidate_level"), "resume_id"))
+    named = F.slice(shared(c("technical"), c("job_skills")), 1, 3)
+    return (told.withColumn("reasons", rule_reasons_named(c("raw_score"), named, c("age_days"))).withColumn("match_level", match_level(c("raw_score")))
+            .drop("raw_score", "technical", "job_skills", "age_days"))
+
+
 def recommendation_summary(features: DataFrame, matches: DataFrame) -> DataFrame:
     """One row for every resume of ``features``: verdict, its reason, quality score, and how many jobs were recommended.
 
