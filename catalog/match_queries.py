@@ -4,19 +4,22 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.features_sql import W, bands, by_level, features, ladder, lit
-from catalog.inputs import (AS_OF, CORPUS, CORPUS_VECTORS, JOB_VECTORS, JOBS, PAIRS, PEOPLE, for_duckdb, load, table)
+from catalog.inputs import (AS_OF, CORPUS, CORPUS_VECTORS, JOB_VECTORS, JOBS, PAIRS, PEOPLE, RESUMES, for_duckdb, load, table)
 from catalog.text_queries import job_seniority_sql, joined
 from vitaloom import fixed_messages as say
 from vitaloom import fixed_values as fixed
 from vitaloom.functions import advice, matching, scores, vectors, vocabulary
 from vitaloom.functions.encoders import dense, encode_hashed
 from vitaloom.functions.levels import resolve_level
-from vitaloom.operators import rules
+from vitaloom.functions.text import word_count
+from vitaloom.operators import reuse, rules
 from vitaloom.operators.features import extract_features
 from vitaloom.operators.pairs import job_side, match_pairs, resume_side, top_matches
 from vitaloom.operators.recommendations import match_batch_summary
-from vitaloom.plans.analyze import analyze_resumes, ideal_vectors, score_features
+from vitaloom.plans.analyze import analysis_type, analyze_pending, analyze_resumes, ideal_vectors, score_features
 from vitaloom.plans.recommend import candidate_jobs, recommend_jobs, recommendation_summary
+from vitaloom.session import shared_folder
+from vitaloom.sources.buckets import read_buckets, write_buckets
 
 QUERIES, SQL = {}, {}
 D = for_duckdb
@@ -570,12 +573,12 @@ def analysis_sql(scored):
   experience_level, years, CAST(jobs AS BIGINT) AS jobs, CAST({PROJECTS} AS BIGINT) AS projects FROM advised"""
 
 
-def flat_analysis(df):
+def flat_analysis(df, *more):
     a, m, i = "analysis.", "analysis.metrics.", "analysis.extractedInfo."
     long = {"words": m + "wordCount", "sections": m + "sectionsFound", "skills": m + "skillsFound", "verbs": m + "actionVerbs",
             "numbers": m + "quantifiableMetrics", "bullets": m + "totalBullets", "quantified": m + "quantifiedBullets"}
     return df.select(
-        "doc_id", "success", a + "score", a + "status", c(a + "targetLevel").alias("level"), joined(c(a + "insights")).alias("insights"),
+        *more, "doc_id", "success", a + "score", a + "status", c(a + "targetLevel").alias("level"), joined(c(a + "insights")).alias("insights"),
         joined(c(a + "recommendations")).alias("recommendations"), *[c(v).cast("bigint").alias(k) for k, v in long.items()],
         c(m + "contactInfoPresent").alias("has_contact"), *[c(i + n) for n in ("name", "email", "phone", "location", "linkedin", "github")],
         c(i + "experienceLevel").alias("experience_level"), c(i + "yearsOfExperience").alias("years"),
@@ -587,6 +590,41 @@ def _(spark, d):
     return flat_analysis(analyze_resumes(corpus_vectors(spark, d), semantic=semantic()))
 
 
+STORED_RESUMES = f"SELECT id, CAST(id AS VARCHAR(20)) AS doc_id, status, text, updated_at FROM ({RESUMES}) AS resumes"
+STORED_SQL = analysis_sql(rules_scored_sql(STORED_RESUMES)).replace("SELECT doc_id, trim(text) <> '' AS success,", "SELECT doc_id, 'processed' AS resume_status,")
+
+
+@query("analyze_pending", STORED_SQL)
+def _(spark, d):
+    """Resumes in buckets, analysed in two runs: first what was uploaded, then whatever is still pending."""
+    path, source = shared_folder(spark, "resumes"), table(spark, d, STORED_RESUMES)
+    schema = source.withColumn("analysis", F.lit(None).cast(analysis_type(spark))).schema
+    write_buckets(source.withColumn("status", F.when(c("status") != "processed", c("status"))).withColumn("analysis", F.lit(None).cast(schema["analysis"].dataType)), path, ["id"], 16)
+    for pending in (c("status") == "uploaded", None):
+        analyze_pending(spark, path, schema, 16, AS_OF, pending=pending)
+    stored = read_buckets(spark, path, schema).withColumnRenamed("status", "resume_status").withColumn("success", F.lit(True))
+    return flat_analysis(stored, "resume_status").drop("success")
+
+
+# Which texts have been worked on before: those of one language.
+REUSED_SQL = features("SELECT concat('d', CAST(doc_id AS VARCHAR)) AS doc_id, text FROM documents") + """
+SELECT doc_id, sha256(concat('v1', chr(31), 'entry', chr(31), src.text)) AS content_key,
+  sha256(concat('v1', chr(31), 'entry', chr(31), src.text)) IN (SELECT sha256(concat('v1', chr(31), 'entry', chr(31), text)) FROM documents WHERE lang = 'en') AS known,
+  CAST(word_count AS BIGINT) AS words, array_to_string(skills, '|') AS skills FROM features JOIN src USING (doc_id)"""
+
+
+@query("reuse_features", REUSED_SQL)
+def _(spark, d):
+    """Features by content: a first run over the texts of one language, a second over all, which computes the rest."""
+    docs = load(spark, d, "documents").select(F.concat(F.lit("d"), c("doc_id").cast("string")).alias("doc_id"), "text", "lang")
+    compute = lambda df: df.withColumns({"words": word_count(c("text")).cast("bigint"), "skills": joined(vocabulary.find_skills(F.lower("text")))})
+    empty = spark.createDataFrame([], "content_key string, words long, skills string")
+    _, store = reuse.reuse(docs.where("lang = 'en'"), empty, compute, "v1", level="entry", id="doc_id")
+    found, _ = reuse.reuse(docs, store, compute, "v1", level="entry", id="doc_id")
+    known = store.select("content_key", F.lit(True).alias("known"))
+    return found.join(known, "content_key", "left").select("doc_id", "content_key", F.coalesce("known", F.lit(False)).alias("known"), "words", "skills")
+
+
 # --------------------------------------------------------- recommendation plan
 RESUME_VECTORS = CORPUS_VECTORS.replace("SELECT c.doc_id,", "SELECT c.number AS id, c.doc_id,").replace(
     "UNION ALL SELECT concat('d', CAST(doc_id AS VARCHAR(20))) AS doc_id, doc_id AS number, text FROM {documents}", "")

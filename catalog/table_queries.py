@@ -10,6 +10,7 @@ from vitaloom.functions.matching import job_age_days
 from vitaloom.operators import integrity, jobs as job_ops, recommendations as rec_ops, resumes as resume_ops
 from vitaloom.session import shared_folder
 from vitaloom.sources import feed as feed_source
+from vitaloom.sources.buckets import read_buckets, update_buckets, write_buckets
 from vitaloom.sources.files import scan_resume_files
 from vitaloom.sources.tables import scan_tables, write_scored
 
@@ -314,6 +315,17 @@ def _(spark, d):
     return rec_rows(rec_ops.replace_recommendations(recs(spark, d), incoming))
 
 
+@query("replace_recommendations_stored", SQL["replace_recommendations"])
+def _(spark, d):
+    """The same on a table in buckets of which only the touched ones are written again."""
+    keys, path = ["user_id", "resume_id"], shared_folder(spark, "recommendations")
+    stored = recs(spark, d)
+    write_buckets(stored, path, keys, 16)
+    incoming = table(spark, d, INCOMING_RECOMMENDATIONS).withColumn("seq", F.struct("line", "created_at", "match_score"))
+    update_buckets(spark, path, stored.schema, keys, 16, incoming, rec_ops.replace_recommendations)
+    return rec_rows(read_buckets(spark, path, stored.schema))
+
+
 # The same rows, naming their jobs by links of which the catalogue has some.
 BY_LINK = f"""SELECT user_id, resume_id, concat('https://jobs.example/', CAST(resume_id % 2500 AS VARCHAR(10))) AS url, match_score, created_at, line, job_id AS part
 FROM ({INCOMING_RECOMMENDATIONS}) AS incoming"""

@@ -9,8 +9,11 @@ from vitaloom import fixed_values as fixed
 from vitaloom.functions.advice import insights, recommendations
 from vitaloom.functions.levels import resolve_level
 from vitaloom.functions.scores import ats_score_hybrid, ats_score_rules, ats_status
+from vitaloom.functions.text import has_text
 from vitaloom.functions.vectors import semantic_to_ideal, unit
 from vitaloom.operators.features import extract_features, require_text
+from vitaloom.operators.resumes import attach_analysis, needs_analysis
+from vitaloom.sources.buckets import read_buckets, update_buckets
 
 
 def score_features(features: DataFrame, target_level=None, semantic=None) -> DataFrame:
@@ -73,3 +76,21 @@ def analyze_resumes(df: DataFrame, text: str = "text", target_level=None, semant
         parts.insert(5, col("breakdown").alias("scoreBreakdown"))
     full = F.when(col("success"), F.struct(*parts))
     return scored.select(*kept, "success", full.alias("analysis"))
+
+
+def analyze_pending(spark: SparkSession, path: str, schema, buckets: int, as_of: str, target_level: str | None = None, pending=None, **options) -> list[int]:
+    """Analyse what a stored table of resumes still lacks and attach the structs in place; returns the buckets written.
+
+    The table lies in ``buckets`` by id (:mod:`vitaloom.sources.buckets`), its ``analysis`` column is the struct of
+    :func:`analyze_resumes`. ``pending`` narrows the work further. Rows without text stay as they are.
+    """
+    work = needs_analysis(read_buckets(spark, path, schema), target_level)
+    work = work if pending is None else work.where(pending)
+    done = analyze_resumes(work.where(has_text(F.col("text"))).select("id", "text"), target_level=target_level, **options)
+    results = done.select("id", F.lit("processed").alias("status"), "analysis")
+    return update_buckets(spark, path, schema, ["id"], buckets, results, lambda stored, found: attach_analysis(stored, found, as_of))
+
+
+def analysis_type(spark: SparkSession, **options):
+    """The type of the ``analysis`` column, for the schema of a stored table."""
+    return analyze_resumes(spark.createDataFrame([], "text string"), **options).schema["analysis"].dataType

@@ -1,6 +1,7 @@
 """Session settings and the shared folder for cut lineage."""
 
 import io
+import os
 import tempfile
 import uuid
 import zipfile
@@ -26,7 +27,9 @@ def build_session(app: str = "vitaloom", master: str | None = None, **conf) -> S
                 "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true", **conf}
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    workers_see(session, str(Path(__file__).parent.parent))
+    return session
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -71,8 +74,21 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes.pop():
-            at, store = _folder(spark, path)
-            store.delete(at, True)
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    at, store = _folder(spark, path)
+    store.delete(at, True)
+
+
+def workers_see(spark: SparkSession, folder: str) -> None:
+    """Let Python workers that reach ``folder`` import from it, whatever directory the driver was started in."""
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if folder not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([folder, *[k for k in known if k]])
 
 
 def ship_package(spark: SparkSession) -> None:
