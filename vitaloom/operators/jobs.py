@@ -111,36 +111,35 @@ def touch_updated_at(df: DataFrame, changed: Column, as_of: str) -> DataFrame:
 
 
 def _one_per_url(incoming: DataFrame, seq: str) -> DataFrame:
-    """Per url: inserted columns of the first row, updated columns of the last row, and how many rows came."""
+    """Per url: inserted columns of the first row, updated columns of the last row, the stamps of both, and how many rows came."""
     first = F.struct(*[c for c in incoming.columns if c not in ("url", *UPDATED_COLUMNS)])
-    last = F.struct(*UPDATED_COLUMNS)
+    last = F.struct(*UPDATED_COLUMNS, F.col("_stamp").alias("_last_stamp"))
     grouped = incoming.groupBy("url").agg(F.min_by(first, F.col(seq)).alias("_first"),
                                           F.max_by(last, F.col(seq)).alias("_last"), F.count("*").alias("_times"))
     return grouped.select("url", "_first.*", "_last.*", "_times")
 
 
-def upsert_jobs(jobs: DataFrame, incoming: DataFrame, as_of: str, seq: str = "seq") -> DataFrame:
+def upsert_jobs(jobs: DataFrame, incoming: DataFrame, as_of: str | None = None, seq: str = "seq", stamp: str | None = None) -> DataFrame:
     """Catalogue after storing the incoming rows in ``seq`` order.
 
     Known urls change only the updated columns; new urls are inserted once, with
-    later rows of the same batch applied as updates. The incoming side has one
-    row per url before the join, so only the catalogue side can be skewed, and
-    adaptive execution splits that side of a left join.
+    later rows of the same batch applied as updates. Changes are stamped with
+    ``as_of``, or each row with its own time in the column ``stamp``. The incoming
+    side has one row per url before the join, so only the catalogue side can be
+    skewed, and adaptive execution splits that side of a left join.
     """
-    with_url = incoming.where("url IS NOT NULL")
-    news = _one_per_url(with_url, seq)
-    fresh_values = news.select("url", F.struct(*UPDATED_COLUMNS).alias("_new"))
+    kind = jobs.schema["updated_at"].dataType
+    incoming = incoming.withColumn("_stamp", (F.lit(as_of) if stamp is None else F.col(stamp)).cast(kind))
+    news = _one_per_url(incoming.where("url IS NOT NULL"), seq)
+    changed = [*UPDATED_COLUMNS, "updated_at"]
+    fresh_values = news.select("url", F.struct(*UPDATED_COLUMNS, F.col("_last_stamp").alias("updated_at")).alias("_new"))
     joined = jobs.join(fresh_values, "url", "left")
     hit = F.col("_new").isNotNull()
-    updated = joined.select(*[
-        F.when(hit, F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in UPDATED_COLUMNS
-        else F.when(hit, F.lit(as_of).cast(jobs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "updated_at"
-        else F.col(c) for c in jobs.columns])
+    updated = joined.select(*[F.when(hit, F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in jobs.columns])
     # rows without a url never meet a known one, so each is inserted on its own
-    keyless = incoming.where("url IS NULL").withColumn("_times", F.lit(1))
+    keyless = incoming.where("url IS NULL").withColumns({"_times": F.lit(1), "_last_stamp": F.col("_stamp")})
     inserted = anti_new_jobs(news.unionByName(keyless.select(*news.columns)), jobs)
-    stamp = F.lit(as_of).cast(jobs.schema["updated_at"].dataType)
-    inserted = inserted.withColumns({"created_at": stamp, "updated_at": stamp})
+    inserted = inserted.withColumns({"created_at": F.col("_stamp"), "updated_at": F.col("_last_stamp")})
     return updated.unionByName(inserted.select(*[F.col(c).cast(jobs.schema[c].dataType).alias(c)
                                                  if c in inserted.columns else
                                                  F.lit(None).cast(jobs.schema[c].dataType).alias(c)

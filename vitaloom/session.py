@@ -83,6 +83,15 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(at, True)
 
 
+def complete_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the sub-folders of ``path`` whose write has ended."""
+    at, store = _folder(spark, path)
+    if not store.exists(at):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(at) if f.isDirectory()]
+    return sorted(n for n in names if store.exists(_folder(spark, f"{path}/{n}/_SUCCESS")[0]))
+
+
 def workers_see(spark: SparkSession, folder: str) -> None:
     """Let Python workers that reach ``folder`` import from it, whatever directory the driver was started in."""
     environment = spark.sparkContext.environment
