@@ -10,6 +10,7 @@ from vitaloom.functions.text import word_count
 from vitaloom.operators.features import extract_features, require_text
 from vitaloom.operators.lines import line_segments
 from vitaloom.operators.resumes import stale_analysis
+from vitaloom.operators.terms import find_terms
 
 QUERIES, SQL = {}, {}
 
@@ -237,3 +238,13 @@ def _detect_job_seniority(spark, d):
 def _is_snippet(spark, d):
     return table(spark, d, JOB_TEXTS).select(
         "doc_id", matching.is_snippet(matching.job_text(F.col("title"), F.col("description"))).alias("snippet"))
+
+
+def _find_terms(spark, d):
+    """The skills as a table that the words of the texts are joined with."""
+    names = list(dict.fromkeys(fixed.TECHNICAL_SKILLS + fixed.SOFT_SKILLS))
+    terms = spark.createDataFrame(list(enumerate(names)), "ord int, term string")
+    return find_terms(table(spark, d, CORPUS), terms).select("doc_id", joined(F.col("terms")).alias("value"))
+
+
+QUERIES["find_terms"], SQL["find_terms"] = _find_terms, SQL["find_skills"]
