@@ -8,6 +8,7 @@ from vitaloom import fixed_values as fixed
 from vitaloom import schemas
 from vitaloom.functions.matching import job_age_days
 from vitaloom.operators import integrity, jobs as job_ops, recommendations as rec_ops, resumes as resume_ops
+from vitaloom.operators.keyword_index import search_many
 from vitaloom.session import shared_folder
 from vitaloom.sources import feed as feed_source
 from vitaloom.sources.buckets import read_buckets, update_buckets, write_buckets
@@ -59,6 +60,16 @@ def _(spark, d):
     return shown(job_ops.filter_keywords(jobs(spark, d), "Data"))
 
 
+SEARCHES = "SELECT DISTINCT p_type AS keywords FROM {part} UNION ALL SELECT DISTINCT concat('Requires ', CAST(p_size AS VARCHAR(10)), '+') AS keywords FROM {part}"
+
+
+@query("search_many", f"""SELECT DISTINCT keywords AS search, id FROM ({D(SEARCHES)}) JOIN ({D(JOBS)})
+  ON lower(title) LIKE concat('%', lower(keywords), '%') OR lower(description) LIKE concat('%', lower(keywords), '%')""")
+def _(spark, d):
+    """Every kind of part and every number of years, searched for in all jobs."""
+    return search_many(jobs(spark, d), table(spark, d, SEARCHES))
+
+
 @query("filter_posted_within", f"SELECT {JOB_LIST} FROM ({D(JOBS)}) WHERE posted_date >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY")
 def _(spark, d):
     return shown(job_ops.filter_posted_within(jobs(spark, d), 14, AS_OF))
