@@ -74,3 +74,45 @@ def test_parts_of_a_long_text_count(trained):
     measure = quality.Measure(model.good, model.bad)
     good, bad = rows[1][1].encode() * 40, rows[0][1].encode() * 40
     assert measure(good + good)[0] > measure(good + bad)[0]
+
+
+def test_scores_by_hand(spark, trained):
+    """Sizes block by block with the library's own call, and the logistic as a plain sum."""
+    import math
+
+    import zstandard
+
+    docs, rows, model = trained
+    long = [(9000, " ".join(r[1] for r in rows[:200])), (9001, "x"), (9002, "é漢 " * 40_000), (9003, None), (9004, "")]
+    some = [r[:2] for r in rows[:40]] + long
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame(some, "doc_id long, text string"), model).collect()}
+    for key, text in some:
+        if not text:
+            assert got[key] == pytest.approx(model.prior)
+            continue
+        data, sizes = text.encode(), []
+        for d in (model.good, model.bad):
+            total = 0
+            for at in range(0, len(data), quality.BLOCK):
+                c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+                total += len(c.compress(data[at:at + quality.BLOCK]))
+            sizes.append(total)
+        weight, share = min(1.0, len(data) / quality.SHORT), min(sizes) / len(data)
+        x = (weight * (sizes[1] - sizes[0]) / max(sizes), weight * share, weight * share * share)
+        margin = model.bias + sum((v - m) / s * w for v, m, s, w in zip(x, model.mean, model.scale, model.weights, strict=True))
+        assert got[key] == pytest.approx(1 / (1 + math.exp(-max(-30.0, min(30.0, margin)))), abs=1e-9)
+
+
+def test_logistic_against_another_solver():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x, weight = rng.normal(size=(300, 3)), rng.uniform(0.5, 2, 300)
+    y = (x @ [1.5, -2.0, 0.0] + 0.4 + rng.normal(size=300) > 0).astype(float)
+    w, bias = labelled.logistic(x, y, weight, ridge=1e-2)
+    # Plain gradient descent on the same loss.
+    v, b, ridge = np.zeros(3), 0.0, 1e-2 * weight.sum()
+    for _ in range(40_000):
+        p = 1 / (1 + np.exp(-(x @ v + b)))
+        v, b = v - 2e-3 * (x.T @ (weight * (p - y)) + ridge * v), b - 2e-3 * (weight * (p - y)).sum()
+    assert np.allclose(w, v, atol=1e-5) and bias == pytest.approx(b, abs=1e-5)

@@ -73,3 +73,23 @@ def test_label_model_finds_rates_and_company():
     assert model.within[0, 10] > 0.05 > np.abs(model.within[1:10, 1:10] - np.diag(np.diag(model.within[1:10, 1:10]))).max()
     assert np.ptp(model.weights[[0, 10, 11]]) < 1e-6 and model.weights[[0, 10, 11]].sum() < 1.5 * model.weights[1:10].max()
     assert ((model.posterior(f) > 0.5) == y).mean() > 0.96
+
+
+def test_scores_by_hand(spark, trained):
+    """The model's weights summed over the distinct words, and the beginnings of long ones, that a plain scan finds."""
+    import math
+
+    docs, rows, model = trained
+    some = [r[:2] for r in rows[:60]] + [(9000, " ".join(r[1] for r in rows[:150])), (9001, "VORBAK! vorbak, Vorbak_krunt"), (9002, None), (9003, "")]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(some, "doc_id long, text string"), model).collect()}
+    for key, text in some:
+        found, word = set(), ""
+        for c in (text or "").lower() + " ":
+            if c.isalnum():
+                word += c
+            else:
+                found |= {word, word[:toxicity.STEM] + "*"} if len(word) > toxicity.STEM else {word} if word else set()
+                word = ""
+        margin = model.bias + sum(model.weights.get(w, 0.0) for w in found)
+        assert got[key] == pytest.approx(1 / (1 + math.exp(-max(-30.0, min(30.0, margin)))), abs=1e-9)
+    assert got[9001] > 0.5 > got[9002] == got[9003]
