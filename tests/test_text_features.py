@@ -1,5 +1,7 @@
 """Per-document operators on authored texts; every expectation is worked out by hand."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +239,21 @@ def test_matched_terms_skip_parts_of_longer_ones(texts):
                 "JavaScript, SQL Server, Java, API")
     assert got == [["javascript", "sql server", "api"]]
     assert texts(lambda t, low: vocabulary.topk_terms(F.split(t, ",")), "aa,bbbb,cc,dddd,e,ff,ggg") == [["bbbb", "dddd", "ggg", "aa", "cc"]]
+
+
+def test_long_sections_are_read_in_linear_time(texts):
+    """200,000 lines, and entries that begin and end around the borders of blocks of lines."""
+    n = 200_000
+    start = time.perf_counter()
+    (got,) = texts(lambda t, low: sections.extract_experience(t), "Acme - Dev Jan 2018 - Mar 2020\nskipped\n" + "\n".join(f"- did {i}" for i in range(n)))
+    assert [(e["organization"], e["description"]) for e in got] == [("Acme", " ".join(f"did {i}" for i in range(n)))]
+    (got,) = texts(lambda t, low: sections.extract_projects(t), "Tool | Go\n" + "\n".join(f"- did {i}" for i in range(n)))
+    assert [(e["name"], e["description"]) for e in got] == [("Tool", " ".join(f"did {i}" for i in range(n)))]
+    assert time.perf_counter() - start < 120
+    size = sections.BLOCK
+    for before in range(size - 3, size + 3):
+        text = "\n" * before + "Acme - Dev Jan 2018 - Mar 2020\nskipped\n- a\n- b\nEngineer\nShop\nFeb 2020 - Present\n- c"
+        (got,) = texts(lambda t, low: sections.extract_experience(t), text)
+        assert [tuple(e) for e in got] == [("Acme", "Dev", "Jan 2018 - Mar 2020", "a b"), ("Shop", "Engineer", "Feb 2020 - Present", "c")]
+        (got,) = texts(lambda t, low: sections.extract_projects(t), "One | A\n" + "- x\n" * before + "Two | B,\nC\n- y")
+        assert [tuple(e) for e in got] == [("One", "A", " ".join("x" * before)), ("Two", "B, C", "y")]

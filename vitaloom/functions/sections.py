@@ -1,8 +1,10 @@
 """Education, experience and project entries.
 
-The experience and project parsers read lines in order, so each is one fold over
+The experience and project parsers read lines in order, so each is a fold over
 the line array of its section: map-only, inside the JVM, and without state
-shared between documents.
+shared between documents. A fold copies its state for every line, so the state
+is a few flags and the roles that lines of one block were found to have; entries
+are put together from lines and roles afterwards. That keeps long sections linear.
 """
 
 from pyspark.sql import functions as F
@@ -15,6 +17,10 @@ EDUCATION_TYPE = "array<struct<degree:string,field:string,institution:string,gra
 EXPERIENCE_TYPE = "array<struct<organization:string,role:string,duration:string,description:string>>"
 PROJECT_TYPE = "array<struct<name:string,technology:string,description:string>>"
 
+_PARTS = "array<struct<line:int,role:int>>"
+# Lines whose roles are gathered in one fold.
+BLOCK = 128
+
 
 def _text(value=None):
     return F.lit(value).cast("string")
@@ -90,26 +96,52 @@ def _is_set(col):
     return F.coalesce(col, F.lit("")) != ""
 
 
-def _open_job(state):
-    return _is_set(state["org"]) | _is_set(state["role"])
+def _parts(lines, start, step):
+    """All parts that the fold of ``step`` from ``start`` adds to its state's ``parts``.
+
+    A first pass finds the states at the beginning of each block (nothing to do for a single block), a second one gathers
+    the parts block by block.
+    """
+    def block(b):
+        return F.slice(lines, b * BLOCK + 1, F.lit(BLOCK))
+
+    def next_state(state, b):
+        return F.aggregate(block(b), state, step, lambda x: x.withField("parts", F.slice(x["parts"], 1, 0)))
+
+    last = F.floor((F.size(lines) - 1) / BLOCK).cast("int")
+    earlier = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
+    states = F.aggregate(earlier, F.array(start), lambda known, b: F.concat(known, F.array(next_state(F.element_at(known, -1), b))))
+    return F.flatten(F.transform(states, lambda state, b: F.aggregate(block(b), state, step, lambda x: x["parts"])))
+
+
+# Roles of lines: opening an entry, opening one in place of the last, or adding to the open one.
+_OPENS, _REPLACES, _SAYS, _LISTS = 0, 1, 2, 3
+
+
+def _with(state, line, role):
+    """The state's parts and one more."""
+    return F.concat(state["parts"], F.array(F.struct(line["i"].alias("line"), F.lit(role).alias("role"))))
+
 
+def _entries(lines, parts, entry):
+    """``entry(opening line, its role, the parts, role of the next opening or null)`` for each entry."""
+    def build(ps):
+        openings = F.filter(F.transform(ps, lambda p, i: F.when(p["role"] <= _REPLACES, i)), lambda i: i.isNotNull())
+        return bind(openings, lambda starts: F.transform(starts, lambda a, k: bind(
+            F.coalesce(F.get(starts, k + 1), F.size(ps)), lambda b: entry(
+                F.get(lines, F.get(ps, a)["line"]), F.get(ps, a)["role"], F.slice(ps, a + 1, b - a), F.get(ps, b)["role"]))))
 
-def _finished_jobs(state):
-    """The entries so far, with the open one closed."""
-    entry = F.struct(F.coalesce(F.nullif(state["org"], F.lit("")), F.lit("Unknown")).alias("organization"),
-                     F.coalesce(F.nullif(state["role"], F.lit("")), F.lit("Unknown")).alias("role"),
-                     state["duration"].alias("duration"), F.array_join(state["said"], " ").alias("description"))
-    return F.when(_open_job(state), F.concat(state["done"], F.array(entry))).otherwise(state["done"])
+    return bind(parts, build)
 
 
-def _job_state(skip_to, org, role, duration, said, done):
-    return F.struct(skip_to.alias("skip_to"), org.alias("org"), role.alias("role"), duration.alias("duration"),
-                    said.alias("said"), done.alias("done"))
+def _job_state(skip_to, has_org, is_open, told, parts):
+    return F.struct(skip_to.alias("skip_to"), has_org.alias("has_org"), is_open.alias("open"), told.alias("told"),
+                    parts.alias("parts"))
 
 
 def extract_experience(section):
     """Jobs of an experience section: dated lines, three-line headings, or a plain short line."""
-    no_words = F.array().cast("array<string>")
+    no, yes = F.lit(False), F.lit(True)
 
     def describe(line, i):
         s = strip(line)
@@ -117,9 +149,9 @@ def extract_experience(section):
                         first_match(s, "(?i)" + fixed.MONTH_RANGE).alias("dates"),
                         ((s == "") | F.lower(s).isin(fixed.EXPERIENCE_START)).alias("ignored"))
 
-    def step(state, line, lines):
+    def read(line, lines):
+        """What a line is, whatever stands before it. ``next`` is the line to go on with after it opened an entry."""
         s = line["s"]
-        unbulleted = F.array(strip(F.substring(s, F.lit(2), F.length(s))))
         nxt, third = F.get(lines, line["i"] + 1), F.get(lines, line["i"] + 2)
 
         # a dated line opens a job, and the line below it is not read
@@ -129,81 +161,101 @@ def extract_experience(section):
         cut = F.when(mark == "-", cut).otherwise(F.instr(before, "|"))
         org = F.when(mark.isNull(), before).otherwise(strip(F.substring(before, F.lit(1), cut - 1)))
         role = F.when(mark.isNotNull(), strip(F.substring(before, cut + 1, F.length(before))))
-        dated = _job_state(line["i"] + 2, org, role, line["dates"],
-                           F.when(line["bullet"] & (_is_set(org) | _is_set(role)), unbulleted).otherwise(no_words),
-                           _finished_jobs(state))
-        headed = _job_state(line["i"] + 3, nxt["s"], s, third["dates"], no_words, _finished_jobs(state))
-        told = _job_state(state["skip_to"], state["org"], state["role"], state["duration"],
-                          F.concat(state["said"], F.when(line["bullet"], unbulleted).otherwise(F.array(s))),
-                          state["done"])
-        named = _job_state(state["skip_to"], s, _text(), _text(), no_words, state["done"])
-
-        goes_on = _open_job(state) & (line["bullet"] | ((F.size(state["said"]) > 0) & (F.length(s) > 10)))
-        is_name = (~_is_set(state["org"]) & ~line["bullet"] & (word_count(s) <= 6) & ~s.rlike(r"(?U)\d"))
-        return (F.when((line["i"] < state["skip_to"]) | line["ignored"], state)
-                .when(line["dates"].isNotNull(), dated)
-                .when(third["dates"].isNotNull() & ~line["bullet"], headed)
-                .when(goes_on, told).when(is_name, named).otherwise(state))
 
-    start = _job_state(F.lit(0), _text(), _text(), _text(), no_words, F.array().cast(EXPERIENCE_TYPE))
-    lines = F.transform(F.split(F.coalesce(section, F.lit("")), "\n"), describe)
-    return bind(lines, lambda ls: F.aggregate(ls, start, lambda st, line: step(st, line, ls), _finished_jobs))
+        def heading(skip, org, role, dates):
+            return F.struct((line["i"] + skip).alias("next"), org.alias("org"), role.alias("role"), dates.alias("duration"))
 
+        opens = F.when(line["dates"].isNotNull(), heading(2, org, role, line["dates"])).when(
+            third["dates"].isNotNull() & ~line["bullet"], heading(3, nxt["s"], s, third["dates"]))
+        is_name = ~line["bullet"] & (word_count(s) <= 6) & ~s.rlike(r"(?U)\d")
+        text = F.when(line["bullet"], strip(F.substring(s, F.lit(2), F.length(s)))).otherwise(s)
+        return bind(opens, lambda x: F.struct(
+            line["i"].alias("i"), s.alias("s"), line["ignored"].alias("ignored"), line["bullet"].alias("bullet"),
+            x.alias("opens"), _is_set(x["org"]).alias("has_org"), (_is_set(x["org"]) | _is_set(x["role"])).alias("known"),
+            F.when(x.isNull(), is_name).alias("is_name"), (F.length(s) > 10).alias("long"), text.alias("text")))
 
-def _finished_projects(state):
-    entry = F.struct(state["name"].alias("name"), strip(F.array_join(state["tech"], " ")).alias("technology"),
-                     F.array_join(state["said"], " ").alias("description"))
-    return F.when(state["stage"] > 0, F.concat(state["done"], F.array(entry))).otherwise(state["done"])
+    def step(state, line):
+        opened = _job_state(line["opens"]["next"], line["has_org"], line["known"], line["bullet"] & line["known"],
+                            _with(state, line, _OPENS))
+        told = _job_state(state["skip_to"], state["has_org"], state["open"], yes, _with(state, line, _SAYS))
+        # a name takes the place of an entry that has only a role
+        named = _job_state(state["skip_to"], yes, yes, no, _with(state, line, _REPLACES))
+        goes_on = state["open"] & (line["bullet"] | (state["told"] & line["long"]))
+        return (F.when((line["i"] < state["skip_to"]) | line["ignored"], state)
+                .when(line["opens"].isNotNull(), opened).when(goes_on, told)
+                .when(~state["has_org"] & line["is_name"], named).otherwise(state))
 
+    def entries(lines):
+        def entry(line, role, parts, following):
+            named = role == _REPLACES
+            org = F.when(named, line["s"]).otherwise(line["opens"]["org"])
+            said = F.transform(parts, lambda p: bind(F.get(lines, p["line"]), lambda x: F.when(
+                (p["role"] == _SAYS) | ((p["role"] == _OPENS) & x["bullet"]), x["text"])))
+            row = F.struct(F.coalesce(F.nullif(org, F.lit("")), F.lit("Unknown")).alias("organization"),
+                           F.coalesce(F.nullif(line["opens"]["role"], F.lit("")), F.lit("Unknown")).alias("role"),
+                           line["opens"]["duration"].alias("duration"), F.array_join(said, " ").alias("description"))
+            return F.when((named | line["known"]) & ~F.coalesce(following == _REPLACES, no), row)
 
-def _project_state(stage, name, tech, said, done):
-    return F.struct(stage.alias("stage"), name.alias("name"), tech.alias("tech"), said.alias("said"), done.alias("done"))
+        start = _job_state(F.lit(0), no, no, no, F.array().cast(_PARTS))
+        return F.filter(_entries(lines, _parts(lines, start, step), entry), lambda e: e.isNotNull())
+
+    described = F.transform(F.split(F.coalesce(section, F.lit("")), "\n"), describe)
+    lines = bind(described, lambda ls: F.transform(ls, lambda line: read(line, ls)))
+    return bind(lines, entries).cast(EXPERIENCE_TYPE)
 
 
 # What the fold is reading: nothing, technologies, a subtitle, or the description.
 _IDLE, _TECH, _SUBTITLE, _BODY = 0, 1, 2, 3
 
 
+def _project_state(stage, comma, parts):
+    return F.struct(stage.alias("stage"), comma.alias("comma"), parts.alias("parts"))
+
+
 def extract_projects(section):
     """``Name | Technologies`` lines with their technology, subtitle and bullet lines."""
-    no_words = F.array().cast("array<string>")
+    no = F.lit(False)
 
-    def describe(s):
+    def describe(s, i):
         low = F.lower(s)
         link = F.coalesce(low.rlike("^(" + "|".join(fixed.PROJECT_LINK_WORDS) + ")"), F.lit(False))
         bullet, pipe = starts_with_bullet(s), F.contains(s, F.lit("|"))
-        return F.struct(s.alias("s"), bullet.alias("bullet"), pipe.alias("pipe"), link.alias("link"),
-                        has_any(low, fixed.PROJECT_START).alias("header"),
-                        (~bullet & ~pipe & ~link).alias("plain"),
-                        ((word_count(s) <= 2) & (F.length(s) < 30)).alias("short"))
+        opens = pipe & ~bullet & ~has_any(low, fixed.PROJECT_START)
+        plain, cut, rest = ~bullet & ~pipe & ~link, F.instr(s, "|"), F.length(s)
+        return F.struct(i.alias("i"), s.alias("s"), bullet.alias("bullet"), link.alias("link"), plain.alias("plain"),
+                        (F.contains(s, F.lit(",")) | (word_count(s) <= 2) & (rest < 30)).alias("listed"),
+                        rest.between(16, 99).alias("titled"), opens.alias("opens"),
+                        F.when(bullet, strip(F.substring(s, F.lit(2), rest))).alias("text"),
+                        F.when(opens, strip(F.substring(s, F.lit(1), cut - 1))).alias("name"),
+                        F.when(opens, strip(F.substring(s, cut + 1, rest))).alias("tech"))
 
     def step(state, line):
-        s, stage = line["s"], state["stage"]
-        comma = F.contains(s, F.lit(","))
-        more_tech = ((stage == _TECH) & line["plain"]
-                     & (comma | F.try_element_at(state["tech"], F.lit(-1)).endswith(",") | line["short"]))
-        subtitle = ((stage == _TECH) | (stage == _SUBTITLE)) & line["plain"] & F.length(s).between(16, 99)
-        text = strip(F.substring(s, F.lit(2), F.length(s)))
-        opens = line["pipe"] & ~line["bullet"] & ~line["header"]
-        cut = F.instr(s, "|")
-
-        with_tech = _project_state(F.when(s.endswith(","), _TECH).otherwise(_SUBTITLE), state["name"],
-                                   F.concat(state["tech"], F.array(s)), state["said"], state["done"])
-        with_subtitle = _project_state(F.lit(_BODY), state["name"], state["tech"], F.array(s), state["done"])
-        with_bullet = _project_state(F.lit(_BODY), state["name"], state["tech"],
-                                     F.when(text == "", state["said"]).otherwise(F.concat(state["said"], F.array(text))),
-                                     state["done"])
-        past_link = _project_state(F.lit(_BODY), state["name"], state["tech"], state["said"], state["done"])
-        opened = _project_state(F.lit(_TECH), strip(F.substring(s, F.lit(1), cut - 1)),
-                                F.array(strip(F.substring(s, cut + 1, F.length(s)))), no_words,
-                                _finished_projects(state))
-        idle = _project_state(F.lit(_IDLE), _text(), no_words, no_words, _finished_projects(state))
+        s, stage, parts = line["s"], state["stage"], state["parts"]
+        more_tech = (stage == _TECH) & line["plain"] & (line["listed"] | state["comma"])
+        subtitle = ((stage == _TECH) | (stage == _SUBTITLE)) & line["plain"] & line["titled"]
+        body = F.lit(_BODY)
+        with_tech = _project_state(F.when(s.endswith(","), _TECH).otherwise(_SUBTITLE), s.endswith(","), _with(state, line, _LISTS))
+        with_subtitle = _project_state(body, no, _with(state, line, _SAYS))
+        with_bullet = _project_state(body, no, F.when(line["text"] == "", parts).otherwise(_with(state, line, _SAYS)))
+        past_link = _project_state(body, no, parts)
+        opened = _project_state(F.lit(_TECH), line["tech"].endswith(","), _with(state, line, _OPENS))
+        idle = _project_state(F.lit(_IDLE), no, parts)
         reading = stage > _IDLE
         return (F.when(more_tech, with_tech).when(subtitle, with_subtitle)
                 .when(reading & line["bullet"], with_bullet).when(reading & line["link"], past_link)
-                .when(opens, opened).otherwise(idle))
+                .when(line["opens"], opened).otherwise(idle))
+
+    def entries(lines):
+        def entry(line, role, parts, following):
+            def texts(role, value):
+                return F.transform(F.filter(parts, lambda p: p["role"] == role), lambda p: bind(F.get(lines, p["line"]), value))
+
+            tech = F.concat(F.array(line["tech"]), texts(_LISTS, lambda x: x["s"]))
+            return F.struct(line["name"].alias("name"), strip(F.array_join(tech, " ")).alias("technology"),
+                            F.array_join(texts(_SAYS, lambda x: F.coalesce(x["text"], x["s"])), " ").alias("description"))
+
+        start = _project_state(F.lit(_IDLE), no, F.array().cast(_PARTS))
+        return _entries(lines, _parts(lines, start, step), entry)
 
-    start = _project_state(F.lit(_IDLE), _text(), no_words, no_words, F.array().cast(PROJECT_TYPE))
     stripped = F.transform(F.split(F.coalesce(section, F.lit("")), "\n"), strip)
-    lines = F.transform(F.filter(stripped, lambda s: s != ""), describe)
-    return F.aggregate(lines, start, step, _finished_projects)
+    return bind(F.transform(F.filter(stripped, lambda s: s != ""), describe), entries).cast(PROJECT_TYPE)
