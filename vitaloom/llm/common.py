@@ -27,6 +27,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns beside those of ``df``: the given ones, with underscores where a column has that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def discard(written: DataFrame) -> None:
     """Remove the files of a table from ``cut_lineage`` that nothing reads any more."""
     files = written.inputFiles()

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitaloom.llm.common import map_rows
+from vitaloom.llm.common import map_rows, spare
 
 ERROR_RATE = 0.06
 # Items shorter than this in normal form are found unedited and as whole words only.
@@ -155,10 +155,15 @@ def find(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
          rate: float = ERROR_RATE) -> DataFrame:
     """One row for each document and item that is in it: ``key, item_id, edits, allowed``.
 
+    A key of the documents that has one of the other names keeps it, and that other column gets an underscore.
+
     Null and empty texts hold nothing; repeated documents are reported each, repeated items under each of their keys.
     Other columns of either table are not looked at. No document or no item gives no row.
     """
-    schema = (f"`{key}` {docs.schema[key].dataType.simpleString()}, item_id {items.schema[item_key].dataType.simpleString()}, edits int, allowed int")
+    keys = docs.select(F.col(f"`{key}`"))
+    item, edits_name, allowed_name = spare(keys, "item_id", "edits", "allowed")
+    schema = (f"`{key}` {keys.schema[0].dataType.simpleString()}, {item} {items.schema[item_key].dataType.simpleString()}, "
+              f"{edits_name} int, {allowed_name} int")
     out = docs.sparkSession.createDataFrame([], schema)
     for block in blocks(items, item_key, item_text):
         def rows(doc, t, block=block):
@@ -167,7 +172,7 @@ def find(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
             for item, edits in f.hits(t):
                 yield doc, item, edits, allowed[item]
 
-        out = out.unionByName(map_rows(docs.select(F.col(key), F.col(text)), rows, schema))
+        out = out.unionByName(map_rows(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), rows, schema))
     return out
 
 

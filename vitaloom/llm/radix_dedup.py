@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from vitaloom.llm.common import as_batch, discard
+from vitaloom.llm.common import as_batch, discard, spare
 from vitaloom.session import cut_lineage
 
 THRESHOLD = 400
@@ -198,16 +198,16 @@ def cores(threshold: int):
     return run
 
 
-def identified(docs: DataFrame, text: str) -> DataFrame:
-    """``t, check`` (the identity of a text) and ``text`` with null as empty, beside the columns of ``docs``."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select("*", F.xxhash64(body).alias("_t"), F.pmod(F.xxhash64(F.lit(1), body), F.lit(1 << CHECK_BITS)).alias("_check"), body.alias("_text"))
+def identity(text: str) -> tuple[Column, Column, Column]:
+    """The hash of a text, a check beside it, and the text with null as empty."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return F.xxhash64(body), F.pmod(F.xxhash64(F.lit(1), body), F.lit(1 << CHECK_BITS)), body
 
 
 def repeated_spans(docs: DataFrame, text: str, threshold: int) -> DataFrame:
     """Windows that occur more than once, as runs of window starts of each different text: ``t, check, first, last``."""
-    texts = identified(docs, text).select(F.col("_t").alias("t"), F.col("_check").alias("check"), F.col("_text").alias("text")).where(
-        F.octet_length("text") >= threshold)
+    t, check, body = identity(text)
+    texts = docs.select(t.alias("t"), check.alias("check"), body.alias("text")).where(F.octet_length("text") >= threshold)
     found = cut_lineage(texts.mapInArrow(anchors(threshold), "h long, c long, t long, p long"), "anchors")
     # First digit: anchors that occur once are done; an anchor with one stretch needs no further digit.
     groups = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1")
@@ -263,8 +263,10 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", threshold: int = THRE
     """
     if not LEAST <= threshold < DIGIT + (1 << COUNT_BITS):
         raise ValueError(f"the threshold must be from {LEAST} to {DIGIT + (1 << COUNT_BITS) - 1} bytes")
+    h, check, packed_text, lists, result = spare(docs, "_t", "_check", "_packed", "_spans", "_cut")
     spans = (repeated_spans(docs, text, threshold).groupBy("t", "check")
-             .agg(F.collect_list(F.struct("first", "last")).alias("_spans")).withColumnsRenamed({"t": "_t", "check": "_check"}))
+             .agg(F.collect_list(F.struct("first", "last")).alias(lists)).withColumnsRenamed({"t": h, "check": check}))
+
     @F.pandas_udf("binary")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         small = zstandard.ZstdCompressor(level=1)
@@ -272,14 +274,15 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", threshold: int = THRE
             yield pd.Series([small.compress(t.encode()) for t in texts], dtype=object)
 
     # Texts travel to their spans compressed; a text column that nobody reads afterwards does not travel at all.
-    met = identified(docs, text).withColumn("_packed", packed("_text")).drop("_text").join(spans, ["_t", "_check"], "left")
+    own_h, own_check, body = identity(text)
+    met = docs.select("*", own_h.alias(h), own_check.alias(check), packed(body).alias(packed_text)).join(spans, [h, check], "left")
     new = ["kept", "kept_text", "n_bytes", "n_removed", "removed"]
 
     @F.pandas_udf("struct<kept: binary, kept_text: string, n_bytes: long, n_removed: long, removed: array<struct<start: long, stop: long>>>")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, lists in batches:
+        for texts, found_lists in batches:
             rows = []
-            for t, found in zip(texts, lists, strict=True):
+            for t, found in zip(texts, found_lists, strict=True):
                 data = zstandard.decompress(t)
                 gone = merged([(s["first"], s["last"] + threshold) for s in found]) if found is not None else []
                 ends = [0, *(x for s in gone for x in s), len(data)]
@@ -288,4 +291,4 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", threshold: int = THRE
             yield pd.DataFrame(rows, columns=new)
 
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
-    return met.withColumn("_cut", cut("_packed", "_spans")).select(*own, *[F.col(f"_cut.{c}").alias(c) for c in new])
+    return met.withColumn(result, cut(packed_text, lists)).select(*own, *[F.col(f"{result}.{c}").alias(c) for c in new])

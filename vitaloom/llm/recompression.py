@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitaloom.llm.common import WordIds
+from vitaloom.llm.common import WordIds, spare
 from vitaloom.session import cut_lineage
 
 WINDOW = 20
@@ -246,16 +246,16 @@ def check_of(p: str) -> Column:
     return F.col(p).bitwiseAND(F.lit((1 << CHECK_BITS) - 1))
 
 
-def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Beside the columns of ``docs``: ``_k`` (the key; null is the smallest), ``_check`` (of the text), ``_text`` (null as empty)."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select("*", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("_k"),
-                       F.pmod(F.xxhash64(body), F.lit(1 << CHECK_BITS)).alias("_check"), body.alias("_text"))
+def identity(key: str, text: str) -> tuple[Column, Column, Column]:
+    """The key (null is the smallest), a check of the text, and the text with null as empty."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))), F.pmod(F.xxhash64(body), F.lit(1 << CHECK_BITS)), body
 
 
 def later_windows(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
     """Windows that also start earlier, as runs of starts in each text: ``k, check, first, last``."""
-    texts = identified(docs, key, text).select(F.col("_k").alias("k"), F.col("_check").alias("check"), F.col("_text").alias("text"))
+    k, check, body = identity(key, text)
+    texts = docs.select(k.alias("k"), check.alias("check"), body.alias("text"))
     found = cut_lineage(texts.mapInArrow(anchors(window), "h long, c long, k long, p long"), "symbols")
     groups = found.where("h <> 0").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     alive = cut_lineage(found.join(groups, "h"), "alive")
@@ -291,15 +291,17 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     if not 2 <= window < 1 << COUNT_BITS:
         raise ValueError(f"a window has from 2 to {(1 << COUNT_BITS) - 1} words")
-    spans = (later_windows(docs, key, text, window).groupBy("k", "check").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
-             .withColumnsRenamed({"k": "_k", "check": "_check"}))
-    met = identified(docs, key, text).join(spans, ["_k", "_check"], "left")
+    k, check, body, lists, result = spare(docs, "_k", "_check", "_text", "_spans", "_cut")
+    spans = (later_windows(docs, key, text, window).groupBy("k", "check").agg(F.collect_list(F.struct("first", "last")).alias(lists))
+             .withColumnsRenamed({"k": k, "check": check}))
+    own = [c.alias(name) for c, name in zip(identity(key, text), (k, check, body), strict=True)]
+    met = docs.select("*", *own).join(spans, [k, check], "left")
 
     @F.pandas_udf("struct<kept: string, n_words: long, n_removed: long, removed: array<struct<start: long, stop: long>>>")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, lists in batches:
+        for texts, found_lists in batches:
             rows = []
-            for t, found in zip(texts, lists, strict=True):
+            for t, found in zip(texts, found_lists, strict=True):
                 words = t.encode().split()
                 gone: list[list[int]] = []
                 for a, b in sorted((s["first"], s["last"] + window) for s in found) if found is not None else []:
@@ -314,4 +316,4 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     new = ["kept", "n_words", "n_removed", "removed"]
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
-    return met.withColumn("_cut", cut("_text", "_spans")).select(*own, *[F.col(f"_cut.{c}").alias(c) for c in new])
+    return met.withColumn(result, cut(body, lists)).select(*own, *[F.col(f"{result}.{c}").alias(c) for c in new])

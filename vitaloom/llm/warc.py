@@ -69,8 +69,9 @@ def write_archives(pages: DataFrame, path: str, *, key: str = "page_id", url: st
     messages that hold the payload; revisit blocks hold the HTTP header alone. Other columns are not stored. Exactly
     repeated rows are repeated records. An empty table writes no record.
     """
-    body = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
-    pages = pages.select(F.col(key), F.col(url), body.alias("body"), F.sha2(body, 256).alias("digest"))
+    body = F.coalesce(F.col(f"`{html}`").cast("binary"), F.lit(b""))
+    pages = pages.select(F.col(f"`{key}`").alias("own_key"), F.col(f"`{url}`").alias("own_url"), body.alias("body"), F.sha2(body, 256).alias("digest"))
+    key, url = "own_key", "own_url"
     verdicts = (resolve(pages, key, url, F.col("body"), min_bytes).where("revisit")
                 .select(F.col("key").alias("revisit_key"), F.col("digest").alias("revisit_digest"), "original_key", "original_url").distinct())
     met = pages.join(verdicts, F.col(key).eqNullSafe(F.col("revisit_key")) & (F.col("digest") == F.col("revisit_digest")), "left")
