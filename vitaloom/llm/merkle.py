@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ MAX_LEAF = 4095
 # A section ends after a paragraph whose digest's low bits are zero: eight paragraphs on average.
 SECTION_MASK = 7
 ROWS_PER_BUCKET = 20_000
+# Key and head of the text of the row that opens a range.
+PAIR = np.dtype([("k", np.int64), ("h", np.int64)])
 BLOCK = 1 << 20
 NEWLINE = 10
 END_PARAGRAPH, END_SECTION = 0x1000, 0x2000
@@ -176,38 +179,43 @@ EDITED = ("n_chars long, edited_sha256 string, fingerprint string, edited_finger
 def with_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprint of each text and of its edited form, whose last quarter gives way to the start of the next document.
 
-    The next document is the one with the next greater key; after the last comes the first. Null keys stand before all
-    others; rows of one key follow each other by text. Null texts are empty. A single row is its own next.
+    The next document is the one with the next greater key; after the last comes the first. Null keys count as the smallest
+    number; rows of one key follow each other by text. Null texts are empty. A single row is its own next.
 
-    The texts are dealt once, to ranges of keys: the ranges' first keys (one for each range, from a narrow pass over the
-    keys) travel with the plan, and the rows that open a range also go to the range before it, so every row meets its
-    next one in its own task. Rows stream through a task in order; no more than two texts are held.
+    The texts are dealt once, to ranges of keys and of the texts' first seven bytes, as a number, so rows of one key are split
+    where their texts begin differently. A first pass over both numbers finds where ranges begin: 16 bytes for each ``ROWS_PER_BUCKET`` rows go to the
+    tasks, which search them by halves. Every range is a partition of its own. The row that opens a range also goes to the
+    range before it, so every row meets its next one in its own task. Rows stream through a task in order; no more than two
+    texts are held.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    keys = docs.select(F.col(key).cast("long").alias("k"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys.count() // ROWS_PER_BUCKET + 1)
-    heads = sorted(r[1] for r in keys.where("k is not null").repartitionByRange(n, "k").groupBy(F.spark_partition_id()).agg(F.min("k")).collect())
-    heads = heads or [0]
-    nulls = bool(keys.where("k is null").limit(1).count())
-    last = len(heads) - 1
-    first = F.array(*[F.lit(h).cast("long") for h in heads])
-    bucket = F.greatest(F.lit(0), F.size(F.filter(first, lambda h: h <= F.col("k"))) - 1)
-    bucket = F.when(F.col("k").isNull(), 0).otherwise(bucket)
-    # With null keys the table starts with them, else with the first range.
-    opens = F.array_contains(first, F.col("k")) & (F.col("k") != heads[0]) | (F.col("k").isNull() if nulls else F.col("k") == heads[0])
-    rows = docs.select(F.col(key), F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    both = F.when(F.coalesce(opens, F.lit(False)), F.array(F.struct(bucket.alias("b"), F.lit(0).alias("ahead")),
-                                                            F.struct(F.when(bucket == 0, last).otherwise(bucket - 1).alias("b"), F.lit(1).alias("ahead"))))
-    place = both.otherwise(F.array(F.struct(bucket.alias("b"), F.lit(0).alias("ahead"))))
-    dealt = (rows.select("*", F.explode(place).alias("p")).select(F.col("p.b").alias("b"), F.col("p.ahead").alias("ahead"), "k", F.col(key), "t")
-             .repartition(n, "b").sortWithinPartitions("b", "ahead", "k", "t"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))).alias("k"), F.conv(F.rpad(F.hex(F.substring(body.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long").alias("h"),
+                       F.col(f"`{key}`").alias("own"), body.alias("t"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // ROWS_PER_BUCKET + 1)
+    firsts = rows.select("k", "h").repartitionByRange(n, "k", "h").groupBy(F.spark_partition_id()).agg(F.min(F.struct("k", "h")).alias("first"))
+    heads = np.sort(np.array([tuple(r[0]) for r in firsts.select("first").collect()] or [(0, 0)], PAIR))
+
+    @F.pandas_udf("struct<b: int, opens: boolean>")
+    def place(k: pd.Series, h: pd.Series) -> pd.DataFrame:
+        pairs = np.empty(len(k), PAIR)
+        pairs["k"], pairs["h"] = k.to_numpy(), h.to_numpy()
+        b = np.searchsorted(heads, pairs, side="right") - 1
+        return pd.DataFrame({"b": b.astype(np.int32), "opens": heads[b] == pairs})
+
+    at, before = F.col("at.b"), F.pmod(F.col("at.b") - 1, F.lit(len(heads)))
+    here, ahead = F.struct(at.alias("b"), F.lit(0).alias("ahead")), F.struct(before.alias("b"), F.lit(1).alias("ahead"))
+    places = F.when(F.col("at.opens"), F.array(here, ahead)).otherwise(F.array(here))
+    dealt = (rows.withColumn("at", place("k", "h")).select("k", "h", "own", "t", F.explode(places).alias("p"))
+             .select(F.col("p.b").alias("b"), F.col("p.ahead").alias("ahead"), "k", "h", "own", "t")
+             .repartitionById(len(heads), "b").sortWithinPartitions("b", "ahead", "k", "h", "t"))
     schema = f"`{key}` {kind}, {EDITED}"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for row in edits((r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True))):
+        for row in edits((r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5)), strict=True))):
             held.append(row)
             if len(held) >= 256:
                 yield as_batch(held, arrow)
