@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog import match_queries, table_queries
 from catalog.inputs import AS_OF, FEED, JOBS, table, tables_of
 from vitaloom.plans.analyze import analyze_resumes
-from vitaloom.session import shared_folder
+from vitaloom.session import is_folder, shared_folder
 from vitaloom.sources.feed import ingest_job_feed
 from vitaloom.streaming import streams
 
@@ -14,9 +14,11 @@ DOCUMENTS = "SELECT CAST(doc_id AS VARCHAR(20)) AS doc_id, text FROM {documents}
 
 
 def source(spark, d, name):
-    """A given table as a stream of files."""
-    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """A given table as a stream of files, be it one file or a folder of many."""
+    path = f"{d}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    # a stream reads folders: a table of one file is that file of the folder around it
+    return stream.parquet(path) if is_folder(spark, path) else stream.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 def streamed(spark, d, sql, stream):
