@@ -38,7 +38,8 @@ def attach_analysis(resumes: DataFrame, results: DataFrame, as_of: str) -> DataF
     """Overwrite status and analysis of the resumes named in ``results(id, status, analysis)``, null included."""
     update = results.select("id", F.col("status").alias("_status"), F.col("analysis").alias("_analysis"),
                             F.lit(True).alias("_hit"))
-    joined = resumes.join(update, "id", "left")
+    # analyses repeat much of their text: small in files and large in memory, by the files' size they would be broadcast
+    joined = resumes.join(update.hint("merge"), "id", "left")
     hit = F.coalesce("_hit", F.lit(False))
     changed = joined.withColumns({"status": F.when(hit, F.col("_status")).otherwise(F.col("status")),
                                   "analysis": F.when(hit, F.col("_analysis")).otherwise(F.col("analysis"))})
