@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from catalog import match_queries, stream_queries
 from vitaloom.functions import vectors
 from vitaloom.functions.encoders import dense, encode_hashed
+from vitaloom.operators import pairs
+from vitaloom.operators.resumes import attach_analysis
 from vitaloom.plans.analyze import ideal_vectors
 from vitaloom.streaming import streams
 
@@ -74,3 +76,29 @@ def test_ideal_sentences_meet_the_buckets_of_their_words_only(spark):
     for i in (1, 2, 3):
         assert all(abs(s - sum(a * b for a, b in zip(own[i], whole[k]))) < 1e-12 for k, s in enumerate(rows[i]["s"]))
     assert rows[4]["s"] == [None] * 4
+
+
+def test_lean_pairs_carry_floats_and_score_as_unit_vectors_do(spark):
+    people = spark.createDataFrame([(1, "a", [1.0, 2.0, 3.0], 50.0, "mid"), (2, "b", [0.0, 0.0, 0.0], 10.0, None), (3, "c", None, None, "entry"), (4, "d", [0.5, None, 0.25], 90.0, "senior"),
+                                    (5, "e", [1.0], 90.0, "senior")], "id long, text string, vector array<float>, ats_score double, candidate_level string")
+    jobs = spark.createDataFrame([(7, "Senior Engineer", "python", [0.3, 0.1, 0.9]), (8, "Intern", "sql", [0.1, None, 0.2]), (9, "x", "y", None)],
+                                 "id long, title string, description string, vector array<float>")
+    lean = pairs.resume_side(people, lean=True)
+    assert dict(lean.dtypes)["resume_vector"] == "array<float>"
+    both = people.selectExpr("id AS resume_id").crossJoin(jobs.selectExpr("id AS job_id"))
+    plain = pairs.match_pairs(both, pairs.resume_side(people), pairs.job_side(jobs))
+    few = pairs.match_pairs(both, lean, pairs.job_side(jobs))
+    assert few.columns == plain.columns and sorted(map(tuple, few.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_visits_make_no_more_tasks_than_a_driver_can_keep():
+    assert [pairs.tasks_of(n, 12) for n in (0, 5, 1000, 10_000)] == [1, 5, 62, 625]
+    assert pairs.tasks_of(10_000_000, 12) <= 5_000
+
+
+def test_analyses_are_not_broadcast(spark):
+    stored = spark.createDataFrame([(1, None, None), (2, "uploaded", None)], "id long, status string, analysis struct<score: double>").selectExpr("*", "current_timestamp() AS updated_at")
+    found = spark.createDataFrame([(2, "processed", (5.0,))], "id long, status string, analysis struct<score: double>")
+    out = attach_analysis(stored, found, "2024-03-01 00:00:00")
+    assert "Broadcast" not in plan_of(out)
+    assert {r["id"]: (r["status"], r["analysis"] and r["analysis"]["score"]) for r in out.collect()} == {1: (None, None), 2: ("processed", 5.0)}
