@@ -118,7 +118,8 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "scor
         mean, scale, weights = (np.array(v) for v in (model.mean, model.scale, model.weights))
         for batch in batches:
             x = np.array([measure(t.encode()) if t else (np.nan,) * 3 for t in batch]).reshape(-1, 3)
-            p = 1 / (1 + np.exp(-np.clip((x - mean) / scale @ weights + model.bias, -30, 30)))
+            # summed row by row: a matrix product may round the rows of a batch differently
+            p = 1 / (1 + np.exp(-np.clip(((x - mean) / scale * weights).sum(axis=1) + model.bias, -30, 30)))
             yield pd.Series(np.where(np.isnan(p), model.prior, p))
 
     return without(docs, out).withColumn(out, scores(F.col(text)))
