@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from vitaloom.llm import block_search
@@ -100,3 +101,14 @@ def test_blocks_below_the_kth_score_are_not_scored():
     tops = block_search.Tops(1, 10)
     block_search.visit(m[0][:1], np.array([0]), tops, 4, blocks)
     assert sorted(tops.id.tolist()) == sorted(np.lexsort((np.arange(50), -(m[0] @ m[0][0])))[:10].tolist())
+
+
+def test_a_later_visit_that_finds_nothing_has_no_rows():
+    """The floor of the first visit may lie above everything the next group holds."""
+    ids, q = np.array([0, 20], np.int64), np.ones((2, 2))
+    block = {"ids": np.array([5, 6], np.int64).tobytes(), **{x: block_search.pack(np.ones((2, 2))) for x in ("w", "hi", "lo")}}
+    row = {"chunk": 1, "gid": 2, "ids": ids.tobytes(), "w": block_search.pack(q), "dims": 2, "gdims": 2, "blocks": [block],
+           "go": np.array([0, 1], np.int64).tobytes(), "kth": np.array([9, 9], np.int64).tobytes(), "kth_id": np.array([1, 1], np.int64).tobytes()}
+    assert list(block_search.visited(3)(row)) == []
+    low = row | {"kth": np.array([9, 1], np.int64).tobytes()}
+    assert list(block_search.visited(3)(low)) == [(1, 1, 20, 2, 2, [2, 2], [5, 6])]

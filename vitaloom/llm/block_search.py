@@ -116,8 +116,9 @@ class Tops:
         self.kth[q_all[last]], self.kth_id[q_all[last]] = s_all[order][last], i_all[order][last]
 
     def rows(self) -> Iterator[tuple[int, list[int], list[int]]]:
-        starts = np.nonzero(np.diff(self.q, prepend=-1))[0]
-        for a, b in zip(starts, np.append(starts[1:], len(self.q)), strict=True):
+        # A later visit may find nothing: the floor it starts from can lie above all that the group holds.
+        ends = np.append(np.nonzero(np.diff(self.q, prepend=-1))[0], len(self.q))
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
             yield int(self.q[a]), self.score[a:b].tolist(), self.id[a:b].tolist()
 
 
