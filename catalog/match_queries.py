@@ -48,17 +48,26 @@ def scored_pairs(spark, d):
     return match_pairs(table(spark, d, PAIRS), resume_side(people(spark, d), lean=True), job_side(jobs_with_vectors(spark, d)))
 
 
+SKILL_BITS = {n: list(dict.fromkeys(w.lower() for w in ws)) for n, ws in (("technical", fixed.TECHNICAL_SKILLS), ("soft", fixed.SOFT_SKILLS))}
+MATCH_BITS = list(dict.fromkeys(fixed.MATCH_TERMS))
+
+
 def pair_texts(spark, d):
-    """Pairs with the per-side columns the text matchers need, computed once per side."""
+    """Pairs with the per-side columns the text matchers need, computed once per side; what pairs compare are sets of bits."""
+    bits = vocabulary.found_bits
     terms, long_words = vocabulary.match_terms, vocabulary.long_words
     low = F.lower(matching.job_text(c("title"), c("description")))
     left = people(spark, d).select(
         c("id").alias("resume_id"), "ats_score", "candidate_level", terms(F.lower("text")).alias("resume_terms"),
         long_words(c("text")).alias("resume_words"), vocabulary.find_skills(F.lower("text"), fixed.TECHNICAL_SKILLS).alias("technical"),
-        vocabulary.find_skills(F.lower("text"), fixed.SOFT_SKILLS).alias("soft"))
+        vocabulary.find_skills(F.lower("text"), fixed.SOFT_SKILLS).alias("soft"),
+        bits(lambda t: F.contains(F.lower("text"), F.lit(t)), MATCH_BITS).alias("resume_bits"))
+    left = left.select("*", *[vocabulary.item_bits(F.transform(n, F.lower), names).alias(f"{n}_bits") for n, names in SKILL_BITS.items()],
+                       *[F.size(n).alias(f"n_{n}") for n in SKILL_BITS])
     right = table(spark, d, JOBS).select(
         c("id").alias("job_id"), low.alias("job_low"), terms(low).alias("job_terms"), long_words(c("description")).alias("job_words"),
-        "salary", matching.job_age_days(c("posted_date"), F.lit(AS_OF)).alias("age"))
+        "salary", matching.job_age_days(c("posted_date"), F.lit(AS_OF)).alias("age"), bits(lambda t: F.contains(low, F.lit(t)), MATCH_BITS).alias("job_bits"),
+        *[bits(lambda t: F.contains(low, F.lit(t)), names).alias(f"job_{n}_bits") for n, names in SKILL_BITS.items()])
     return table(spark, d, PAIRS).join(left, "resume_id").join(right, "job_id")
 
 
@@ -134,14 +143,12 @@ best AS (SELECT *, list_transform(list_sort(list_transform(matched, lambda t, i:
 
 @query("matched_terms", PAIR_TEXT_SQL + "SELECT resume_id, job_id, coalesce(array_to_string(matched, '|'), '') AS value FROM kept")
 def _(spark, d):
-    return pair_texts(spark, d).select("resume_id", "job_id",
-                                       joined(vocabulary.matched_terms(c("resume_terms"), c("job_terms"))).alias("value"))
+    return pair_texts(spark, d).select("resume_id", "job_id", joined(vocabulary.matched_by_bits(c("resume_bits"), c("job_bits"), MATCH_BITS)).alias("value"))
 
 
 @query("topk_terms", PAIR_TEXT_SQL + "SELECT resume_id, job_id, coalesce(array_to_string(top, '|'), '') AS value FROM best")
 def _(spark, d):
-    matched = vocabulary.matched_terms(c("resume_terms"), c("job_terms"))
-    return pair_texts(spark, d).select("resume_id", "job_id", joined(vocabulary.topk_terms(matched)).alias("value"))
+    return pair_texts(spark, d).select("resume_id", "job_id", joined(vocabulary.topk_by_bits(c("resume_bits"), c("job_bits"), MATCH_BITS)).alias("value"))
 
 
 def _cases(rows, col, fill="{}"):
@@ -220,8 +227,12 @@ ruled AS (SELECT *, least(100.0, coalesce(len(th) / nullif(len(technical), 0) *
   + CASE WHEN coalesce(salary, '') NOT IN ('', 'Not specified') THEN 10 ELSE 0 END) AS score FROM hits) """
 
 
+def _skills_found(name):
+    return vocabulary.shared_bits(c(f"{name}_bits"), c(f"job_{name}_bits"), SKILL_BITS[name])
+
+
 def _rule_score():
-    return matching.match_rules(c("job_low"), c("salary"), c("age"), c("technical"), c("soft"), c("ats_score"))
+    return matching.match_rules_counted(c("salary"), c("age"), _skills_found("technical"), c("n_technical"), _skills_found("soft"), c("n_soft"), c("ats_score"))
 
 
 @query("match_rules", RULES_SQL + "SELECT resume_id, job_id, round(score, 1) AS match_score FROM ruled")
@@ -235,7 +246,8 @@ def _(spark, d):
     CASE WHEN floor(age) <= 3 THEN 'Recently posted - apply quickly!' END], lambda r: r IS NOT NULL), '|'), '') AS value FROM ruled""")
 def _(spark, d):
     scored = pair_texts(spark, d).withColumn("score", _rule_score())
-    return scored.select("resume_id", "job_id", joined(matching.rule_reasons(c("score"), c("job_low"), c("age"), c("technical"))).alias("value"))
+    named = F.when(_skills_found("technical") > 0, vocabulary.cap_matched_skills(c("technical"), c("job_low"))).otherwise(F.array().cast("array<string>"))
+    return scored.select("resume_id", "job_id", joined(matching.rule_reasons_named(c("score"), named, c("age"))).alias("value"))
 
 
 @query("skill_contains", RULES_SQL + "SELECT resume_id, job_id, coalesce(array_to_string(th, '|'), '') AS value FROM hits")

@@ -257,3 +257,18 @@ def test_long_sections_are_read_in_linear_time(texts):
         assert [tuple(e) for e in got] == [("Acme", "Dev", "Jan 2018 - Mar 2020", "a b"), ("Shop", "Engineer", "Feb 2020 - Present", "c")]
         (got,) = texts(lambda t, low: sections.extract_projects(t), "One | A\n" + "- x\n" * before + "Two | B,\nC\n- y")
         assert [tuple(e) for e in got] == [("One", "A", " ".join("x" * before)), ("Two", "B, C", "y")]
+
+
+def test_bits_keep_the_terms_that_lists_keep(texts):
+    """Over terms that hide one another, lie in different numbers of bits, and a text that is null."""
+    names = [f"x{i}y" for i in range(70)] + ["javascript", "java", "x1", "sql"]
+    sides = ["x1y x69y javascript", "java sql x69y", "javascript x1y x1 x69y sql x30y", "", None]
+    other = F.lit("javascript, sql, x1y, x69y and x30y")
+    bits = lambda t: vocabulary.found_bits(lambda n: F.contains(t, F.lit(n)), names)
+    lists = lambda t: vocabulary.matched_terms(vocabulary.match_terms(t, names), vocabulary.match_terms(other, names))
+    assert texts(lambda t, low: vocabulary.matched_by_bits(bits(t), bits(other), names), *sides) == texts(lambda t, low: lists(t), *sides)
+    assert texts(lambda t, low: vocabulary.topk_by_bits(bits(t), bits(other), names, 3), *sides) == texts(lambda t, low: vocabulary.topk_terms(lists(t), 3), *sides)
+    both = vocabulary.shared_bits
+    assert texts(lambda t, low: both(bits(t), bits(other), names), *sides) == texts(
+        lambda t, low: F.size(F.array_intersect(vocabulary.match_terms(t, names), vocabulary.match_terms(other, names))), *sides)
+    assert texts(lambda t, low: both(vocabulary.item_bits(F.split(t, " "), names), bits(other), names), *sides) == [3, 3, 6, 0, 0]
