@@ -102,3 +102,12 @@ def test_analyses_are_not_broadcast(spark):
     out = attach_analysis(stored, found, "2024-03-01 00:00:00")
     assert "Broadcast" not in plan_of(out)
     assert {r["id"]: (r["status"], r["analysis"] and r["analysis"]["score"]) for r in out.collect()} == {1: (None, None), 2: ("processed", 5.0)}
+
+
+def test_text_tables_in_one_split_are_dealt_to_all_cores(spark, tmp_path):
+    """A small file of many rows is one split; the work on its texts is not left to one task."""
+    from catalog import inputs
+
+    spark.range(500).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    df = inputs.load(spark, str(tmp_path), "customer")
+    assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and df.distinct().count() == df.count() == 500
