@@ -93,3 +93,14 @@ def test_empty_tables(spark, sf_dir, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_workers_get_small_batches(spark, sf_dir):
+    given = spark.conf.get(p.BATCH)
+    try:
+        for rows_before, rows_then in (("10000", p.BATCH_ROWS), ("0", p.BATCH_ROWS), ("100", 100)):
+            spark.conf.set(p.BATCH, rows_before)
+            dict(p.STAGES)["decontamination"](spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+            assert int(spark.conf.get(p.BATCH)) == rows_then
+    finally:
+        spark.conf.set(p.BATCH, given)
