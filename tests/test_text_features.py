@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitaloom.functions import bullets, contact, levels, quality, sections, vocabulary
-from vitaloom.functions.text import has_text, word_count
+from vitaloom.functions.text import has_any, has_text, word_count
 
 
 def test_word_count_and_blank_texts(texts):
@@ -49,6 +49,54 @@ def test_skills_need_word_edges(texts):
     assert got[5] == []             # edges are Unicode-aware
 
 
+def test_phrases_are_searched_only_where_their_first_word_is(texts):
+    """Edges and marks at the first word of a phrase, and phrases that begin with no plain word."""
+    names = ["arc weld", ".net core", "c++", "café bar", "a1_b c", "weld"]
+    got = texts(lambda t, low: vocabulary.find_skills(low, names), "arc weld", "xarc weld", "arc welds", "the x.net core", "c++x", "un café bar", "a1_b c",
+                "e\u0301arc weld", "arc\u0301 weld", "arc  weld", "", None)
+    assert got == [["arc weld", "weld"], ["weld"], [], [".net core"], ["c++"], ["café bar"], ["a1_b c"], ["weld"], ["weld"], ["weld"], [], None]
+
+
+def searched(spark, build):
+    """How often the column ``low`` is searched for a string in the plan of another."""
+    df = spark.createDataFrame([("x",)], "low string").select(build(F.col("low")).alias("v"))
+    return df._jdf.queryExecution().analyzed().toString().lower().count("contains(low#")
+
+
+def test_words_that_hold_another_are_not_searched(spark, texts):
+    assert searched(spark, lambda low: has_any(low, ["skills", "technical skills", "skills"])) == 1
+    assert texts(lambda t, low: has_any(low, ["skills", "technical skills"]), "technical skills", "skill", None) == [True, False, None]
+
+
+def test_categories_lower_a_skill_once(spark):
+    df = spark.createDataFrame([(["Python", "REACT", "unheard of", None],), (None,), ([],)], "skills array<string>")
+    counts = df.select(vocabulary.skill_category_counts(F.col("skills")).alias("n"), vocabulary.uncategorized_skills(F.col("skills")).alias("rest"))
+    assert counts._jdf.queryExecution().analyzed().toString().count("lower(") == 2
+    got = counts.collect()
+    assert got[0]["n"]["languages"] == 1 and got[0]["n"]["frameworks"] == 1 and got[0]["n"]["cloud"] == 0 and got[0]["rest"] == ["unheard of"]
+    assert got[1]["rest"] is None and got[2]["n"]["languages"] == 0 and got[2]["rest"] == []
+
+
+def test_sections_and_names_are_lowered_once(spark):
+    df = spark.createDataFrame([("x",)], "text string").select(sections.extract_education(F.col("text")).alias("e"), contact.extract_name(F.col("text")).alias("n"))
+    assert df._jdf.queryExecution().analyzed().toString().count("lower(") == 2
+
+
+def test_patterns_run_where_their_fixed_part_is(texts):
+    """Texts with the fixed part but no match, and without a text."""
+    assert texts(lambda t, low: contact.extract_email(t), "a@b", "x @ y.com", None) == [None, None, None]
+    assert texts(lambda t, low: contact.extract_phone(t), "555-3824", "743.555 3824", "٧٤٣٥٥٥٣٨٢٤", None) == [None, "743.555 3824", "٧٤٣٥٥٥٣٨٢٤", None]
+    assert texts(lambda t, low: levels.max_stated_years(low), "this year", "4 years experience", None) == [0, 4, 0]
+    assert texts(lambda t, low: levels.sum_date_ranges(low), "no range", "20 of them", "2011-2013", None) == [0, 0, 2, 20]
+
+
+def test_tone_counts_words_of_any_script_and_blank(texts):
+    """Blanks beside the ends of sentences, other blanks than the space, and signs of two code units."""
+    five = "é\u00a0b\u2003c 😀😀 d"
+    got = texts(lambda t, low: quality.tone_score(t, low), f"  {five} ... ! x. ", "a b c . d", " ".join([five] * 6) + " ?!", " . ")
+    assert got == [3.0, 1.5, 2.5, 1.5]
+
+
 def test_skills_vocabulary_is_an_argument(texts):
     assert texts(lambda t, low: vocabulary.find_skills(low, ["weld", "arc weld", "mig"]), "arc weld, mig") == [
         ["weld", "arc weld", "mig"]]
