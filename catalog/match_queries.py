@@ -45,7 +45,7 @@ def jobs_with_vectors(spark, d):
 
 
 def scored_pairs(spark, d):
-    return match_pairs(table(spark, d, PAIRS), resume_side(people(spark, d), lean=True), job_side(jobs_with_vectors(spark, d)))
+    return match_pairs(table(spark, d, PAIRS), resume_side(people(spark, d), lean=True), job_side(jobs_with_vectors(spark, d), lean=True))
 
 
 SKILL_BITS = {n: list(dict.fromkeys(w.lower() for w in ws)) for n, ws in (("technical", fixed.TECHNICAL_SKILLS), ("soft", fixed.SOFT_SKILLS))}
@@ -181,7 +181,7 @@ def _(spark, d):
     low = F.lower(matching.job_text(c("title"), c("description")))
     told = match_pairs(table(spark, d, PAIRS),
                        resume_side(people(spark, d), more=[vocabulary.match_terms(F.lower("text")).alias("resume_terms")], lean=True),
-                       job_side(jobs_with_vectors(spark, d), more=[vocabulary.match_terms(low).alias("job_terms")]))
+                       job_side(jobs_with_vectors(spark, d), more=[vocabulary.match_terms(low).alias("job_terms")], lean=True))
     reasons = matching.match_reasons(c("similarity"), c("ats_score"), c("raw_score"), c("seniority_penalty"), c("candidate_level"),
                                      c("job_level"), c("resume_terms"), c("job_terms"))
     return told.select("resume_id", "job_id", joined(reasons).alias("value"))

@@ -111,3 +111,37 @@ def test_text_tables_in_one_split_are_dealt_to_all_cores(spark, tmp_path):
     spark.range(500).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     df = inputs.load(spark, str(tmp_path), "customer")
     assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and df.distinct().count() == df.count() == 500
+
+
+def test_vectors_of_given_pairs_travel_once_to_a_cell_and_not_with_every_pair(spark):
+    """The lists of pairs are spread behind the last shuffle: 300 resumes in 8 groups of jobs, 40 jobs in 4 of resumes at least."""
+    people = spark.range(300).selectExpr("id", "'a' AS text", "array(CAST(id AS FLOAT), 1F) AS vector", "50D AS ats_score", "'mid' AS candidate_level")
+    jobs = spark.range(40).selectExpr("id", "'Engineer' AS title", "'python' AS description", "array(1F, CAST(id AS FLOAT)) AS vector")
+    both = people.selectExpr("id AS resume_id").crossJoin(jobs.selectExpr("id AS job_id"))
+    told = pairs.match_pairs(both, pairs.resume_side(people, lean=True), pairs.job_side(jobs, lean=True))
+    plan = plan_of(told)
+    lookup = plan[plan.index("ShuffledHashJoin"):]
+    assert "explode(_pairs" in lookup[:lookup.index("Exchange")]
+    rows = {(r["resume_id"], r["job_id"]): r["similarity"] for r in told.collect()}
+    assert len(rows) == 12_000
+    assert all(abs(s - (i + j) / math.sqrt((i * i + 1) * (1 + j * j))) < 1e-9 for (i, j), s in rows.items())
+
+
+def test_given_pairs_of_any_ids_meet_in_any_number_of_groups(spark, monkeypatch):
+    """Ids of two types, repeated and missing ids and further columns of a pair, as in a plain join."""
+    people = spark.createDataFrame([(1, "a", [1.0, 2.0], 50.0, "mid"), (2, "b", [2.0, 1.0], 10.0, None), (2, "c", None, None, "entry"), (None, "d", [1.0, 1.0], 1.0, "mid")],
+                                   "id int, text string, vector array<float>, ats_score double, candidate_level string")
+    jobs = spark.createDataFrame([(7, "Engineer", "python", [0.5, 0.25]), (7, "Engineer", "sql", [0.0, 1.0]), (8, "Intern", "sql", None), (None, "x", "y", [1.0, 0.0])],
+                                 "id long, title string, description string, vector array<float>")
+    both = spark.createDataFrame([(1, 7, "p"), (1, 7, "p"), (2, 7, "q"), (2, 8, None), (3, 7, "r"), (1, 9, "s"), (None, 7, "t"), (1, None, "u")], "resume_id long, job_id int, note string")
+    for few in (True, False):
+        if few:
+            monkeypatch.setattr(pairs, "NUMBERS_OF_GROUP", 7)
+        mine, theirs = pairs.resume_side(people, lean=True), pairs.job_side(jobs, lean=True)
+        assert pairs.grid(theirs)[0] == (10 if few else pairs.JOB_GROUPS)
+        got = pairs.match_pairs(both, mine, theirs)
+        plain = both.join(pairs.resume_side(people), "resume_id").join(pairs.job_side(jobs), "job_id")
+        want = pairs.scored(plain, F.coalesce(vectors.similarity(F.col("resume_vector"), F.col("job_vector")), F.lit(0.0))).drop("resume_vector", "job_vector")
+        assert got.dtypes == want.dtypes and got.count() == 10
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        monkeypatch.undo()

@@ -16,12 +16,14 @@ def norm(a):
     return F.sqrt(dot(a, a))
 
 
+def scaled(a, norm_a):
+    """The vector of length ``norm_a`` scaled to length one."""
+    return bind(F.nullif(norm_a, F.lit(0.0)), lambda n: F.transform(a, lambda x: F.coalesce(x.cast("double") / n, F.lit(0.0))))
+
+
 def unit(a):
     """The vector scaled to length one; do this once per row, before any join."""
-    def scaled(n):
-        return F.transform(a, lambda x: F.coalesce(x.cast("double") / n, F.lit(0.0)))
-
-    return bind(norm(a), lambda length: bind(F.nullif(length, F.lit(0.0)), scaled))
+    return bind(norm(a), lambda length: scaled(a, length))
 
 
 def cosine(a, b):

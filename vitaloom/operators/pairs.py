@@ -1,6 +1,7 @@
 """Scoring of resume x job pairs.
 
-``match_pairs`` scores a given list of pairs with two equi-joins.
+``match_pairs`` scores a given list of pairs in a grid of groups of resumes and
+groups of jobs, so that vectors travel once to a cell and not with every pair.
 ``top_matches`` finds the exact best jobs of every resume in a whole catalogue
 without building the pairs: jobs are grouped into cells around a few pivot
 vectors, the angle to a pivot bounds the similarity to everything in its cell,
@@ -19,7 +20,7 @@ from vitaloom import fixed_values as fixed
 from vitaloom.functions.levels import detect_job_seniority
 from vitaloom.functions.matching import SCORE_SCALE, is_snippet, job_text, match_level, match_score
 from vitaloom.functions.text import has_text
-from vitaloom.functions.vectors import SIMILARITY_SCALE, norm, similarity, similarity_scaled, unit
+from vitaloom.functions.vectors import SIMILARITY_SCALE, norm, scaled, similarity, similarity_scaled, unit
 from vitaloom.operators.recommendations import top_n
 from vitaloom.session import cut_lineage
 
@@ -30,12 +31,25 @@ _MARGIN = 0.2
 # Visits of a block by a chunk that a task makes where there are many, and tasks whose records a driver of 1 GB holds with
 # ease; a task makes its visits one after the other, so more of them need no more memory.
 VISITS_OF_TASK, MOST_TASKS = 16, 4_000
+# The grid of given pairs: cells for each core, fewest groups of each side, and the numbers (320 MB of floats) that the jobs of one
+# group may have, as a task holds them; a job counts as its vector and some more.
+CELLS_OF_CORE, JOB_GROUPS, RESUME_GROUPS = 4, 8, 4
+NUMBERS_OF_GROUP, NUMBERS_BESIDE = 80_000_000, 16
 
 
-def job_side(jobs: DataFrame, job_id: str = "id", more=()) -> DataFrame:
-    """Narrow job columns for pairing: id, unit vector, level, snippet flag. Long text stays behind."""
+def _vectors(name: str, lean: bool) -> list:
+    """The unit vector, or for ``lean`` rows the vector as it came and its length: floats travel at half the bytes of unit doubles."""
+    vector = F.col("vector")
+    return [vector.alias(f"{name}_vector"), norm(vector).alias(f"{name}_norm")] if lean else [unit(vector).alias(f"{name}_vector")]
+
+
+def job_side(jobs: DataFrame, job_id: str = "id", more=(), lean: bool = False) -> DataFrame:
+    """Narrow job columns for pairing: id, unit vector, level, snippet flag. Long text stays behind.
+
+    ``lean`` rows are for :func:`match_pairs`, as those of :func:`resume_side`.
+    """
     text = job_text(F.col("title"), F.col("description"))
-    return jobs.select(F.col(job_id).alias("job_id"), unit(F.col("vector")).alias("job_vector"),
+    return jobs.select(F.col(job_id).alias("job_id"), *_vectors("job", lean),
                        detect_job_seniority(F.col("title"), F.col("description")).alias("job_level"),
                        is_snippet(text).alias("snippet"), *more)
 
@@ -44,13 +58,10 @@ def resume_side(resumes: DataFrame, resume_id: str = "id", text: str = "text", m
     """Narrow resume columns for pairing; resumes without text match nothing.
 
     A missing quality score counts as 0, a missing level as entry, a missing vector as similar to nothing. ``lean`` rows,
-    for :func:`match_pairs`, have the vector as it came and its length: a vector of floats travels with every pair at half
-    the bytes of its unit vector of doubles.
+    for :func:`match_pairs`, have the vector as it came and its length.
     """
-    vector = F.col("vector")
-    vectors = [vector.alias("resume_vector"), norm(vector).alias("resume_norm")] if lean else [unit(vector).alias("resume_vector")]
     return resumes.where(has_text(F.col(text))).select(
-        F.col(resume_id).alias("resume_id"), *vectors,
+        F.col(resume_id).alias("resume_id"), *_vectors("resume", lean),
         F.coalesce(F.col("ats_score").cast("double"), F.lit(0.0)).alias("ats_score"),
         F.coalesce("candidate_level", F.lit(fixed.DEFAULT_CANDIDATE_LEVEL)).alias("candidate_level"), *more)
 
@@ -66,12 +77,44 @@ def scored(pairs: DataFrame, sim) -> DataFrame:
             .drop("_m"))
 
 
+def grid(jobs: DataFrame) -> tuple[int, int]:
+    """Groups of jobs, as many as keep each small enough for a task's memory, and groups of resumes, so that all cores have cells."""
+    numbers = jobs.agg(F.sum(F.coalesce(F.size("job_vector"), F.lit(0)) + NUMBERS_BESIDE)).first()[0] or 0
+    cells = CELLS_OF_CORE * jobs.sparkSession.sparkContext.defaultParallelism
+    groups = max(JOB_GROUPS, math.isqrt(cells), math.ceil(numbers / NUMBERS_OF_GROUP))
+    return groups, max(RESUME_GROUPS, math.ceil(cells / groups))
+
+
 def match_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Scores of the given ``(resume_id, job_id)`` pairs, from :func:`resume_side` and :func:`job_side` rows."""
-    joined = pairs.join(resumes, "resume_id").join(jobs, "job_id")
+    """Scores of the given ``(resume_id, job_id)`` pairs, from :func:`resume_side` and :func:`job_side` rows.
+
+    A resume travels once to each group of jobs it has pairs in, with the list of these pairs, and a job once to each group of
+    resumes. Where both meet, in a cell, the lists are spread again and look their jobs up; no vector is sent with a pair.
+    """
+    n_jobs, n_resumes = grid(jobs)
+    # ids of two types have one hash
+    kinds = {k: pairs.select(k).union(side.select(k)).schema[k].dataType for k, side in (("resume_id", resumes), ("job_id", jobs))}
+    group = lambda k, n: F.pmod(F.xxhash64(F.col(k).cast(kinds[k])), F.lit(n)).cast("int")
+    cell = (F.col("_job_group") * n_resumes + F.col("_resume_group")).alias("_cell")
+    of_pair = [k for k in pairs.columns if k != "resume_id"]
+    of_resume, of_job = ([k for k in side.columns if k not in ("resume_id", "job_id")] for side in (resumes, jobs))
+
+    # by resume first: lists and the join with resumes need no other shuffle
+    lists = (pairs.where("job_id IS NOT NULL").repartition("resume_id").groupBy("resume_id", group("job_id", n_jobs).alias("_job_group"))
+             .agg(F.collect_list(F.struct(*of_pair) if len(of_pair) > 1 else F.col("job_id")).alias("_pairs")))
+    people = (lists.join(resumes, "resume_id").withColumn("_resume_group", group("resume_id", n_resumes))
+              .select(cell, "resume_id", "_pairs", *of_resume).repartitionById(n_jobs * n_resumes, "_cell"))
+    # once for a resume's list, not for each of its pairs
+    mine = scaled(F.col("resume_vector"), F.col("resume_norm")) if "resume_norm" in of_resume else F.col("resume_vector")
+    people = people.withColumn("resume_vector", mine).select("*", F.explode("_pairs").alias("_pair"))
+    people = people.select("_cell", "resume_id", *[F.col(f"_pair.{k}") if len(of_pair) > 1 else F.col("_pair").alias(k) for k in of_pair], *of_resume)
+    places = jobs.select("*", group("job_id", n_jobs).alias("_job_group"), F.explode(F.sequence(F.lit(0), F.lit(n_resumes - 1))).alias("_resume_group"))
+    places = places.select(cell, "job_id", *of_job).repartitionById(n_jobs * n_resumes, "_cell")
+    joined = people.join(places.hint("shuffle_hash"), ["_cell", "job_id"]).select(
+        "job_id", "resume_id", *[k for k in of_pair if k != "job_id"], *of_resume, *of_job)
     mine, theirs = F.col("resume_vector"), F.col("job_vector")
-    sim = similarity_scaled(mine, F.col("resume_norm"), theirs) if "resume_norm" in resumes.columns else similarity(mine, theirs)
-    return scored(joined, F.coalesce(sim, F.lit(0.0))).drop("resume_vector", "resume_norm", "job_vector")
+    sim = similarity_scaled(theirs, F.col("job_norm"), mine) if "job_norm" in of_job else similarity(mine, theirs)
+    return scored(joined, F.coalesce(sim, F.lit(0.0))).drop("resume_vector", "resume_norm", "job_vector", "job_norm")
 
 
 def _pack(vectors, size: int) -> np.ndarray:
