@@ -145,3 +145,25 @@ def test_given_pairs_of_any_ids_meet_in_any_number_of_groups(spark, monkeypatch)
         assert got.dtypes == want.dtypes and got.count() == 10
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
         monkeypatch.undo()
+
+
+def pair_tables(spark, folder):
+    """Small tables of all kinds that pairs come from: by their files' size Spark would send any of them to all tasks."""
+    customers(spark, folder)
+    write(spark, folder, "part", [(i, f"part {i}", "Brand#1", "STEEL", i, 900.0 + i) for i in range(1, 6)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    write(spark, folder, "orders", [(i, 1 + i % 4) for i in range(8)], "o_orderkey long, o_custkey long")
+    write(spark, folder, "lineitem", [(i % 8, 1 + i % 5) for i in range(30)], "l_orderkey long, l_partkey long")
+    write(spark, folder, "embeddings", [(i, [1.0 * i, 1.0], "a") for i in range(3)], "vec_id int, embedding array<float>, label string")
+
+
+def sent_to_all(df):
+    """The keys of joins for which one side is sent to all tasks, but for the vectors."""
+    found = [line.split("Join", 1)[1] for line in plan_of(df).splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoop" in line]
+    return [j for j in found if not j.startswith(" [vec#")]
+
+
+def test_reasons_of_pairs_send_no_table_to_all_tasks(spark, tmp_path):
+    pair_tables(spark, tmp_path)
+    told = match_queries.QUERIES["match_reasons"](spark, str(tmp_path))
+    assert sent_to_all(told) == []
+    assert sorted((r["resume_id"], r["job_id"]) for r in told.collect()) == sorted({(1 + (i % 8) % 4, 1 + i % 5) for i in range(30)})
