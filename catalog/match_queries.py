@@ -14,7 +14,7 @@ from vitaloom.functions.levels import resolve_level
 from vitaloom.functions.text import word_count
 from vitaloom.operators import reuse, rules
 from vitaloom.operators.features import extract_features
-from vitaloom.operators.pairs import job_side, match_pairs, resume_side, top_matches
+from vitaloom.operators.pairs import grid, job_side, match_pairs, met_pairs, resume_side, top_matches
 from vitaloom.operators.recommendations import match_batch_summary
 from vitaloom.plans.analyze import analysis_type, analyze_pending, analyze_resumes, ideal_vectors, score_features
 from vitaloom.plans.recommend import candidate_jobs, recommend_jobs, recommendation_summary
@@ -74,7 +74,9 @@ def pair_texts(spark, d):
         c("id").alias("job_id"), low.alias("job_low"), terms(low).alias("job_terms"), long_words(c("description")).alias("job_words"),
         "salary", matching.job_age_days(c("posted_date"), F.lit(AS_OF)).alias("age"), bits(lambda t: F.contains(low, F.lit(t)), MATCH_BITS).alias("job_bits"),
         *[bits(lambda t: F.contains(low, F.lit(t)), names).alias(f"job_{n}_bits") for n, names in SKILL_BITS.items()])
-    return table(spark, d, PAIRS).join(left, "resume_id").join(right, "job_id")
+    # a job's texts: as read, in lower case and as words
+    chars = table(spark, d, JOBS).select(F.length(matching.job_text(c("title"), c("description"))).alias("n"))
+    return met_pairs(shown_pairs(spark, d), left, right, grid(chars, c("n")))
 
 
 def _curve(sim, steps, tail):

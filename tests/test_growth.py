@@ -167,3 +167,15 @@ def test_reasons_of_pairs_send_no_table_to_all_tasks(spark, tmp_path):
     told = match_queries.QUERIES["match_reasons"](spark, str(tmp_path))
     assert sent_to_all(told) == []
     assert sorted((r["resume_id"], r["job_id"]) for r in told.collect()) == sorted({(1 + (i % 8) % 4, 1 + i % 5) for i in range(30)})
+
+
+def test_texts_of_pairs_are_sent_to_cells_and_not_to_all_tasks(spark, tmp_path):
+    pair_tables(spark, tmp_path)
+    ruled = match_queries.QUERIES["rule_reasons"](spark, str(tmp_path))
+    assert sent_to_all(ruled) == [] and "ShuffledHashJoin [_cell" in plan_of(ruled)
+    pairs_of = sorted({(1 + (i % 8) % 4, 1 + i % 5) for i in range(30)})
+    assert sorted((r["resume_id"], r["job_id"]) for r in ruled.collect()) == pairs_of
+    # the lists of skills and the bits name the same skills
+    hits = {(r["resume_id"], r["job_id"]): r["value"] for r in match_queries.QUERIES["cap_matched_skills"](spark, str(tmp_path)).collect()}
+    assert sorted(hits) == pairs_of and {bool(v) for v in hits.values()} == {True, False}
+    assert all(("Matches your skills: " in r["value"]) == bool(hits[r["resume_id"], r["job_id"]]) for r in ruled.collect())
