@@ -179,3 +179,11 @@ def test_texts_of_pairs_are_sent_to_cells_and_not_to_all_tasks(spark, tmp_path):
     hits = {(r["resume_id"], r["job_id"]): r["value"] for r in match_queries.QUERIES["cap_matched_skills"](spark, str(tmp_path)).collect()}
     assert sorted(hits) == pairs_of and {bool(v) for v in hits.values()} == {True, False}
     assert all(("Matches your skills: " in r["value"]) == bool(hits[r["resume_id"], r["job_id"]]) for r in ruled.collect())
+
+
+def test_a_summary_works_on_texts_once(spark, tmp_path):
+    """Verdicts and matches read the features that were written once; the last plan has no work on texts."""
+    pair_tables(spark, tmp_path)
+    told = match_queries.QUERIES["recommend_summary"](spark, str(tmp_path))
+    assert not any(word in plan_of(told) for word in ("regexp", "RLIKE", "customer.parquet"))
+    assert sorted(r["resume_id"] for r in told.collect()) == [1, 2, 3, 4]
