@@ -187,3 +187,23 @@ def test_a_summary_works_on_texts_once(spark, tmp_path):
     told = match_queries.QUERIES["recommend_summary"](spark, str(tmp_path))
     assert not any(word in plan_of(told) for word in ("regexp", "RLIKE", "customer.parquet"))
     assert sorted(r["resume_id"] for r in told.collect()) == [1, 2, 3, 4]
+
+
+def test_visits_of_a_group_of_blocks_leave_the_best_rows_of_each_resume_only(spark, monkeypatch):
+    """Vectors travel to cells of a grid, not with every visit, and a resume has ``k`` rows for each group of blocks, however many of them it visits."""
+    monkeypatch.setattr(pairs, "BLOCKS_BYTES", 8_000)
+    monkeypatch.setattr(pairs, "CHUNKS_BYTES", 1_500)
+    rows = lambda n, step: [(i, [math.cos(i * step), math.sin(i * step), 0.1]) for i in range(n)]
+    people = spark.createDataFrame(rows(70, 0.7), "resume_id long, resume_vector array<double>").selectExpr("*", "50D AS ats_score", "'mid' AS candidate_level")
+    jobs = spark.createDataFrame(rows(500, 0.3), "job_id long, job_vector array<double>").selectExpr("*", "'mid' AS job_level", "true AS snippet", "job_id AS seq")
+    visits, chunks, blocks = pairs.search_space(people, jobs, 4, 0.0, block_rows=30, chunk_rows=10, cell_rows=100)
+    groups = pairs._groups(visits, chunks, blocks)
+    assert groups[0] == 2 and groups[1] >= 2 and blocks.count() > 10
+    found = pairs._met_blocks(visits, chunks, blocks, 4, 0.0)
+    assert plan_of(found).count("MapInPandas") == 0 and "CoGroups" in plan_of(found) and found.count() <= 2 * 4 * 70
+    got = pairs.top_matches(people, jobs.drop("seq"), 4, block_rows=30, chunk_rows=10, cell_rows=100)
+    every = pairs.match_pairs(people.select("resume_id").crossJoin(jobs.select("job_id")), people, jobs.drop("seq")).collect()
+    want = {}
+    for r in every:
+        want.setdefault(r["resume_id"], []).append((-r["match_score"], r["job_id"]))
+    assert {(r["resume_id"], -r["match_score"], r["job_id"]) for r in got.collect()} == {(i, *x) for i, found in want.items() for x in sorted(found)[:4]}
